@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, pieces
+from . import fingerprints, language, packing, pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op6_language_id": op6_language_id, "op9_packing": op9_packing}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_fingerprints": op10_fingerprints, "op2_sentencepiece": op2_sentencepiece, "op6_language_id": op6_language_id, "op9_packing": op9_packing}
 ORACLE_SQL = {}
