@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, packing, pieces
+from . import fingerprints, language, packing, pieces, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.query(table(spark, sf_dir, "pages"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -31,5 +39,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_fingerprints": op10_fingerprints, "op2_sentencepiece": op2_sentencepiece, "op6_language_id": op6_language_id, "op9_packing": op9_packing}
-ORACLE_SQL = {}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op4_url_filters, op5_warc, op6_language_id, op9_packing, op10_fingerprints)}
+ORACLE_SQL = {"op4_url_filters": urls.ORACLE_SQL}
