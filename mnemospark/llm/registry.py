@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, packing, pieces, urls, warc
+from . import fingerprints, language, packing, pieces, urls, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(table(spark, sf_dir, "embeddings"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True)
@@ -39,5 +43,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op4_url_filters, op5_warc, op6_language_id, op9_packing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op4_url_filters, op5_warc, op6_language_id, op9_packing, op10_fingerprints)}
 ORACLE_SQL = {"op4_url_filters": urls.ORACLE_SQL}
