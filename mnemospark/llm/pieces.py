@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 700_000
+REMEMBERED = 1_400_000
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 _LIVE: dict[bytes, Merger] = {}
 
@@ -162,26 +162,30 @@ class Merger:
         fresh = []
         for word in words:
             if word not in self.ids_of:
-                ids, new = self.word(word)
+                ids, new = self.word(SPACE + word)
                 self.ids_of[word] = ids
                 if new:
                     fresh.append(word)
-        # The library adds a space in front of each text, so one is taken off here.
-        for word, expected in zip(fresh, self.library.encode([w[1:].replace(SPACE, " ") for w in fresh], num_threads=1) if fresh else [], strict=True):
+        # The library adds a space in front of each text, as the words here lack theirs; an empty text gets none.
+        for word, expected in zip(fresh, self.library.encode([w.replace(SPACE, " ") for w in fresh], num_threads=1) if fresh else [], strict=True):
             ids = [int(x) for x in self.ids_of[word].split(",")]
-            if ids != expected and word != SPACE:
+            if ids != expected and word:
                 raise RuntimeError(f"ids of {word!r} differ from the library's: {ids} and {expected}")
-            self.exact = self.exact and self.decode(ids) == word.replace(SPACE, " ")
+            self.exact = self.exact and self.decode(ids) == " " + word.replace(SPACE, " ")
 
     def text(self, words: list[str]) -> str:
         """What the ids of these words decode to."""
         if not self.exact:
             return self.decode(int(i) for w in words for i in self.ids_of[w].split(","))[1:]
-        return "".join(words).replace(SPACE, " ")[1:]
+        return " ".join(words).replace(SPACE, " ")
 
     def words(self, text: str) -> list[str]:
-        """The words of a text, each with the spaces before it."""
-        return _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """The words of a text, each with the spaces before it but for the first."""
+        if not text:
+            return []
+        if "  " in text or text[0] in (" ", SPACE) or SPACE in text:
+            return [w[1:] for w in _WORDS.findall(SPACE + text.replace(" ", SPACE))]
+        return text.split(" ")
 
 
 def merger(model: bytes) -> Merger:
