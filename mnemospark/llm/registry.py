@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, packing, pieces, urls, vectors, warc
+from . import fingerprints, language, minhash, packing, pieces, urls, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.query(table(spark, sf_dir, "pages"))
 
@@ -43,5 +47,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op4_url_filters, op5_warc, op6_language_id, op9_packing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_minhash_dedup, op4_url_filters, op5_warc, op6_language_id, op9_packing, op10_fingerprints)}
 ORACLE_SQL = {"op4_url_filters": urls.ORACLE_SQL}
