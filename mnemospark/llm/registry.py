@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, minhash, packing, pieces, urls, vectors, warc, windows
+from . import fingerprints, language, minhash, packing, pieces, suffixes, urls, vectors, warc, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
@@ -51,5 +55,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_minhash_dedup, op4_url_filters, op5_warc, op6_language_id, op8_substring_dedup, op9_packing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_minhash_dedup, op4_url_filters, op5_warc, op6_language_id, op7_suffix_dedup, op8_substring_dedup, op9_packing, op10_fingerprints)}
 ORACLE_SQL = {"op4_url_filters": urls.ORACLE_SQL}
