@@ -109,21 +109,24 @@ class Index:
         return out
 
 
-def _spanning(rows: np.ndarray, columns: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join what all of these join: a forest."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    out = []
-    for a, b in zip(left[rows].tolist(), right[columns].tolist(), strict=True):
-        if (p := root(a)) != (q := root(b)):
-            parent[p] = q
-            out.append((a, b))
+def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Row and column of links that join what all links of this matrix join: a forest, a step for each row and column."""
+    out: list[tuple[int, int]] = []
+    rows, columns = near.any(axis=1), near.any(axis=0)  # those not yet reached
+    while rows.any():
+        ahead = [int(np.argmax(rows))]
+        rows[ahead[0]] = False
+        while ahead:
+            row = ahead.pop()
+            fresh = np.flatnonzero(near[row] & columns)
+            columns[fresh] = False
+            for column in fresh.tolist():
+                out.append((row, column))
+                more = np.flatnonzero(near[:, column] & rows)
+                rows[more] = False
+                for other in more.tolist():
+                    out.append((other, column))
+                    ahead.append(other)
     return out
 
 
@@ -188,21 +191,18 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", gro
             p, q = np.flatnonzero(point), np.flatnonzero(~point)
             near = unit[q] @ unit[p].T >= similarity
             near &= rep[q][:, None] != rep[p][None]
-            i, j = np.nonzero(near)
-            if len(i):
-                visits = [set(table["visits"][int(x)].as_py()) for x in p]
-                got = np.bincount(i, weights=weight[p][j], minlength=len(q))
-                a += rep[q][got > 0].tolist()
-                n += got[got > 0].astype(np.int64).tolist()
+            if near.any():
+                ids, where = np.unique(home[q], return_inverse=True)
+                visited = np.stack([np.isin(ids, table["visits"][int(x)].as_py()) for x in p])
+                got = near @ weight[p]
                 # A query found by a point that doesn't visit the query's cell: nothing else counts that side.
-                once = np.fromiter((int(home[q[x]]) not in visits[y] for x, y in zip(i.tolist(), j.tolist(), strict=True)), dtype=bool, count=len(i))
-                if once.any():
-                    back = np.bincount(j[once], weights=weight[q][i[once]], minlength=len(p))
-                    a += rep[p][back > 0].tolist()
-                    n += back[back > 0].astype(np.int64).tolist()
+                back = weight[q] @ (near & ~visited[:, where].T)
+                for mine, sums in ((q, got), (p, back)):
+                    a += rep[mine][sums > 0].tolist()
+                    n += sums[sums > 0].astype(np.int64).tolist()
                 b += [None] * len(a)
-                forest = _spanning(i, j, rep[q], rep[p])
-                a, b, n = a + [x for x, _ in forest], b + [y for _, y in forest], n + [None] * len(forest)
+                forest = _spanning(near)
+                a, b, n = a + [int(rep[q[x]]) for x, _ in forest], b + [int(rep[p[y]]) for _, y in forest], n + [None] * len(forest)
         return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64()), "n": pa.array(n, type=pa.int64())})
 
     found = common.materialize(tasks.groupBy(*cell, "b", "a").applyInArrow(compare, "a long, b long, n long"), "links")
