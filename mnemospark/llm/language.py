@@ -82,8 +82,11 @@ class Filter:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 400, grams_per_language: int = 60_000, min_rows: int = 2, bits: int = 21, languages: int = 512) -> Filter:
     """The filter from rows with a label; what comes to the driver is bounded by the last four parameters."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "lang").withColumn("n", F.row_number().over(by)).where(F.col("n") <= rows_per_language).select("id", "lang").distinct()
+    # Slices first, so that a language with most rows isn't ranked by one task.
+    ids = rows.select("id", "lang", F.xxhash64("id").alias("h"))
+    for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))).where(F.col("n") <= rows_per_language)
+    ids = ids.select("id", "lang").distinct()
     names = sorted(r[0] for r in ids.select("lang").distinct().limit(languages + 1).collect())
     if len(names) > languages:
         raise ValueError(f"more than {languages} languages")
@@ -112,6 +115,7 @@ def predict(df: DataFrame, fitted: Filter, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
     source = df.select(*kept, df[text].alias("__text"))
     schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    common.text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(fitted)  # 2^bits cells, whatever the size of the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
