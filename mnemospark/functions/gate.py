@@ -55,17 +55,26 @@ def is_routine(low: Column) -> Column:
 
 
 def classify(text: Column) -> Column:
-    """filler, play, sensitive, vital, routine or uncertain; the first that fits. A null text is an empty one."""
-    norm = normalize(F.coalesce(text, F.lit("")))
-    low = F.lower(norm)
-    return (
-        F.when(low.isin(*w.FILLER) | (F.length(norm) <= 2), "filler")
-        .when(is_play(norm, low), "play")
-        .when(is_sensitive(low), "sensitive")
-        .when(is_vital(low), "vital")
-        .when(is_routine(low), "routine")
-        .otherwise("uncertain")
-    )
+    """filler, play, sensitive, vital, routine or uncertain; the first that fits. A null text is an empty one.
+
+    The rules read the normal form and its lower case many times. They are bound as variables of a lambda, so that a
+    plan which moves this expression (into a filter or a join's condition) still makes each of them once.
+    """
+
+    def rules(norm: Column, low: Column) -> Column:
+        return (
+            F.when(low.isin(*w.FILLER) | (F.length(norm) <= 2), "filler")
+            .when(is_play(norm, low), "play")
+            .when(is_sensitive(low), "sensitive")
+            .when(is_vital(low), "vital")
+            .when(is_routine(low), "routine")
+            .otherwise("uncertain")
+        )
+
+    def once(norm: Column) -> Column:
+        return F.get(F.transform(F.array(F.lower(norm)), lambda low: rules(norm, low)), F.lit(0))
+
+    return F.get(F.transform(F.array(normalize(F.coalesce(text, F.lit("")))), once), F.lit(0))
 
 
 def vote_struct(values: tuple) -> Column:
@@ -98,10 +107,14 @@ def decide(vote: Column, cutoffs: th.Gate | None = None, judge: str = JUDGE) ->
     )
 
 
+def decide_class(kind: Column, cutoffs: th.Gate | None = None) -> Column:
+    """The decision on a class: a constant for each."""
+    return F.element_at(F.create_map(*[x for n, v in th.VOTES.items() for x in (F.lit(n), decide(vote_struct(v), cutoffs))]), kind)
+
+
 def gate(text: Column, cutoffs: th.Gate | None = None) -> Column:
-    """The decision on a text by the rules; each class's decision is a constant, so the text is classified once."""
-    decisions = F.create_map(*[x for n, v in th.VOTES.items() for x in (F.lit(n), decide(vote_struct(v), cutoffs))])
-    return F.element_at(decisions, classify(text))
+    """The decision on a text by the rules; the text is classified once."""
+    return decide_class(classify(text), cutoffs)
 
 
 def recorded_vote(found: Column) -> Column:

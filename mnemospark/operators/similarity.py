@@ -30,19 +30,21 @@ def _sets(df: DataFrame, key: str, scope: str, content: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.col(scope).alias("scope"), text.token_set(F.col(content)).alias("tokens"))
 
 
-def _enough(a: Column, b: Column, n_a: Column, n_b: Column, least: float) -> Column:
-    """Whether two sets share enough for this similarity; the intersection is made once, and only for sizes that allow it."""
+def _alike(a: Column, b: Column, n_a: Column, n_b: Column, least: float) -> Column:
+    """Whether two sets have this similarity. A join's condition is tried in the order in which it is written, and a
+    filter after the join would be moved in front of it: so sizes come first, then the sets, and nothing follows."""
     size = F.least(n_a, n_b) >= F.greatest(n_a, n_b) * F.lit(least) - 1e-9
-    return size & (F.size(F.array_intersect(a, b)) >= (n_a + n_b) * F.lit(least / (1 + least)) - 1e-9)
+    some = F.size(F.array_intersect(a, b)) >= (n_a + n_b) * F.lit(least / (1 + least)) - 1e-9
+    return size & some & (text.set_jaccard(a, b) >= least)
 
 
 def near_pairs(df: DataFrame, least: float = th.DEDUP_JACCARD, key: str = "doc_id", scope: str = "lang", content: str = "text") -> DataFrame:
     """old_id < new_id, scope, score of all pairs of a scope with at least this similarity."""
     s = _sets(df, key, scope, content)
     old, new = s.select("scope", F.col("id").alias("old_id"), F.col("tokens").alias("a")), s.select("scope", F.col("id").alias("new_id"), F.col("tokens").alias("b"))
-    enough = _enough(F.col("a"), F.col("b"), F.size("a"), F.size("b"), least)
+    alike = _alike(F.col("a"), F.col("b"), F.size("a"), F.size("b"), least)
     score = text.set_jaccard(F.col("a"), F.col("b"))
-    return old.join(new, (old["scope"] == new["scope"]) & (F.col("old_id") < F.col("new_id")) & enough).drop(new["scope"]).where(score >= least).select("scope", "old_id", "new_id", score.alias("score"))
+    return old.join(new, (old["scope"] == new["scope"]) & (F.col("old_id") < F.col("new_id")) & alike).drop(new["scope"]).select("scope", "old_id", "new_id", score.alias("score"))
 
 
 def near_pairs_prefix(df: DataFrame, least: float = th.DEDUP_JACCARD, key: str = "doc_id", scope: str = "lang", content: str = "text") -> DataFrame:
@@ -97,8 +99,8 @@ def suspicious_pairs(df: DataFrame, key: str = "seq", scope: str = "user", conte
     old, new = (read.select("scope", *[F.col(x).alias(f"{p}_{x}") for x in names]) for p in ("old", "new"))
     score = text.set_jaccard(F.col("old_tokens"), F.col("new_tokens"))
     detail = F.col("new_signal") | (F.col("old_content") != F.col("new_content")) | (F.col("old_numbers") != F.col("new_numbers"))
-    enough = _enough(F.col("old_tokens"), F.col("new_tokens"), F.col("old_n"), F.col("new_n"), least)
-    pairs = old.join(new, (old["scope"] == new["scope"]) & (F.col("old_id") < F.col("new_id")) & (F.col("old_norm") != F.col("new_norm")) & detail & enough).drop(new["scope"]).where(score >= least)
+    alike = _alike(F.col("old_tokens"), F.col("new_tokens"), F.col("old_n"), F.col("new_n"), least)
+    pairs = old.join(new, (old["scope"] == new["scope"]) & (F.col("old_id") < F.col("new_id")) & (F.col("old_norm") != F.col("new_norm")) & detail & alike).drop(new["scope"])
     order = Window.partitionBy("scope", "new_id").orderBy(F.desc("score"), "old_id")
     return pairs.withColumn("score", score).select("scope", "old_id", "new_id", "score", F.col("old_t").alias("old_text"), F.col("new_t").alias("new_text")).withColumn("rank", F.row_number().over(order))
 

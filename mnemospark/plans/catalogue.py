@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _decided(df: DataFrame, cutoffs: th.Gate | None = None) -> DataFrame:
     """df with the class of its text and the gate's decision."""
-    d = df.withColumns({"class": gate.classify(F.col("text")), "__d": gate.gate(F.col("text"), cutoffs)})
+    d = df.withColumn("class", gate.classify(F.col("text"))).withColumn("__d", gate.decide_class(F.col("class"), cutoffs))
     return d.withColumns({"importance": F.col("__d.importance"), "action": F.col("__d.action"), "reason": F.array_join("__d.reasons", ";")}).drop("__d")
 
 
