@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -37,6 +39,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch where whole texts go through Python.
+TEXTS_PER_BATCH = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small: with the usual number of rows, long texts fill a task's memory.
+
+    The setting is read when a plan runs, which may be after an operator returns, so it stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXTS_PER_BATCH:
+        spark.conf.set(name, str(TEXTS_PER_BATCH))
+
+
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes batches on, giving back what Arrow's pool keeps of each, as workers live on between tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def buckets(spark: SparkSession, per_partition: int = 4) -> int:
     """How many buckets packed rows are dealt to: follows spark.sql.shuffle.partitions, which follows the data."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))

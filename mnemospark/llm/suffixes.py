@@ -75,9 +75,11 @@ def _sort_directly(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarr
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """The suffixes of text (small whole numbers) in order, by their first `depth` numbers at least.
 
+    With wanted (a boolean for each suffix), only those and the ones that they are induced from.
+
     Two stages: suffixes smaller than their successor are sorted directly; each other suffix is put behind those before
     it in the bucket of its first number when its successor is scanned.
     """
@@ -90,12 +92,20 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     step[-1] = -1
     told = np.flatnonzero(step)
     smaller = step[told[np.searchsorted(told, np.arange(n))]] > 0
-    direct = _sort_directly(text, np.flatnonzero(smaller), depth)
+    taken = np.ones(n, dtype=bool) if wanted is None else wanted.copy()
+    ahead = np.flatnonzero(taken & ~smaller)
+    while len(ahead):  # a suffix that isn't smaller than its successor needs that one
+        ahead = ahead[ahead < n - 1] + 1
+        ahead = ahead[~taken[ahead]]
+        taken[ahead] = True
+        ahead = ahead[~smaller[ahead]]
+    direct = _sort_directly(text, np.flatnonzero(smaller & taken), depth)
     head = text[direct]
     top = int(text.max()) + 1
     starts = np.searchsorted(head, np.arange(top + 1))
     waiting: list[list[np.ndarray]] = [[] for _ in range(top)]
-    waiting[int(text[n - 1])].append(np.array([n - 1]))
+    if taken[n - 1]:
+        waiting[int(text[n - 1])].append(np.array([n - 1]))
     out = []
     for c in range(top):
         wave = np.concatenate(waiting[c]) if waiting[c] else np.empty(0, dtype=np.int64)
@@ -103,11 +113,11 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         while len(wave):  # a suffix may put others into its own bucket, which are scanned in turn
             induced.append(wave)
             before = wave[wave > 0] - 1
-            wave = before[text[before] == c]
+            wave = before[(text[before] == c) & taken[before]]
         bucket = np.concatenate([*induced, direct[starts[c] : starts[c + 1]]])
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[(text[before] > c) & ~smaller[before]]
+        before = before[(text[before] > c) & ~smaller[before] & taken[before]]
         if len(before):
             first = text[before]
             by = np.argsort(first, kind="stable")
@@ -149,9 +159,9 @@ def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
     text = np.zeros(int(offsets[-1]), dtype=np.int16)  # contexts end in 0; bytes are 1 to 256
     for c, at in zip(contexts, offsets, strict=False):
         text[at : at + len(c)] = np.frombuffer(c, dtype=np.uint8).astype(np.int16) + 1
-    order = suffix_array(text, length)
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)
     room = np.repeat(offsets[:-1] + sizes, sizes + 1) - np.arange(len(text))
+    order = suffix_array(text, length, room >= length)
     shared = np.minimum(common_prefixes(text, order, length), np.minimum(room[order], np.concatenate(([0], room[order][:-1]))))
     twice = np.zeros(len(order), dtype=bool)
     twice[shared >= length] = True
@@ -339,12 +349,13 @@ def _counted_repeats(blobs: list[bytes]) -> pa.Table:
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, seed: int | None = None, most: int = MOST, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and kept or with digest kept_sha256, of every document."""
     seed = seed or max(1, length * 8 // 25)
+    common.text_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = common.buckets(df.sparkSession)
     texts = pack_texts(docs, n, [])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.settle(batches):
             sizes = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
             for a, b in shingles.groups_of(sizes, PACK):
                 for c in range(a, b, 60_000):
@@ -362,7 +373,8 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
             asks.setdefault(k, []).append(blob)
         d = zstandard.ZstdDecompressor()
         rows = [(k, d.decompress(t)) for k, t in zip(left["doc_id"].to_pylist(), left["text"].to_pylist(), strict=True) if k in asks and t is not None]
-        out = list(_fetch([k for k, _ in rows], [t for _, t in rows], asks, length, n))
+        # As many buckets as partitions: contexts are few beside the texts, and rows should be worth their while.
+        out = list(_fetch([k for k, _ in rows], [t for _, t in rows], asks, length, max(1, n // 4)))
         return pa.table({"bucket": pa.array([x[0] for x in out], type=pa.int32()), "kind": pa.array([x[1] for x in out], type=pa.int32()), "rows": pa.array([x[2] for x in out], type=pa.binary())})
 
     def find(group: pa.Table) -> pa.Table:
