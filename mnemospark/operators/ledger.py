@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gate, words
 from ..functions import thresholds as th
+from .limits import Budget
 
 AUDIT = "user string, seq long, op string, outcome string, fact_id long, merged_into long, score double, flagged long, cut long, relations string, reason string"
 FACTS = (
@@ -60,6 +62,27 @@ def committee(old: Reading, new: Reading, least_shared: int) -> tuple[str, bool,
     return strict, True, {"supersede": "TOMBSTONE", "conflict_unresolved": "CONFLICT"}.get(strict, "KEEP")
 
 
+class JudgeHalted(Exception):
+    """The judge couldn't vote: what was asked is held for review."""
+
+
+class JudgeRefused(JudgeHalted):
+    """The judge turned the question away for now."""
+
+
+def committee_of_four(old: Reading, new: Reading, least_shared: int, live: tuple[str, str]) -> tuple[str, bool, str]:
+    """As committee, with two live votes that must agree with each other and with the offline ones."""
+    a, b = ("conflict_unresolved" if v == "contradict" else v for v in live)
+    if not set(live) <= set(words.RELATIONS):
+        return "unrelated", False, "KEEP"
+    if live[0] != live[1]:
+        return live[0], False, "KEEP"
+    relation, agreed, action = committee(old, new, least_shared)
+    if not agreed:
+        return relation, False, "KEEP"
+    return (relation, True, action) if relation == a == b else (a, False, "KEEP")
+
+
 @dataclass
 class Fact:
     id: int
@@ -78,6 +101,10 @@ class Fact:
     decided_at: int | None = None
 
 
+class _OverBudget(Exception):
+    """Nothing is left to ask the live judge with."""
+
+
 @dataclass
 class Settings:
     dedup_jaccard: float = th.DEDUP_JACCARD
@@ -86,6 +113,10 @@ class Settings:
     shared_tokens: int = th.SHARED_TOKENS
     memory_cap: int | None = th.MEMORY_CAP
     bridge: bool = True
+    #: Two live votes on (old text, new text), if they are to be asked, and the budget of characters that asking uses up.
+    live: Callable[[str, str], tuple[str, str]] | None = None
+    budget: Budget | None = None
+    clock: Callable[[], float] = time.time
 
 
 @dataclass
@@ -200,12 +231,18 @@ class Ledger:
             if score >= self.settings.screen_jaccard and old.norm != new.norm and (signal or old.content != new.content or old.numbers != new.numbers):
                 found.append((-score, j))
         found.sort()
-        outcomes = []
-        for _, j in found[: self.settings.screen_pairs]:
+        outcomes, kept = [], [j for _, j in found[: self.settings.screen_pairs]]
+        for at, j in enumerate(kept):
             if self.facts[j].tombstoned_by is not None:
                 outcomes.append(f"{j}:unrelated:KEEP:stale-target-skipped")
                 continue
-            relation, agreed, action = committee(self.readings[j], new, self.settings.shared_tokens)
+            try:
+                relation, agreed, action = self._ask(j, i, new)
+            except (JudgeHalted, _OverBudget) as e:
+                # The run stops here, and every pair that wasn't asked is named.
+                first, rest = {_OverBudget: ("rate-budget-exhausted",) * 2, JudgeRefused: ("judge-rate-limited", "judge-halted-skipped")}.get(type(e), ("judge-halted", "judge-halted-skipped"))
+                outcomes += [f"{k}:unrelated:KEEP:{first if n == 0 else rest}" for n, k in enumerate(kept[at:])]
+                break
             reason = f"{relation}-auto-spot" if agreed else "veto-keep"
             if agreed and action == "TOMBSTONE":
                 self.tombstone(j, i, reason, "auto-spot")
@@ -214,6 +251,15 @@ class Ledger:
             outcomes.append(f"{j}:{relation}:{action}:{reason}")
         return {"flagged": len(found), "cut": max(0, len(found) - self.settings.screen_pairs), "relations": ",".join(outcomes)}
 
+    def _ask(self, old: int, i: int, new: Reading) -> tuple[str, bool, str]:
+        s = self.settings
+        if s.live is None:
+            return committee(self.readings[old], new, s.shared_tokens)
+        a, b = self.facts[old].text, self.facts[i].text
+        if s.budget is not None and not s.budget.check(s.clock(), len(a) + len(b))[0]:
+            raise _OverBudget
+        return committee_of_four(self.readings[old], new, s.shared_tokens, s.live(a, b))
+
     def hold(self, c: dict, reason: str) -> dict:
         self.held[c["seq"]] = {"qid": c["seq"], "text": c["text"], "reason": reason, "source": c.get("source") or ""}
         return {"outcome": "quarantine", "reason": reason}

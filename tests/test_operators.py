@@ -134,6 +134,37 @@ def test_a_dumped_ledger_goes_on():
     assert row["relations"] == "1:supersede:TOMBSTONE:supersede-auto-spot" and again.facts[1].tombstoned_by == 7
 
 
+OLD, NEW = "the blue bike is at bay 2", "the blue bike moved to bay 4"
+
+
+def asked(live, more=(), **settings):
+    commands = [("put", {"text": t}) for t in (OLD, *more, NEW)]
+    book, rows = one(commands, live=live, **settings)
+    return book, rows[-1]["relations"]
+
+
+def test_live_votes_must_agree_with_the_offline_ones():
+    assert asked(lambda a, b: ("supersede", "supersede"))[1] == "1:supersede:TOMBSTONE:supersede-auto-spot"
+    assert asked(lambda a, b: ("supersede", "same"))[1] == "1:supersede:KEEP:veto-keep"
+    assert asked(lambda a, b: ("contradict", "contradict"))[1] == "1:conflict_unresolved:KEEP:veto-keep"
+    assert asked(lambda a, b: ("odd", "odd"))[1] == "1:unrelated:KEEP:veto-keep"
+
+
+def test_a_halted_judge_names_what_it_skipped():
+    def refuse(a, b):
+        raise ledger.JudgeRefused
+
+    def fail(a, b):
+        raise ledger.JudgeHalted
+
+    other = "the blue bike key hangs at bay 9"
+    for live, words in ((refuse, ("judge-rate-limited", "judge-halted-skipped")), (fail, ("judge-halted", "judge-halted-skipped"))):
+        book, row = asked(live, [other], dedup_jaccard=0.99)
+        assert tuple(x.split(":")[3] for x in row.split(",")) == words and book.live == 3
+    book, row = asked(lambda a, b: ("supersede", "supersede"), budget=limits.Budget(chars=10))
+    assert row.endswith("rate-budget-exhausted") and book.live == 2
+
+
 def test_ledger_of_nothing(spark):
     empty = spark.createDataFrame([], "user string, seq long, text string")
     assert ledger.run(empty).count() == 0 and ledger.run(empty, "facts").count() == 0
