@@ -27,6 +27,11 @@ def test_order_of_refusals(tmp_path):
     assert app.handle("odd", {})[0] == 503
 
 
+def test_switched_off_by_the_environment(monkeypatch):
+    monkeypatch.setenv(facade.KILL_ENV, "Yes")
+    assert facade.App(decide).handle("status", {"user": "u"})[0] == 503
+
+
 def test_admit_recall_inject_review():
     app = facade.App(decide)
     first = app.handle("admit", {"user": "u", "text": "the blue bike is at bay 2"})[1]
