@@ -61,9 +61,23 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
 
 
-def buckets(spark: SparkSession, per_partition: int = 4) -> int:
-    """How many buckets packed rows are dealt to: follows spark.sql.shuffle.partitions, which follows the data."""
-    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input for one bucket of packed rows, at most.
+BUCKET_BYTES = 8 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the tables below df take in all, as far as Spark knows; 0 where it doesn't."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def buckets(spark: SparkSession, per_partition: int = 4, df: DataFrame | None = None) -> int:
+    """How many buckets packed rows are dealt to: several for each shuffle partition, and with df as many as its size asks for.
+
+    A task holds one bucket at a time, so memory stays bounded even where spark.sql.shuffle.partitions is too low.
+    """
+    return max(per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // BUCKET_BYTES if df is not None else 0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ U64 = np.uint64
 WINDOW = 13
 SEED = 5
 #: Bytes of text in one pack, and words of one document that are looked at in one go.
-PACK = 6 << 20
+PACK = 4 << 20
 SLICE = 1 << 20
 _RUN = np.dtype([("anchor", "<u4"), ("doc", "<u2"), ("start", "<u4"), ("n", "u1"), ("known", "u1")])
 
@@ -151,7 +151,7 @@ def pack_texts(df: DataFrame, buckets: int, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in common.settle(batches):
             data = pa.array([None if v is None else c.compress(v) for v in batch.column(len(kept) + 1).to_pylist()], type=pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept) + 1], data], names=[*kept, "bucket", "text"])
 
@@ -160,10 +160,10 @@ def pack_texts(df: DataFrame, buckets: int, columns: list[str]) -> DataFrame:
 
 def repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """bucket (of doc_id) and packed runs (doc_id, start, windows) of the repeated windows of documents (doc_id, text)."""
-    n = common.buckets(df.sparkSession)
+    n = common.buckets(df.sparkSession, df=df)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.settle(batches):
             sizes = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
             for a, b in shingles.groups_of(sizes, PACK):
                 for c in range(a, b, 60_000):
@@ -198,8 +198,9 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
     those columns of df come along, and texts from which nothing is removed stay as they are.
     """
     carry = carry or []
+    common.text_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c) for c in carry])
-    n = common.buckets(df.sparkSession)
+    n = common.buckets(df.sparkSession, df=df)
     texts = pack_texts(docs, n, carry)
     found = repeats(docs, window, seed)
     out = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in carry), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256" if digest else "kept", T.StringType())])
