@@ -6,8 +6,9 @@ hits for each language; with f the part of all n-grams that a language answers t
 in each cell), hits - f * n over 1 - f is the corrected count. The largest decides, ties by the language's name.
 
 The filter is learned from a bounded sample of labelled rows: for each language the `rows_per_language` rows of the
-smallest hash of their id, whole texts; of their n-grams the `grams_per_language` found in most rows, at least
-in `min_rows` of them (in one if so few rows are there). Prediction reads the text alone, from end to end.
+smallest hash of their id, whole texts; of their n-grams the `grams_per_language` found in most rows, ties by the
+n-gram's hash. An n-gram of a single row counts too, at every size, so a language of one row is learned like any
+other. Prediction reads the text alone, from end to end.
 
 Texts are lower-cased, and each run of anything but letters counts as one space. Texts that are null or have no letter
 are `und` with score 0; so is everything if nothing was learned. The score is the lead of the best language over the
@@ -79,8 +80,8 @@ class Filter:
         return self.names[order[0]], float(min(1.0, max(0.0, lead / len(hashes))))
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 400, grams_per_language: int = 60_000, min_rows: int = 2, bits: int = 21, languages: int = 512) -> Filter:
-    """The filter from rows with a label; what comes to the driver is bounded by the last four parameters."""
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 400, grams_per_language: int = 60_000, bits: int = 21, languages: int = 512) -> Filter:
+    """The filter from rows with a label; what comes to the driver is bounded by the last three parameters."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     # Slices first, so that a language with most rows isn't ranked by one task.
     ids = rows.select("id", "lang", F.xxhash64("id").alias("h"))
@@ -105,8 +106,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     sample = rows.join(F.broadcast(ids), ["id", "lang"], "left_semi").select("lang", "text")
     counted = sample.mapInArrow(count, "k long, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("k").orderBy(F.desc("n"), "gram")
-    least = min_rows if ids.count() > min_rows * 20 * max(1, len(names)) else 1
-    kept = counted.where(F.col("n") >= least).withColumn("r", F.row_number().over(top)).where(F.col("r") <= grams_per_language)
+    kept = counted.withColumn("r", F.row_number().over(top)).where(F.col("r") <= grams_per_language)
     return Filter(names, [(r.gram, r.k) for r in kept.select("gram", "k").toLocalIterator()], bits)
 
 

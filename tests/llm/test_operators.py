@@ -285,6 +285,17 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"} and language.identify(df.limit(0)).count() == 0
 
 
+def test_language_of_a_single_row(spark):
+    words = {name: [f"{a}{x}{b}" for x in "aeiou" for a in letters for b in letters] for name, letters in {"a": "bcd", "b": "fgh", "c": "klm", "d": "prs", "z": "vwx"}.items()}
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choices(words[name], k=30)), name) for name in "abcd" for _ in range(100)] + [(" ".join(words["z"]), "z")]
+    df = docs(spark, [t for t, _ in rows], lang=[x for _, x in rows])
+    for rare in (df, df.where("doc_id % 100 < 5")):  # 401 and 21 rows: one rule at every size
+        fitted = language.learn(rare)
+        assert fitted.names == ["a", "b", "c", "d", "z"]
+        assert [fitted.predict(" ".join(rng.choices(words[name], k=20)))[0] for name in "abcdz"] == ["a", "b", "c", "d", "z"]
+
+
 def test_filter_counts_are_corrected():
     f = language.Filter(["a", "b"], [(int(x), int(x) % 2) for x in np.random.default_rng(1).integers(-(2**62), 2**62, 3000)], 12)
     assert f.chance.shape == (2,) and (f.chance > 0.05).all()
