@@ -159,6 +159,14 @@ def exact_dedupe_lookup(spark, sf_dir):
     return similarity.exact_matches(docs.where("doc_id % 2 = 1"), known).select("doc_id", "known_id")
 
 
+@query(f"WITH k AS (SELECT doc_id, sha256({o.norm('text')}) AS h FROM documents), g AS (SELECT h, min(doc_id) AS first FROM k GROUP BY 1) SELECT doc_id, CASE WHEN first < doc_id THEN first END AS known_id FROM k LEFT JOIN g USING (h)")
+def exact_dedupe_lookup_all(spark, sf_dir):
+    """Every document looked up among those before it: known_id is the first earlier id of the same normal form."""
+    docs = table(spark, sf_dir, "documents").withColumn("user", F.lit("all"))
+    known = docs.groupBy("user", text.normalize(F.col("text")).alias("text")).agg(F.min("doc_id").alias("id"))
+    return similarity.exact_matches(docs, known).select("doc_id", F.when(F.col("known_id") < F.col("doc_id"), F.col("known_id")).alias("known_id"))
+
+
 _NEAR = f"""SELECT scope, old_id, new_id, score FROM (SELECT a.lang AS scope, a.doc_id AS old_id, b.doc_id AS new_id, {o.jaccard('a.t', 'b.t')} AS score
   FROM s a JOIN s b ON a.lang = b.lang AND a.doc_id < b.doc_id AND least(len(a.t), len(b.t)) >= 0.85 * greatest(len(a.t), len(b.t)) - 1e-9) WHERE score >= 0.85"""
 _SETS = f"WITH s AS (SELECT doc_id, lang, {o.tokens('text')} AS t FROM documents)"

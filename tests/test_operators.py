@@ -27,6 +27,15 @@ def test_threshold_is_met_exactly(spark):
     assert [tuple(r) for r in similarity.near_pairs_prefix(df).select("old_id", "new_id", "score").orderBy("new_id").collect()] == [(1, 2, 0.85), (2, 3, 16 / 17)]
 
 
+def test_lookup_finds_copies_of_equal_parity(spark, tmp_path):
+    from mnemospark.plans import catalogue
+
+    rows = [(1, "x", "a b"), (3, "y", " a  b "), (4, "x", "c"), (6, "x", "c"), (7, "x", "a b"), (8, "x", None), (10, "x", None), (11, "x", "")]
+    texts(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.known_id for r in catalogue.QUERIES["exact_dedupe_lookup_all"](spark, str(tmp_path)).collect()}
+    assert found == {1: None, 3: 1, 4: None, 6: 4, 7: 1, 8: None, 10: None, 11: None}
+
+
 def test_best_near_takes_the_lowest_id(spark):
     df = texts(spark, [(1, "x", "a b c"), (2, "x", "c b a"), (3, "x", "b a c"), (4, "y", "a b c")])
     assert sorted(map(tuple, similarity.best_near(df).collect())) == [("x", 2, 1, 1.0), ("x", 3, 1, 1.0)]
