@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet in the shared
 folder and reads them again for the next. All stages but the last return the columns of documents.
 
-1. language: documents whose language can't be told (null, or without a letter) go.
+1. language: documents whose language can't be told (null, or without a letter) go. Where no row has a label to learn
+   from, the same documents go, by their text alone.
 2. near_dedup: one document of each group of near copies stays.
 3. substring_dedup: passages of 13 words or more that an earlier document has go from the text; a document of which
    nothing stays goes.
@@ -25,8 +26,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter. Without a label among the rows learned from, every prediction is `und`, so it isn't asked."""
     # `lang` only teaches the filter; the documents that stay keep the label they came with.
     fitted = language.learn(docs.where(~F.coalesce(language.held_out("doc_id"), F.lit(False))))
+    if not fitted.names:
+        return language.lettered(docs)
     return language.predict(docs, fitted).where("lang_pred != 'und'").drop("lang_pred", "score")
 
 

@@ -128,6 +128,18 @@ def predict(df: DataFrame, fitted: Filter, text: str = "text") -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def lettered(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of df whose text has a letter: those that a filter which has learned a language doesn't call `und`."""
+    common.text_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.settle(batches):
+            yield batch.filter(pa.array([bool(_GAP.sub("", v.as_py() or "")) for v in batch.column(at)], type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(key: str = "doc_id") -> Column:
     """crc32 of the id as text leaves 2 when divided by 4."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2

@@ -494,6 +494,18 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept)
 
 
+def test_pipeline_without_labels(spark, sf, tmp_path):
+    import corpus_pipeline as p
+
+    d = docs(spark, ["the cat went", None, "", "12 _ ½ !", "1 é", *ODD]).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    stays = lambda df: sorted(r.doc_id for r in p.language_stage(spark, df, sf).collect())
+    assert p.language_stage(spark, d, sf).columns == d.columns
+    labelled = d.withColumn("lang", F.when(F.col("doc_id") == 0, "en"))
+    assert stays(d) == stays(labelled) and {0, 4} <= set(stays(d)) and not {1, 2} & set(stays(d))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, str(tmp_path)).count() > 0
+
+
 def test_registered_queries(spark, sf):
     import __spark_entry__ as e
 
