@@ -4,7 +4,8 @@ Unit vectors are cut into halves, each half has a codebook of its own, and pairs
 vector lives in the cell of its nearest codes. As a query it visits cells in the order of the multi-sequence traversal,
 nearest first by how far the vector must move to cross into them (the distance to the boundary between two codes'
 regions, in each half), until the bound passes `reach` times the radius that the similarity allows. A reach of 1 misses
-nothing; the reach of a target recall is taken from the true pairs of a bounded sample, and never less than what
+nothing; the reach of a target recall is taken from all true pairs of a bounded sample (each counting alike, and each row
+counting alike: the larger reach stands), and never less than what
 evenly spread differences of that size need. Vectors of a cell are then compared exactly, in double precision.
 
 Exact copies are collapsed first and counted. A cell with more than `block` vectors is compared block against block, so
@@ -29,6 +30,8 @@ from . import common, graph
 
 SIMILARITY = 0.98
 SAMPLE = 20_000
+#: Vectors of the sample whose near pairs, all of them, the reach is taken from.
+FIT = 4000
 BLOCK = 1024
 
 
@@ -60,22 +63,36 @@ def _codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 class Index:
     """Two codebooks for vectors of one length, and how far queries go."""
 
-    def __init__(self, sample: np.ndarray, k: int, similarity: float, recall: float, groups: np.ndarray):
+    def __init__(self, sample: np.ndarray, k: int, similarity: float, recall: float, groups: np.ndarray, fit: int = FIT):
         self.half = sample.shape[1] // 2
         self.books = [_codebook(sample[:, : self.half], k), _codebook(sample[:, self.half :], k)] if self.half else [np.zeros((1, 0)), _codebook(sample, k)]
         self.gaps = [np.sqrt(np.maximum(((b[:, None] - b[None]) ** 2).sum(2), 1e-18)) for b in self.books]
         self.radius = float(np.sqrt(2 - 2 * similarity))
         self.reach = 1.0
         if recall < 1:
-            self.reach = min(1.0, max(4 / np.sqrt(sample.shape[1]), self._needed(sample[:4000], groups[:4000], similarity, recall)))
+            self.reach = min(1.0, max(4 / np.sqrt(sample.shape[1]), self._needed(sample[:fit], groups[:fit], similarity, recall)))
 
     def _needed(self, x: np.ndarray, groups: np.ndarray, similarity: float, recall: float) -> float:
-        """The reach that finds this part of the sample's own near pairs."""
+        """The reach that finds this part of the sample's own near pairs, and of them with each row's pairs weighing one."""
         bounds = [self.bounds(v) for v in x]
-        homes = [self.home(b) for b in bounds]
-        near = np.argwhere(np.triu((x @ x.T >= similarity) & (groups[:, None] == groups[None]), 1))[:20_000]
-        needed = [min(np.hypot(bounds[a][0][homes[b][0]], bounds[a][1][homes[b][1]]), np.hypot(bounds[b][0][homes[a][0]], bounds[b][1][homes[a][1]])) for a, b in near]
-        return 1.25 * float(np.quantile(needed, recall)) / self.radius if needed else 0.0
+        first, second = (np.stack([b[i] for b in bounds]) for i in (0, 1))
+        one, two = first.argmin(axis=1), second.argmin(axis=1)
+        found, weights = [], []
+        for a in range(len(x)):
+            near = a + 1 + np.flatnonzero((x[a + 1 :] @ x[a] >= similarity) & (groups[a + 1 :] == groups[a]))
+            if len(near):
+                there = np.hypot(first[a, one[near]], second[a, two[near]])
+                back = np.hypot(first[near, one[a]], second[near, two[a]])
+                # In single precision: 4000 near copies have 8 million pairs.
+                found.append(np.minimum(there, back).astype(np.float32))
+                weights.append(len(near))
+        if not found:
+            return 0.0
+        needed = np.concatenate(found)
+        order = np.argsort(needed)
+        by_row = np.cumsum(np.repeat(1 / np.array(weights), weights)[order])
+        at = [min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1), min(len(needed) - 1, int(np.searchsorted(by_row, recall * by_row[-1])))]
+        return 1.25 * float(needed[order[max(at)]]) / self.radius
 
     def bounds(self, x: np.ndarray) -> list[np.ndarray]:
         """For each half, how far it must move at least to be nearest to each code."""
@@ -130,8 +147,11 @@ def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", group: str = "label", similarity: float = SIMILARITY, recall: float = 0.9999, sample: int = SAMPLE, block: int = BLOCK, per_cell: int = 16) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
+def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", group: str = "label", similarity: float = SIMILARITY, recall: float = 0.9999, sample: int = SAMPLE, block: int = BLOCK, per_cell: int = 16, fit: int = FIT) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row.
+
+    Codebooks are learned from at most `sample` vectors, the reach from all near pairs of the first `fit` of them.
+    """
     spark = vectors.sparkSession
     # Copies of the group have the same bytes, so one row stands for all of them.
     source = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.to_json(F.struct(F.col(group).alias("g"))).alias("g"), F.col(group).isNotNull().alias("has"))
@@ -154,7 +174,7 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", gro
         some = distinct.where(F.octet_length("x") == size).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("g", "x").collect()
         names = {g: i for i, g in enumerate(dict.fromkeys(r[0] for r in some))}
         k = int(min(256, max(1, round((n / groups / per_cell) ** 0.5))))
-        indexes[size] = Index(_units([bytes(r[1]) for r in some]), k, similarity, recall, np.array([names[r[0]] for r in some]))
+        indexes[size] = Index(_units([bytes(r[1]) for r in some]), k, similarity, recall, np.array([names[r[0]] for r in some]), fit)
     shared = spark.sparkContext.broadcast(indexes)  # codebooks of at most 256 codes a half
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

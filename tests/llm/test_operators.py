@@ -87,6 +87,18 @@ def test_index_visits_nearest_first_and_misses_nothing():
             assert sums == sorted(sums)
 
 
+def test_a_hot_group_does_not_hide_other_pairs():
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(150, 16))
+    pairs = np.concatenate([base, base + rng.normal(size=(150, 16)) * 0.15])
+    hot = rng.normal(size=16) + rng.normal(size=(250, 16)) * 1e-4  # 31,125 pairs that need no reach
+    pairs, hot = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (pairs, hot))
+    groups = np.array([*range(1, 151)] * 2)
+    index = vectors.Index(pairs, 12, 0.98, 1.0, groups)
+    apart = index._needed(pairs, groups, 0.98, 1.0)
+    assert apart > 0.1 and index._needed(np.concatenate([hot, pairs]), np.concatenate([np.zeros(250), groups]), 0.98, 1.0) >= apart
+
+
 def test_no_vectors(spark):
     assert vectors.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
