@@ -1,10 +1,11 @@
-"""Repeated word windows across documents by seed and extend.
+"""Repeated word windows across documents by hashes of windows that are dealt by their seed.
 
 Seeds are winnowed: of the runs of SEED words inside each window of `window` words, the one of the smallest hash is the
 window's anchor, so equal windows have equal anchors at equal places, and all windows of one anchor are neighbours. An
 anchor's row carries them: how far the text can be followed to the left and to the right of the seed, as one hash for
-each window. Rows meet by their anchor; a window that also starts in a document with a smaller id is repeated, which
-extends a match both ways as far as it goes. Runs of repeated windows are the maximal repeats.
+each window. Rows meet by their anchor, which only says which bucket they go to: no match is extended from a seed by
+comparing texts. Windows are grouped by their hash, and one that also starts in a document with a smaller id is
+repeated. Runs of repeated windows are the maximal repeats, as extending would find.
 
 Rows are packed by bucket of the anchor. Before they are sent, equal windows among the documents of a pack become one,
 that of the smallest id; the others are known to be repeated. So a passage that stands in a third of all rows costs its
