@@ -386,15 +386,37 @@ def brute_words(texts, window=13):
     return out
 
 
-def test_word_windows(spark):
+@pytest.mark.parametrize("most", [windows.MOST, 1])
+def test_word_windows(spark, most):
     rng = random.Random(6)
     base = prose(1, 40, 80)
     texts = base + [edited(b, rng, 3) for b in base] + base[:3] + [" ".join(base[0].split()[5:40] + base[1].split()[:20]), base[2].replace(" ", "\n\t ")] + ODD + ["same " * 50, "same " * 60]
+    # A short phrase amid different words: its seeds have a context for each document, of which none is a window.
+    texts += [f"{a} the same seven words stand in here {b}" for a, b in zip(prose(8, 30, 9), prose(9, 30, 9), strict=True)]
     df = docs(spark, texts, kept=texts).repartition(3)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in windows.remove_repeats(df, digest=True).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in windows.remove_repeats(df, most=most, digest=True).collect()}
     assert [got[i] for i in range(len(texts))] == brute_words(texts)
-    carried = windows.remove_repeats(docs(spark, texts, source=texts), carry=["source"]).collect()
-    assert all(r.kept == r.source for r in carried if r.n_removed == 0)
+
+
+def test_word_windows_of_other_sizes(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    for window, seed in ((4, 2), (7, 3), (5, 5)):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in windows.remove_repeats(docs(spark, texts), window=window, seed=seed, digest=True).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_words(texts, window)
+
+
+def test_word_windows_carry_columns_of_any_name(spark):
+    base = prose(1, 10, 40)
+    texts = base + base[:4] + ODD
+    clash = {"bucket": texts, "n_removed": texts, "rows": texts, "runs": texts}
+    df = docs(spark, texts, **clash)
+    carried = windows.remove_repeats(df.drop("n_removed"), carry=["bucket", "rows", "runs"])
+    assert carried.columns == ["doc_id", "bucket", "rows", "runs", "n_words", "n_removed", "kept"]
+    want = brute_words(texts)
+    for r in carried.collect():
+        assert r.bucket == r.rows == r.runs == texts[r.doc_id] and r.n_removed == want[r.doc_id][1]
+        assert r.n_removed or r.kept == texts[r.doc_id]
 
 
 def test_words_in_slices(monkeypatch, spark):
