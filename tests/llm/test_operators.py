@@ -191,6 +191,39 @@ def test_minhash_classes(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(want)) and set(left.columns) == set(df.columns)
 
 
+@pytest.mark.parametrize("crowd", [4, 256])
+def test_minhash_of_many_unlike_halves(spark, crowd):
+    """Documents that share half of their shingles meet in large buckets; those that are alike are found among them."""
+    rng = random.Random(21)
+    common_half = " ".join(prose(31, 1, 80, 5000))
+    halves = [f"{common_half} {own}" for own in prose(32, 240, 80, 5000)]
+    texts = halves + [edited(t, rng, 2) for t in halves[::3]]
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs(spark, texts), crowd=crowd).collect()}
+    want = brute_classes(texts)
+    assert sum(got[i] == want[i] for i in range(len(texts))) >= 0.99 * len(texts)
+
+
+def test_large_buckets_are_dealt_anew(spark):
+    rng = random.Random(4)
+    signature = [[rng.randrange(9) * 1000 + i for i in range(minhash.BANDS)] for _ in range(400)]
+    alike = [(k, 400 + k) for k in range(60)]  # a third of the bands in common with another, as documents that are alike have
+    signature += [[x if rng.random() < 1 / 3 else 10**6 + 100 * k + i for i, x in enumerate(signature[k])] for k, _ in alike]
+    texts = spark.createDataFrame([(i, s) for i, s in enumerate(signature)], "rep long, bands array<long>")
+    ranked = texts.select("rep", F.posexplode("bands").alias("i", "band")).withColumn("degree", F.lit(1))
+    met = minhash._open_buckets(ranked, texts, spark.createDataFrame([], "node long, component long"), 16).groupBy("key").agg(F.collect_set("rep").alias("m")).collect()
+    members = [set(r.m) for r in met]
+    assert max(map(len, members)) <= 16 and sum(map(len, members)) <= 460 * minhash.BANDS * minhash.STEPS
+    assert sum(any(a in m and b in m for m in members) for a, b in alike) >= 58
+
+
+def test_minhash_with_clashing_columns(spark):
+    texts = prose(41, 6, 30)
+    df = docs(spark, texts + texts[:2], text_key=texts + texts[:2], bands=texts + texts[:2], kept=texts + texts[:2])
+    assert sorted((r.doc_id, r.class_id) for r in minhash.classes(df).collect()) == [(i, i) for i in range(6)] + [(6, 0), (7, 1)]
+    left = minhash.first_of_each(df)
+    assert left.count() == 6 and sorted(left.columns) == sorted(df.columns)
+
+
 def test_minhash_without_ids_or_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id, r.class_id) for r in minhash.classes(df).where("doc_id is not null").collect()) == [(1, 1), (1, 1)]
