@@ -1,8 +1,10 @@
 """WARC archives: written with segments, and reassembled.
 
-Writing is DataFrame work: each page's payload is framed in chunks inside an HTTP response, a response longer than a
-segment continues in further records, and the text writer puts records one after another into gzip files (its line
-separator is the empty line that ends a record). Of records with equal payloads of at least `least_bytes` bytes, the
+Each page's payload is framed in chunks inside an HTTP response, and a response longer than a segment continues in
+further records: DataFrame work. Each record is a gzip member of its own, and Spark's text writer puts members one after
+another, so no worker opens a file (its separator can't be empty; it is a gzip member without content, which readers
+pass over). A file has so many records that it can't hold more than FILE_BYTES of them, whatever the pages. Readers
+inflate a file piece by piece and hold one record at a time. Of records with equal payloads of at least `least_bytes` bytes, the
 one of the smallest page is a response and the others are revisits of it.
 
 Reading groups continuation records by the identifier of the record they continue, orders them by segment number,
@@ -18,10 +20,10 @@ id are all responses. An empty table gives an empty archive.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +33,11 @@ from . import common
 
 SEGMENT = 64 * 1024
 CHUNK = 8 * 1024
-RECORDS_PER_FILE = 20_000
+#: Bytes of segments in one file, at most.
+FILE_BYTES = 128 << 20
 _END = "\r\n\r\n"
+#: A gzip member without content: header, an empty block, checksum and length of nothing.
+_EMPTY = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -98,25 +103,61 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
 
 
 def write(pages: DataFrame, path: str, **options) -> str:
-    """Writes archives (*.gz) into a folder."""
-    records(pages, **options).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Writes archives into a folder."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.settle(batches):
+            packed = [gzip.compress(v.as_py(), mtime=0) for v in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, type=pa.binary())], names=["member"])
+
+    most = max(1, FILE_BYTES // options.get("segment", SEGMENT))
+    common.text_batches(pages.sparkSession)
+    packed = records(pages, **options).select(F.concat("record", F.lit(_END)).cast("binary").alias("record")).mapInArrow(members, "member binary")
+    separator = _EMPTY.decode("latin-1")
+    packed.select(F.col("member").cast("string")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", most).text(path)
     return path
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """The records of an archive: headers by lower-case name, and the block."""
-    at, whole = 0, memoryview(data)
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:stop].decode().split("\r\n")
+def inflate(data: bytes, piece: int = 1 << 16) -> Iterator[bytes]:
+    """The content of a gzip file piece by piece, one member after another."""
+    whole, at, d = memoryview(data), 0, zlib.decompressobj(31)
+    while at < len(whole):
+        some = whole[at : at + piece]
+        out = d.decompress(some)
+        at += len(some) - len(d.unused_data)
+        if out:
+            yield out
+        if d.eof:
+            d = zlib.decompressobj(31)
+        elif at == len(whole):
+            raise ValueError("a gzip member is cut short")
+
+
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of an archive that comes in pieces: headers by lower-case name, and the block."""
+    source, held = iter(pieces), bytearray()
+
+    def reach(n: int) -> bool:
+        while len(held) < n and (more := next(source, None)) is not None:
+            held.extend(more)
+        return len(held) >= n
+
+    while reach(1):
+        seen = 0
+        while (stop := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not reach(seen + 1):
+                raise ValueError("a record is cut short")
+        first, *lines = held[:stop].decode().split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError("no record where one should begin")
         headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
         end = stop + 4 + int(headers["content-length"])
-        if end > len(data):
+        if not reach(end):
             raise ValueError("a record is cut short")
-        yield headers, whole[stop + 4 : end]
-        at = end + 4
+        yield headers, bytes(held[stop + 4 : end])
+        reach(end + 4)
+        del held[: end + 4]
 
 
 def dechunk(body: bytes) -> bytes | None:
@@ -163,16 +204,6 @@ def _row(h: dict[str, str], block: bytes | None, payloads: bool) -> dict:
     return out
 
 
-def _gunzip(data: bytes) -> bytes:
-    """All members of a gzip file, one after another."""
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join(out)
-
-
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row for each response and revisit of the archives in a folder, with its segments put together."""
 
@@ -181,13 +212,13 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for value in batch.column(0):
                 found, held = [], 0
-                for h, block in parse(_gunzip(value.as_py())):
+                for h, block in parse(inflate(value.as_py())):
                     if "warc-segment-number" in h:
                         number = int(h["warc-segment-number"])
-                        row = {"origin": h.get("warc-segment-origin-id", h["warc-record-id"]), "number": number, "total": int(h.get("warc-segment-total-length", 0)) or None, "block": bytes(block)}
+                        row = {"origin": h.get("warc-segment-origin-id", h["warc-record-id"]), "number": number, "total": int(h.get("warc-segment-total-length", 0)) or None, "block": block}
                         found.append((_row(h, None, False) if number == 1 else dict.fromkeys((k for k, _ in _FIELDS))) | row)
                     else:
-                        found.append(_row(h, bytes(block), payloads) | dict.fromkeys(k for k, _ in _SEGMENT))
+                        found.append(_row(h, block, payloads) | dict.fromkeys(k for k, _ in _SEGMENT))
                     held += len(block)
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_pylist(found, schema=fields)
@@ -213,7 +244,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
             row = {k: first[k] for k, _ in _FIELDS} | {"ok": payload is not None, "payload_bytes": None if payload is None else len(payload), "payload": payload if payloads else None}
         return pa.Table.from_pylist([row] * copies, schema=pa.schema(_FIELDS))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,txt}").load(path).select("content")
     parsed = common.materialize(files.mapInArrow(rows, f"{_WHOLE}, origin string, number int, total long, block binary"), "warc")
     names = [k for k, _ in _FIELDS]
     whole = parsed.where(F.col("origin").isNull()).select(names)
@@ -224,7 +255,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Writes pages, reads the archives back, and tells of each record what it holds."""
     spark = pages.sparkSession
-    path = write(pages, f"{common.shared_folder(spark)}/archives-{uuid.uuid4().hex}", **options)
+    path = write(pages, common.own_folder(spark, "archives"), **options)
     back = read(spark, path, payloads=False)
     # A response's name is unique but for rows that are equal, so this join keeps one row for each record.
     targets = back.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("__bytes"))

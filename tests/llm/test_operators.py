@@ -293,6 +293,27 @@ def test_warc_segments_are_verified(spark, tmp_path):
         assert len(rows) == 1 and not rows[0].ok and rows[0].payload is None
 
 
+def test_each_record_is_a_gzip_member(spark, tmp_path):
+    """Other readers see members one after another, of which every other one is a record; files are bounded by bytes."""
+    texts = ["<p>é</p>" * 40, "x" * 1000, ""]
+    path = warc.write(spark.createDataFrame(enumerate(texts), "page_id long, html string").withColumn("url", F.lit("http://h/")).coalesce(1), str(tmp_path / "w"), segment=300)
+    files = sorted((tmp_path / "w").glob("part-*"))
+    data = b"".join(f.read_bytes() for f in files)
+    members = []
+    while data:
+        d = zlib.decompressobj(31)
+        members.append(d.decompress(data))
+        data = d.unused_data
+    records = [m for m in members if m]
+    assert len(members) == 2 * len(records) and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in records)
+    assert b"".join(warc.inflate(b"".join(f.read_bytes() for f in files), 7)) == b"".join(records)
+    assert [h for h, _ in warc.parse(records)] == [h for h, _ in warc.parse([bytes([x]) for x in b"".join(records)])]
+    for broken in (files[0].read_bytes()[:-9], files[0].read_bytes()[:30]):
+        with pytest.raises(ValueError, match="cut short"):
+            list(warc.parse(warc.inflate(broken)))
+    assert warc.read(spark, path).where("ok").count() == 3
+
+
 def test_chunked_framing():
     assert warc.dechunk(b"3\r\nabc\r\n2;x=y\r\nde\r\n0\r\n\r\n") == b"abcde"
     for bad in (b"3\r\nab", b"zz\r\n", b"3\r\nabcX\r\n0\r\n\r\n", b""):
