@@ -262,28 +262,38 @@ def _commands(spark, sf_dir) -> DataFrame:
     return ledger.gated(memory_stream(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {o.folded()} SELECT * FROM audit")
 def put_fold_bridge(spark, sf_dir):
     return ledger.run(_commands(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {o.folded(bridge=False)} SELECT user, seq, outcome, fact_id, merged_into, score FROM audit")
 def leader_fold(spark, sf_dir):
     """Admission without the bridge: greedy leaders in the order of arrival."""
     return ledger.run(_commands(spark, sf_dir), settings=ledger.Settings(bridge=False)).select("user", "seq", "outcome", "fact_id", "merged_into", "score")
 
 
-@query()
+@query(f"WITH RECURSIVE {o.folded(cap=100)} SELECT user, outcome, count(*) AS n FROM audit GROUP BY ALL")
 def cap_enforcement(spark, sf_dir):
     return ledger.run(_commands(spark, sf_dir), settings=ledger.Settings(memory_cap=100)).groupBy("user", "outcome").agg(F.count("*").alias("n"))
 
 
-@query()
+_LAST = f"""SELECT f.id AS id, user, f.text AS text, sha256({o.norm('f.text')}) AS text_hash, f.source AS source, f.created AS created, f.heir AS tombstoned_by, CASE WHEN NOT f.live THEN 'supersede-auto-spot' END AS tombstone_reason,
+  CASE WHEN NOT f.live THEN 'auto-spot' END AS tombstone_actor, f.other AS conflict_with, 'STORE' AS gate_action, f.importance AS importance, 'stub:RuleJudge' AS judge, f.decided AS decided_at FROM last"""
+
+
+@query(f"WITH RECURSIVE {o.folded()} {_LAST}")
 def ledger_facts(spark, sf_dir):
     return ledger.run(_commands(spark, sf_dir), "facts")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {o.folded()}, shown AS (SELECT user, seq, unnest(string_split(relations, ',')) AS r FROM audit WHERE relations <> ''),
+    marked AS (SELECT user, seq AS new_id, split_part(r, ':', 1)::BIGINT AS old_id FROM shown WHERE split_part(r, ':', 3) = 'CONFLICT'),
+    open AS (SELECT user, count(*) AS conflicts FROM marked m WHERE NOT EXISTS (SELECT 1 FROM audit a WHERE a.user = m.user AND a.outcome = 'resurrect' AND a.seq > m.new_id AND a.fact_id IN (m.old_id, m.new_id)) GROUP BY 1),
+    l AS (SELECT user, count(*) FILTER (f.live) AS live FROM last GROUP BY 1), q AS (SELECT user, count(*) AS quarantined FROM audit WHERE outcome = 'quarantine' GROUP BY 1)
+    SELECT user, coalesce(live, 0) AS live, coalesce(quarantined, 0) AS quarantined, coalesce(conflicts, 0) AS conflicts FROM l FULL JOIN q USING (user) FULL JOIN open USING (user)"""
+)
 def ledger_status(spark, sf_dir):
     c = _commands(spark, sf_dir)
     return lifecycle.status(ledger.run(c, "facts"), ledger.run(c, "held"), ledger.run(c, "conflicts"))
@@ -587,12 +597,18 @@ def rate_offered_60s(spark, sf_dir):
     return limits.offered_load(_calls(spark, sf_dir)).select("event_id", "user_id", "calls", "chars_used")
 
 
-@query()
+@query(f"WITH RECURSIVE {o.admitted('user_id', 2, 3600)}")
 def rate_admitted(spark, sf_dir):
     """At most two calls of a user in an hour."""
     return limits.admitted_load(_calls(spark, sf_dir), calls=2, seconds=3600)
 
 
+@query(f"WITH RECURSIVE {o.admitted('0', 3, 1800)}")
+def rate_admitted_all(spark, sf_dir):
+    """One budget for all users together: at most three calls in half an hour."""
+    return limits.admitted_load(_calls(spark, sf_dir).withColumn("user_id", F.lit(0)), calls=3, seconds=1800)
+
+
 @query("SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 503 WHEN user_id % 10 = 0 THEN 400 WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 400 WHEN event_id % 7 = 0 THEN 429 ELSE 200 END::INT AS status FROM events")
 def request_status(spark, sf_dir):
     """The order in which requests are refused: switched off, without user, unknown, over budget."""

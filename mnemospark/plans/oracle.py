@@ -120,3 +120,69 @@ SUSPICIOUS = f"""{ADMITTED}, reading AS (SELECT user, seq, text, {norm('text')}
   ranked AS (SELECT *, row_number() OVER (PARTITION BY scope, new_id ORDER BY score DESC, old_id)::INT AS rank FROM paired),
   top AS (SELECT * FROM ranked WHERE rank <= {th.SCREEN_PAIRS}),
   voted AS (SELECT *, {votes_on('old_text', 'new_text')} FROM top)"""
+
+
+#: The committee's action on two votes.
+_ACTION = "CASE WHEN strict <> lenient THEN 'KEEP' WHEN strict = 'supersede' THEN 'TOMBSTONE' WHEN strict = 'conflict_unresolved' THEN 'CONFLICT' ELSE 'KEEP' END"
+
+
+def folded(cap: int = th.MEMORY_CAP, bridge: bool = True) -> str:
+    """CTEs (the WITH must be RECURSIVE) ending in `audit`, a row for each line of the memory stream, and `last`, each user's
+    facts at the end: admission of one user's lines in the order of seq, all users a line further at each step.
+
+    A fact is known by k, the first line of its normal form, and has the seq of the line that made it as its id.
+    """
+    fact = "k BIGINT, id BIGINT, live BOOLEAN, text VARCHAR, source VARCHAR, created BIGINT, heir BIGINT, other BIGINT, importance INT, decided BIGINT"
+    names = [x.split()[0] for x in fact.split(", ")]
+
+    def changed(**new: str) -> str:
+        return "struct_pack(" + ", ".join(f"{n} := {new.get(n, 'f.' + n)}" for n in names) + ")"
+
+    is_it, heard = "f.k = c_k", {"source": "c_source", "importance": "c_importance", "decided": "c_seq"}
+    again = changed(**heard)
+    revived = changed(**heard, live="true", text="c_text", created="c_seq", heir="NULL::BIGINT", other="NULL::BIGINT")
+    made = "struct_pack(k := c_k, id := c_seq, live := true, text := c_text, source := c_source, created := c_seq, heir := NULL::BIGINT, other := (CASE WHEN len(against) > 0 THEN against[-1] END), importance := c_importance, decided := c_seq)"
+    bridged = "true" if bridge else "false"
+    return f"""{gated(MEMORY)},
+  stored AS (SELECT user, seq, text, norm, source, importance, row_number() OVER (PARTITION BY user ORDER BY seq) AS n, min(seq) OVER (PARTITION BY user, norm) AS k FROM gated WHERE action = 'STORE'),
+  reading AS (SELECT user, k, text, norm, {tokens('text')} AS tokens, {content('text')} AS content, {numbers('text')} AS numbers, {phrase('lower(text)', w.NEGATION + w.STRONG + w.WEAK)} AS signal FROM stored WHERE seq = k),
+  paired AS (SELECT a.user AS user, a.k AS old_k, b.k AS new_k, {jaccard('a.tokens', 'b.tokens')} AS score, b.signal OR {differ('a.content', 'b.content')} OR {differ('a.numbers', 'b.numbers')} AS doubt, a.text AS old_text, b.text AS new_text
+    FROM reading a JOIN reading b ON a.user = b.user AND a.k <> b.k WHERE {jaccard('a.tokens', 'b.tokens')} >= {th.SCREEN_JACCARD}),
+  voted AS (SELECT user, old_k, new_k, score, doubt, {votes_on('old_text', 'new_text')} FROM paired),
+  beside AS (SELECT user, new_k AS k, list(struct_pack(k := old_k, score := score, doubt := doubt, action := {_ACTION}, said := strict || ':' || {_ACTION} || ':' || CASE WHEN strict = lenient THEN strict || '-auto-spot' ELSE 'veto-keep' END) ORDER BY old_k) AS near FROM voted GROUP BY ALL),
+  command AS MATERIALIZED (SELECT user AS c_user, n AS c_n, k AS c_k, seq AS c_seq, text AS c_text, source AS c_source, importance AS c_importance, coalesce(near, []) AS near FROM stored LEFT JOIN beside USING (user, k)),
+  fold AS (
+    SELECT DISTINCT user, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS outcome, NULL::BIGINT AS fact_id, NULL::BIGINT AS merged_into, NULL::DOUBLE AS score, NULL::BIGINT AS flagged, NULL::BIGINT AS cut, NULL::VARCHAR AS relations, []::STRUCT({fact})[] AS facts FROM stored
+    UNION ALL
+    SELECT user, c_n, c_seq, outcome, CASE outcome WHEN 'insert' THEN c_seq WHEN 'near' THEN best.id WHEN 'cap' THEN NULL ELSE own.id END, CASE outcome WHEN 'exact' THEN own.id WHEN 'near' THEN best.id END,
+      CASE outcome WHEN 'exact' THEN 1.0::DOUBLE WHEN 'near' THEN best.score END, CASE WHEN outcome = 'insert' AND {bridged} THEN len(flagged) END, CASE WHEN outcome = 'insert' AND {bridged} THEN greatest(len(flagged) - {th.SCREEN_PAIRS}, 0) END,
+      CASE WHEN outcome = 'insert' AND {bridged} THEN array_to_string(list_transform(shown, lambda x: x.id || ':' || x.said), ',') END,
+      CASE outcome WHEN 'exact' THEN list_transform(facts, lambda f: CASE WHEN {is_it} THEN {again} ELSE f END)
+        WHEN 'near' THEN list_transform(facts, lambda f: CASE WHEN f.k = best.k THEN {again} ELSE f END)
+        WHEN 'resurrect' THEN list_transform(facts, lambda f: CASE WHEN {is_it} THEN {revived} WHEN f.id = own.other AND f.other = own.id THEN {changed(other='NULL::BIGINT')} ELSE f END)
+        WHEN 'cap' THEN facts
+        ELSE list_append(list_transform(facts, lambda f: CASE WHEN list_contains(gone, f.id) THEN {changed(live='false', heir='c_seq')} WHEN list_contains(against, f.id) THEN {changed(other='c_seq')} ELSE f END), {made}) END
+    FROM (SELECT *, list_transform(list_filter(shown, lambda x: x.action = 'TOMBSTONE'), lambda x: x.id) AS gone, list_transform(list_filter(shown, lambda x: x.action = 'CONFLICT'), lambda x: x.id) AS against
+      FROM (SELECT *, flagged[:{th.SCREEN_PAIRS}] AS shown,
+          CASE WHEN own.live THEN 'exact' WHEN own IS NOT NULL THEN 'resurrect' WHEN best.score >= {th.DEDUP_JACCARD} THEN 'near' WHEN len(list_filter(facts, lambda f: f.live)) >= {cap} THEN 'cap' ELSE 'insert' END AS outcome
+        FROM (SELECT *, list_sort(alike)[1] AS first, CASE WHEN len(alike) > 0 THEN struct_pack(score := -list_sort(alike)[1].less, id := list_sort(alike)[1].id, k := list_sort(alike)[1].k) END AS best, CASE WHEN {bridged} THEN list_sort(list_filter(alike, lambda x: x.doubt)) ELSE list_filter(alike, lambda x: false) END AS flagged
+          FROM (SELECT user, facts, command.*, list_filter(facts, lambda f: {is_it})[1] AS own,
+              list_transform(list_filter(facts, lambda f: f.live AND list_contains(list_transform(near, lambda x: x.k), f.k)),
+                lambda f: struct_pack(less := -near[list_position(list_transform(near, lambda x: x.k), f.k)].score, id := f.id, k := f.k, doubt := near[list_position(list_transform(near, lambda x: x.k), f.k)].doubt,
+                  action := near[list_position(list_transform(near, lambda x: x.k), f.k)].action, said := near[list_position(list_transform(near, lambda x: x.k), f.k)].said)) AS alike
+            FROM fold JOIN command ON c_user = user AND c_n = n + 1))))),
+  audit AS (SELECT g.user, g.seq, 'admit' AS op, CASE WHEN g.action = 'DROP' THEN 'drop' WHEN g.action = 'QUARANTINE' OR f.outcome = 'cap' THEN 'quarantine' ELSE f.outcome END AS outcome, f.fact_id, f.merged_into, f.score, f.flagged, f.cut, f.relations,
+    CASE WHEN f.outcome = 'cap' THEN 'per-user-memory-cap' WHEN g.action <> 'STORE' THEN g.reason END AS reason FROM gated g LEFT JOIN fold f ON f.user = g.user AND f.seq = g.seq),
+  last AS (SELECT user, unnest(facts) AS f FROM (SELECT user, arg_max(facts, n) AS facts FROM fold GROUP BY user))"""
+
+
+def admitted(scope: str, calls: int, seconds: int, chars: int = th.CHARS_PER_WINDOW) -> str:
+    """CTEs (RECURSIVE) and a SELECT: each event's call admitted or not against its scope's budget, in the order of time."""
+    return f"""call AS MATERIALIZED (SELECT event_id AS c_key, ({scope})::BIGINT AS c_scope, epoch_us(ts) / 1e6::DOUBLE AS c_at, length(props) AS c_chars, row_number() OVER (PARTITION BY {scope} ORDER BY epoch_us(ts), event_id) AS c_n FROM events),
+  fold AS (SELECT DISTINCT NULL::BIGINT AS key, c_scope AS scope, 0::BIGINT AS n, false AS admitted, 0::BIGINT AS retry_after, []::STRUCT(t DOUBLE, chars BIGINT)[] AS entries FROM call
+    UNION ALL
+    SELECT c_key, scope, c_n, fits, CASE WHEN fits THEN 0 ELSE greatest(1, trunc({seconds} - (c_at - coalesce(list_min(list_transform(kept, lambda e: e.t)), c_at)))::BIGINT + 1) END,
+      CASE WHEN fits THEN list_append(kept, struct_pack(t := c_at, chars := c_chars)) ELSE kept END
+    FROM (SELECT *, len(kept) < {calls} AND coalesce(list_sum(list_transform(kept, lambda e: e.chars)), 0) + c_chars <= {chars} AS fits
+      FROM (SELECT *, list_filter(entries, lambda e: e.t > c_at - {seconds}) AS kept FROM fold JOIN call ON c_scope = scope AND c_n = n + 1)))
+  SELECT key, scope, admitted, retry_after FROM fold WHERE n > 0"""
