@@ -203,17 +203,16 @@ def test_minhash_of_many_unlike_halves(spark, crowd):
     assert sum(got[i] == want[i] for i in range(len(texts))) >= 0.99 * len(texts)
 
 
-def test_large_buckets_are_dealt_anew(spark):
+def test_large_groups_are_dealt_by_bands(spark):
     rng = random.Random(4)
     signature = [[rng.randrange(9) * 1000 + i for i in range(minhash.BANDS)] for _ in range(400)]
     alike = [(k, 400 + k) for k in range(60)]  # a third of the bands in common with another, as documents that are alike have
     signature += [[x if rng.random() < 1 / 3 else 10**6 + 100 * k + i for i, x in enumerate(signature[k])] for k, _ in alike]
     texts = spark.createDataFrame([(i, s) for i, s in enumerate(signature)], "rep long, bands array<long>")
-    ranked = texts.select("rep", F.posexplode("bands").alias("i", "band")).withColumn("degree", F.lit(1))
-    met = minhash._open_buckets(ranked, texts, spark.createDataFrame([], "node long, component long"), 16).groupBy("key").agg(F.collect_set("rep").alias("m")).collect()
-    members = [set(r.m) for r in met]
-    assert max(map(len, members)) <= 16 and sum(map(len, members)) <= 460 * minhash.BANDS * minhash.STEPS
-    assert sum(any(a in m and b in m for m in members) for a, b in alike) >= 58
+    groups = texts.select(F.lit(7).cast("long").alias("key"), F.col("rep").alias("a"), F.col("rep").alias("component"))
+    met = minhash._dealt(groups, texts, 16).distinct().collect()
+    assert len(met) < 460 * 460 / 4 and {(r.a, r.b) for r in met} <= {(a, b) for b in range(460) for a in range(b)}
+    assert len(set(alike) & {(r.a, r.b) for r in met}) >= 58
 
 
 def test_minhash_with_clashing_columns(spark):
