@@ -17,6 +17,16 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
+
+
+def lines(text: Column) -> Column:
+    """The lines of a text, as Python's str.splitlines has them."""
+    return F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(normalize(text), 256)
 

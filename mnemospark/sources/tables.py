@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import words
+from ..functions import text, words
 from ..operators.ledger import FACTS
 from ..operators.lifecycle import migrate
 from ..operators.metrics import fingerprint
@@ -89,17 +89,28 @@ def case_strings(cases: DataFrame) -> DataFrame:
     return cases.select("id", F.explode(listed).alias("text"))
 
 
-def read_texts(spark: SparkSession, path: str, endings: tuple[str, ...] = TEXT_ENDINGS) -> tuple[DataFrame, DataFrame]:
-    """(strings, bodies) of text artifacts: the stripped whole and its distinct stripped lines; (path, body, is_json)."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{" + ",".join(endings) + "}").option("recursiveFileLookup", True).text(path)
+def artifact_paths(spark: SparkSession, root: str, extra: str | None = None) -> list[str]:
+    """The files that a registry may have been tuned on: all in thresholds, and those of eval that are named so; and one more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = {extra} if extra else set()
+    for ending in ("json", *TEXT_ENDINGS):
+        for place in (f"thresholds/*.{ending}", f"eval/thresholds*.{ending}"):
+            where = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{place}")
+            found |= {f.getPath().toString() for f in where.getFileSystem(conf).globStatus(where) or []}
+    return sorted(found)
+
+
+def read_texts(spark: SparkSession, path: str | list[str], endings: tuple[str, ...] = TEXT_ENDINGS) -> tuple[DataFrame, DataFrame]:
+    """(strings, bodies) of text artifacts: the stripped whole and its distinct stripped lines, if there is anything; (path, body, is_json)."""
+    files = spark.read.option("pathGlobFilter", "*.{" + ",".join(endings) + "}").option("recursiveFileLookup", True).text(path, wholetext=True)
     bodies = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"), F.lit(False).alias("is_json"))
-    strings = bodies.select("path", F.explode(F.array_distinct(F.concat(F.transform(F.split("body", r"\r\n|\r|\n"), F.trim), F.array(F.trim("body"))))).alias("s")).where("s != ''")
+    strings = bodies.select("path", F.explode(F.array_distinct(F.concat(F.transform(text.lines(F.col("body")), lambda x: text.strip(x)), F.array(text.strip(F.col("body")))))).alias("s")).where("s != ''")
     return strings, bodies
 
 
-def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_json(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(strings, bodies) of JSON artifacts: every string value at any depth. A file that isn't JSON stops the read."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(path, wholetext=True)
     bodies = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"), F.lit(True).alias("is_json"))
 
     def strings_of(value) -> list[str]:
