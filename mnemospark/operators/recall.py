@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions import thresholds as th
+from . import similarity
 
 
 def score(queries: DataFrame, live: DataFrame, scope: str = "user") -> DataFrame:
@@ -20,6 +21,18 @@ def score(queries: DataFrame, live: DataFrame, scope: str = "user") -> DataFrame
     return q.join(f, scope).select("query_id", "id", "text", text.set_jaccard(F.col("__q"), F.col("__t")).alias("score"))
 
 
+def matches(queries: DataFrame, live: DataFrame, gate: float = th.RECALL_GATE, scope: str = "user") -> DataFrame:
+    """The rows of score at or above the gate, through the index of tokens: facts that can't reach it are never met."""
+    q = queries.select(scope, "query_id", text.token_set(F.col("query")).alias("tokens"))
+    f = live.select(scope, "id", "text", text.token_set(F.col("text")).alias("tokens"))
+    order = similarity.frequent_tokens(q, f)
+    size = F.least("q_n", "f_n") >= F.greatest("q_n", "f_n") * F.lit(gate) - 1e-9
+    asked, found = similarity.prefixes(q, order, gate, scope, "query_id").withColumnRenamed("n", "q_n"), similarity.prefixes(f, order, gate, scope, "id").withColumnRenamed("n", "f_n")
+    pairs = asked.join(found, [scope, "token"]).where(size).select(scope, "query_id", "id").distinct()
+    both = pairs.join(q.withColumnRenamed("tokens", "__q"), [scope, "query_id"]).join(f.withColumnRenamed("tokens", "__t"), [scope, "id"])
+    return both.select("query_id", "id", "text", text.set_jaccard(F.col("__q"), F.col("__t")).alias("score")).where(F.col("score") >= gate)
+
+
 def select(scored: DataFrame, gate: float = th.RECALL_GATE, band: float = th.RECALL_BAND, cap: int = th.RECALL_CAP, query: str = "query_id", order: str = "id") -> DataFrame:
     """Rows at or above the gate and within the band below the best, best first, at most cap; adds rank from 1."""
     kept = scored.where(F.col("score") >= gate).withColumn("__best", F.max("score").over(Window.partitionBy(query)))

@@ -1,8 +1,10 @@
 """Exact and near duplicates of short texts within a scope, and the screen for suspicious pairs.
 
-Inputs have an id, a scope (equal scopes only are compared) and a text. near_pairs compares all pairs of a scope;
-near_pairs_prefix gives the same rows through an index: of each token set, in the order of rarity, the first
-n - ceil(t n) + 1 tokens are joined, as two sets of Jaccard t must share one of them.
+Inputs have an id, a scope (equal scopes only are compared) and a text. near_pairs compares all pairs of a scope and is
+there to be held against; the others go through an index: of each token set, in one order of all tokens, the first
+n - ceil(t n) + 1 are joined, as two sets of Jaccard t must share one of them. The order puts the FREQUENT most frequent
+tokens last, the rarest of them first; the others come before them, as they sort. It is one small row that every task
+gets, so prefixes are cut where the texts are read, and nothing but prefixes is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ from pyspark.sql.window import Window
 from ..functions import relation, text
 from ..functions import thresholds as th
 
+#: Tokens that the order knows by how frequent they are.
+FREQUENT = 512
+
 
 def exact_groups(df: DataFrame, key: str = "doc_id", content: str = "text", *scope: str) -> DataFrame:
     """One row for each distinct normal form of a scope: its hash, first id and rows."""
@@ -47,27 +52,51 @@ def near_pairs(df: DataFrame, least: float = th.DEDUP_JACCARD, key: str = "doc_i
     return old.join(new, (old["scope"] == new["scope"]) & (F.col("old_id") < F.col("new_id")) & alike).drop(new["scope"]).select("scope", "old_id", "new_id", score.alias("score"))
 
 
-def near_pairs_prefix(df: DataFrame, least: float = th.DEDUP_JACCARD, key: str = "doc_id", scope: str = "lang", content: str = "text") -> DataFrame:
-    """The rows of near_pairs by prefix filtering.
+def frequent_tokens(*sets: DataFrame) -> DataFrame:
+    """One row: the FREQUENT most frequent tokens of tables (tokens), the rarest first."""
+    tokens = sets[0].select(F.explode("tokens").alias("t"))
+    for other in sets[1:]:
+        tokens = tokens.unionByName(other.select(F.explode("tokens").alias("t")))
+    top = tokens.groupBy("t").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "t").limit(FREQUENT)
+    return top.agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]).alias("__frequent"))
+
+
+def prefixes(sets: DataFrame, frequent: DataFrame, least: float, *keys: str) -> DataFrame:
+    """keys, n and token: the tokens of each set (tokens) by which others of this similarity are found; '' for an empty set."""
+    n = F.size("tokens")
+    keep = (n - F.ceil(n * F.lit(least) - 1e-9) + 1).cast("int")
+    order = F.concat(F.array_sort(F.array_except("tokens", "__frequent")), F.array_intersect("__frequent", "tokens"))
+    first = F.when(n == 0, F.array(F.lit(""))).otherwise(F.slice(order, F.lit(1), keep))
+    return sets.join(F.broadcast(frequent)).select(*keys, n.alias("n"), F.explode(first).alias("token"))  # a single row
+
+
+def near_sets(df: DataFrame, least: float = th.DEDUP_JACCARD, key: str = "doc_id", scope: str = "lang", content: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows of df by token set, and the pairs of sets: (scope, id, rep, n) and (scope, x, y, score).
 
-    Texts with the same tokens are compared as one, so many copies of a text don't meet in the index; empty sets, which have
-    no tokens to be indexed by, are alike by 1.
+    Texts of a scope with the same tokens are one set, called by its smallest id (rep) with n of them; x and y are such ids.
     """
-    s = _sets(df, key, scope, content).withColumn("tokens", F.array_sort("tokens")).withColumn("set", F.xxhash64("tokens"))
-    one = s.groupBy("scope", "set").agg(F.first("tokens").alias("tokens"))
-    spread = one.select("scope", "set", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    rarity = spread.groupBy("scope", "token").agg(F.count("*").alias("f"))
-    ranked = spread.join(rarity, ["scope", "token"]).withColumn("r", F.row_number().over(Window.partitionBy("scope", "set").orderBy("f", "token")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("scope", "token", "set", "n")
-    a, b = prefix.select("scope", "token", F.col("set").alias("x"), F.col("n").alias("xn")), prefix.select("scope", "token", F.col("set").alias("y"), F.col("n").alias("yn"))
+    s = _sets(df, key, scope, content).withColumn("tokens", F.array_sort("tokens"))
+    one = s.groupBy("scope", "tokens").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    prefix = prefixes(one, frequent_tokens(one), least, "scope", "rep")
+    a, b = prefix.select("scope", "token", F.col("rep").alias("x"), F.col("n").alias("xn")), prefix.select("scope", "token", F.col("rep").alias("y"), F.col("n").alias("yn"))
     size = F.least("xn", "yn") >= F.greatest("xn", "yn") * F.lit(least) - 1e-9
     candidates = a.join(b, ["scope", "token"]).where((F.col("x") < F.col("y")) & size).select("scope", "x", "y").distinct()
-    left, right = (one.select("scope", F.col("set").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("x", "y"))
+    left, right = (one.select("scope", F.col("rep").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("x", "y"))
     score = text.set_jaccard(F.col("x_tokens"), F.col("y_tokens"))
-    alike = candidates.join(left, ["scope", "x"]).join(right, ["scope", "y"]).withColumn("score", score).where(F.col("score") >= least).select("scope", "x", "y", "score")
-    members = s.select("scope", "set", "id")
-    across = alike.join(members.select("scope", F.col("set").alias("x"), F.col("id").alias("p")), ["scope", "x"]).join(members.select("scope", F.col("set").alias("y"), F.col("id").alias("q")), ["scope", "y"])
-    within = members.select("scope", "set", F.col("id").alias("p")).join(members.select("scope", "set", F.col("id").alias("q")), ["scope", "set"]).where("p < q").withColumn("score", F.lit(1.0))
+    pairs = candidates.join(left, ["scope", "x"]).join(right, ["scope", "y"]).withColumn("score", score).where(F.col("score") >= least).select("scope", "x", "y", "score")
+    known = one.select(F.col("scope").alias("__scope"), F.col("tokens").alias("__tokens"), "rep", "n")
+    members = s.join(known, F.col("scope").eqNullSafe(F.col("__scope")) & (F.col("tokens") == F.col("__tokens"))).select("scope", "id", "rep", "n")
+    return members, pairs
+
+
+def near_pairs_prefix(df: DataFrame, least: float = th.DEDUP_JACCARD, key: str = "doc_id", scope: str = "lang", content: str = "text") -> DataFrame:
+    """The rows of near_pairs through the index. Copies give a row for each two of them; near_sets doesn't expand them."""
+    members, alike = near_sets(df, least, key, scope, content)
+    members = members.where("scope is not null")
+    mine = lambda p, q: members.select("scope", F.col("rep").alias(p), F.col("id").alias(q))
+    across = alike.join(mine("x", "p"), ["scope", "x"]).join(mine("y", "q"), ["scope", "y"])
+    copies = members.where("n > 1")
+    within = copies.select("scope", "rep", F.col("id").alias("p")).join(copies.select("scope", "rep", F.col("id").alias("q")), ["scope", "rep"]).where("p < q").withColumn("score", F.lit(1.0))
     both = across.select("scope", "p", "q", "score").unionByName(within.select("scope", "p", "q", "score"))
     return both.select("scope", F.least("p", "q").alias("old_id"), F.greatest("p", "q").alias("new_id"), "score")
 
@@ -88,20 +117,24 @@ def candidate_pairs(df: DataFrame, key: str, scope: str, content: str) -> DataFr
 def suspicious_pairs(df: DataFrame, key: str = "seq", scope: str = "user", content: str = "text", least: float = th.SCREEN_JACCARD) -> DataFrame:
     """Pairs of a scope that the committee should see, and the rank of each among those of its newer fact.
 
-    Distinct texts are screened once for each scope, and what the rules read in a text is read once for each text.
+    What the rules read in a text is read once for each text; pairs come from the index and are tested on what was read.
     """
     c = F.col(content)
     read = df.select(
         F.col(scope).alias("scope"), F.col(key).alias("id"), c.alias("t"), text.normalize(c).alias("norm"), text.token_set(c).alias("tokens"), F.array_sort(text.content_tokens(c)).alias("content"),
         F.array_sort(text.number_tokens(c)).alias("numbers"), text.has_change_signal(c).alias("signal"),
     ).withColumn("n", F.size("tokens"))
-    names = ("id", "t", "norm", "tokens", "content", "numbers", "signal", "n")
-    old, new = (read.select("scope", *[F.col(x).alias(f"{p}_{x}") for x in names]) for p in ("old", "new"))
-    score = text.set_jaccard(F.col("old_tokens"), F.col("new_tokens"))
+    prefix = prefixes(read, frequent_tokens(read), least, "scope", "id")
+    a, b = prefix.select("scope", "token", F.col("id").alias("old_id"), F.col("n").alias("a_n")), prefix.select("scope", "token", F.col("id").alias("new_id"), F.col("n").alias("b_n"))
+    size = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(least) - 1e-9
+    candidates = a.join(b, ["scope", "token"]).where((F.col("old_id") < F.col("new_id")) & size).select("scope", "old_id", "new_id").distinct()
+    names = ("t", "norm", "tokens", "content", "numbers", "signal", "n")
+    old, new = (read.select("scope", F.col("id").alias(f"{p}_id"), *[F.col(x).alias(f"{p}_{x}") for x in names]) for p in ("old", "new"))
     detail = F.col("new_signal") | (F.col("old_content") != F.col("new_content")) | (F.col("old_numbers") != F.col("new_numbers"))
     alike = _alike(F.col("old_tokens"), F.col("new_tokens"), F.col("old_n"), F.col("new_n"), least)
-    pairs = old.join(new, (old["scope"] == new["scope"]) & (F.col("old_id") < F.col("new_id")) & (F.col("old_norm") != F.col("new_norm")) & detail & alike).drop(new["scope"])
+    pairs = candidates.join(old, ["scope", "old_id"]).join(new, ["scope", "new_id"]).where((F.col("old_norm") != F.col("new_norm")) & detail & alike)
     order = Window.partitionBy("scope", "new_id").orderBy(F.desc("score"), "old_id")
+    score = text.set_jaccard(F.col("old_tokens"), F.col("new_tokens"))
     return pairs.withColumn("score", score).select("scope", "old_id", "new_id", "score", F.col("old_t").alias("old_text"), F.col("new_t").alias("new_text")).withColumn("rank", F.row_number().over(order))
 
 
