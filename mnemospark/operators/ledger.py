@@ -140,6 +140,10 @@ class Ledger:
             if f.tombstoned_by is None:
                 self._index(f.id)
 
+    def revisit(self, f: Fact) -> None:
+        """Makes a tombstoned fact known that wasn't loaded with the others."""
+        self.facts[f.id], self.readings[f.id], self.by_hash[f.text_hash] = f, Reading(f.text), f.id
+
     def _index(self, i: int) -> None:
         self.live += 1
         for t in self.readings[i].tokens:
@@ -343,10 +347,11 @@ _TYPES = {"seq": "long", "importance": "int", "target_id": "long", "other_id": "
 
 
 def commands(df: DataFrame) -> DataFrame:
-    """df with every column of a command; what is missing is null, and op is admit."""
+    """df with every column of a command; what is missing is null, op is admit, and commands without a user are those of `local`."""
     have = set(df.columns)
     default = {"op": F.lit("admit")}
-    return df.select(*[(F.col(c) if c in have else default.get(c, F.lit(None))).cast(_TYPES.get(c, "string")).alias(c) for c in COMMAND])
+    out = df.select(*[(F.col(c) if c in have else default.get(c, F.lit(None))).cast(_TYPES.get(c, "string")).alias(c) for c in COMMAND])
+    return out.withColumn("user", F.coalesce("user", F.lit("local")))
 
 
 def gated(df: DataFrame, cutoffs: th.Gate | None = None) -> DataFrame:
@@ -359,7 +364,8 @@ def run(df: DataFrame, output: str = "audit", settings: Settings | None = None)
     """Folds commands (user, seq, op, ...) user by user in the order of seq.
 
     output: audit (a row for each command), facts, held, conflicts or reviews as they stand at the end. A user's
-    commands are one group: that is the order that results depend on; users are spread over tasks.
+    commands are one group: that is the order that results depend on; users are spread over tasks. A command without seq
+    has no place in that order: it changes nothing, and its audit row is an error.
     """
     shapes = {
         "audit": AUDIT, "facts": FACTS, "held": "user string, qid long, text string, reason string, source string",
@@ -385,7 +391,15 @@ def run(df: DataFrame, output: str = "audit", settings: Settings | None = None)
             yield _batch([{"user": ledger.user, **x} for x in ledger.dump()[output]], names, schema)
 
     # Scanned in order, a user's commands needn't be held in memory at once.
-    return commands(df).where("user is not null and seq is not null").repartition("user").sortWithinPartitions("user", "seq").mapInArrow(fold, schema)
+    known = commands(df)
+    done = known.where("seq is not null").repartition("user").sortWithinPartitions("user", "seq").mapInArrow(fold, schema)
+    return done.unionByName(refused(known)) if output == "audit" else done
+
+
+def refused(known: DataFrame) -> DataFrame:
+    """Audit rows of commands without a place in the order."""
+    fixed = {"user": F.col("user"), "op": F.col("op"), "outcome": F.lit("error"), "reason": F.lit("no-seq")}
+    return known.where("seq is null").select(*[fixed.get(n, F.lit(None)).cast(t).alias(n) for n, t in (x.strip().split(" ") for x in AUDIT.split(","))])
 
 
 _ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}

@@ -1,35 +1,132 @@
 """The ledger's fold over a stream: the same commands, the same audit rows.
 
-State is one JSON text for each user. Rows of a micro-batch are ordered by seq; across batches the order of arrival
-stands. State has no expiry: forgetting a user's facts would change what later commands mean.
+A user's state is keyed: live facts by id (the memory cap bounds them), tombstoned ones by the hash of their text, with
+their ids beside them, and held items by id. A micro-batch reads a user's live facts, and of the tombstoned ones only
+those whose text or id it meets; it writes back what it changed. So what a batch costs follows its commands and the live
+facts, however many were tombstoned; those stay in the state store on disk, as a text that comes again revives its fact.
+Rows of a micro-batch are ordered by seq; across batches the order of arrival stands.
+
+The state store is RocksDB (audit sets it for the session): keyed state asks for it.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import astuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.ledger import AUDIT, Ledger, Settings, commands
+from ..operators.ledger import AUDIT, FACTS, Fact, Ledger, Settings, commands, refused
 
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_LONGS = ("seq", "importance", "target_id", "other_id")
 
-def audit(stream: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Audit rows of a stream of commands (user, seq, op, ...), one user's state at a time."""
-    rules = settings or Settings()
-    names = [x.strip().split(" ")[0] for x in AUDIT.split(",")]
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        user = key[0]
-        ledger = Ledger.load(user, json.loads(state.get[0]), rules) if state.exists else Ledger(user, rules)
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        out = [ledger.apply({k: None if pd.isna(v) else int(v) if k in ("seq", "importance", "target_id", "other_id") else v for k, v in r.items()}) for r in rows.to_dict("records")]
-        state.update((json.dumps(ledger.dump()),))
-        frame = pd.DataFrame(out, columns=names)
+
+class _Known(dict):
+    """A dict that looks further where a key is missing, and keeps what it finds."""
+
+    def __init__(self, found: dict, further: Callable):
+        super().__init__(found)
+        self.further = further
+
+    def __contains__(self, key) -> bool:
+        return self.get(key) is not None
+
+    def __missing__(self, key):
+        found = self.get(key)
+        if found is None:
+            raise KeyError(key)
+        return found
+
+    def get(self, key, default=None):
+        if not super().__contains__(key):
+            found = self.further(key)
+            if found is None:
+                return default
+            self[key] = found
+        return super().__getitem__(key)
+
+
+class _Processor(StatefulProcessor):
+    def __init__(self, rules: Settings):
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getMapState("live", "id long", FACTS)
+        self.dead = handle.getMapState("dead", "text_hash string", FACTS)
+        self.dead_ids = handle.getMapState("dead_ids", "id long", "text_hash string")
+        self.held = handle.getMapState("held", "qid long", "text string, reason string, source string")
+
+    def _ledger(self, user: str) -> tuple[Ledger, dict[int, tuple]]:
+        """The user's ledger with its live facts, and every fact as it was read."""
+        before: dict[int, tuple] = {}
+
+        def read(row: tuple) -> Fact:
+            fact = Fact(*row)
+            before[fact.id] = astuple(fact)
+            return fact
+
+        def by_hash(h: str) -> int | None:
+            if not self.dead.containsKey((h,)):
+                return None
+            fact = read(self.dead.getValue((h,)))
+            if not dict.__contains__(ledger.facts, fact.id):
+                ledger.revisit(fact)
+            return fact.id
+
+        def by_id(i: int) -> Fact | None:
+            if i is None or not self.dead_ids.containsKey((int(i),)):
+                return None
+            fact = read(self.dead.getValue(self.dead_ids.getValue((int(i),))))
+            ledger.revisit(fact)
+            return fact
+
+        facts = {f.id: f for f in (read(tuple(v)) for _, v in self.live.iterator())}
+        held = {k[0]: {"qid": k[0], "text": v[0], "reason": v[1], "source": v[2]} for k, v in self.held.iterator()}
+        ledger = Ledger(user, self.rules, facts, held)
+        ledger.facts, ledger.by_hash = _Known(ledger.facts, by_id), _Known(ledger.by_hash, by_hash)
+        return ledger, before
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ledger, before = self._ledger(key[0])
+        held = set(ledger.held)
+        frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        out = [ledger.apply({k: None if pd.isna(v) else int(v) if k in _LONGS else v for k, v in r.items()}) for r in frame.to_dict("records")]
+        for fact in dict.values(ledger.facts):
+            now, was = astuple(fact), before.get(fact.id)
+            if now == was:
+                continue
+            was_dead = was is not None and was[6] is not None
+            if fact.tombstoned_by is None:
+                self.live.updateValue((fact.id,), now)
+                if was_dead:
+                    self.dead.removeKey((fact.text_hash,))
+                    self.dead_ids.removeKey((fact.id,))
+            else:
+                self.dead.updateValue((fact.text_hash,), now)
+                if not was_dead:
+                    self.dead_ids.updateValue((fact.id,), (fact.text_hash,))
+                    if was is not None:
+                        self.live.removeKey((fact.id,))
+        for gone in held - set(ledger.held):
+            self.held.removeKey((gone,))
+        for qid in set(ledger.held) - held:
+            item = ledger.held[qid]
+            self.held.updateValue((qid,), (item["text"], item["reason"], item["source"]))
+        done = pd.DataFrame(out, columns=[x.strip().split(" ")[0] for x in AUDIT.split(",")])
         for c in ("fact_id", "merged_into", "flagged", "cut"):
-            frame[c] = frame[c].astype("Int64")
-        yield frame
+            done[c] = done[c].astype("Int64")
+        yield done
+
+    def close(self) -> None:
+        pass
+
 
-    return commands(stream).where("user is not null and seq is not null").groupBy("user").applyInPandasWithState(fold, AUDIT, "ledger string", "append", "NoTimeout")
+def audit(stream: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Audit rows of a stream of commands (user, seq, op, ...), one user's state at a time."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    known = commands(stream)
+    done = known.where("seq is not null").groupBy("user").transformWithStateInPandas(_Processor(settings or Settings()), AUDIT, "append", "None")
+    return done.unionByName(refused(known))
