@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import thresholds as th
@@ -76,24 +77,52 @@ def percentile_by_index(df: DataFrame, value: str, quantiles: dict[str, float],
     return upto.groupBy(*by).agg(F.max("__all").alias("n"), *picks)
 
 
+#: Values of a whole number in one slice of a ranking.
+SLICE = 10_000
+
+
+def numbered(df: DataFrame, order: Column, *by: str) -> DataFrame:
+    """Adds __r, a row's place from 0 in its group in order, and __n, the rows of the group.
+
+    No task ranks a whole group: rows are ranked within slices of the order (whole numbers by SLICE, strings by their
+    first two characters, structs by their first field), and slices are counted before they are added up.
+    """
+    keyed = df.withColumn("__k", order)
+    kind, first = keyed.schema["__k"].dataType, F.col("__k")
+    while isinstance(kind, T.StructType):
+        kind, first = kind[0].dataType, first.getField(kind[0].name)
+    part = F.floor(first / SLICE).cast("string") if isinstance(kind, T.IntegralType) else F.substring(first, 1, 2) if isinstance(kind, T.StringType) else F.lit("")
+    sliced = keyed.withColumn("__s", part)
+    place = F.floor(first / SLICE) if isinstance(kind, T.IntegralType) else F.col("__s")
+    counts = sliced.groupBy(*by, "__s").agg(F.count("*").alias("__c"), F.min(place).alias("__o"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__c").over(group.orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = [*by, "__s"]
+    known = counts.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(names)], before.alias("__before"), F.sum("__c").over(group).alias("__n"))
+    within = sliced.withColumn("__w", F.row_number().over(Window.partitionBy(*by, "__s").orderBy("__k")) - 1)
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return within.join(known, same).withColumn("__r", F.col("__before") + F.col("__w")).select(*df.columns, "__r", "__n")
+
+
 def split(df: DataFrame, key: Column, *strata: str) -> DataFrame:
     """Adds split: of each stratum in the order of key, the first half (rounded down) is train, the rest test."""
-    by = Window.partitionBy(*strata)
-    ranked = df.withColumns({"__r": F.row_number().over(by.orderBy(key)), "__n": F.count("*").over(by)})
-    return ranked.withColumn("split", F.when(F.col("__r") <= F.floor(F.col("__n") / 2), "train").otherwise("test")).drop("__r", "__n")
+    return numbered(df, key, *strata).withColumn("split", F.when(F.col("__r") < F.floor(F.col("__n") / 2), "train").otherwise("test")).drop("__r", "__n")
 
 
 def every(df: DataFrame, step: int, order: str, *by: str) -> DataFrame:
     """Each step-th row of a group, from the first."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where((F.col("__r") - 1) % step == 0).drop("__r")
+    return numbered(df, F.col(order), *by).where(F.col("__r") % step == 0).drop("__r", "__n")
 
 
 def sample_evenly(df: DataFrame, k: int, order: str, *by: str) -> DataFrame:
-    """At most k rows of each group, evenly spaced in order: step max(1, n div k), the first k of those."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumns({"__r": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count("*").over(w)})
+    """At most k rows of each group, evenly spaced in order: step max(1, n div k), the first k of those.
+
+    That gives min(n, k) rows, as there are at least k steps of n div k in n: none is left to be filled up with others.
+    """
     step = F.greatest(F.lit(1), F.floor(F.col("__n") / k))
-    return ranked.where((F.col("__r") % step == 0) & (F.col("__r") / step < k)).drop("__r", "__n")
+    return numbered(df, F.col(order), *by).where((F.col("__r") % step == 0) & (F.col("__r") / step < k)).drop("__r", "__n")
 
 
 def train_hash(df: DataFrame, content: str = "text") -> DataFrame:
