@@ -1,4 +1,4 @@
-"""Commands over a store folder: run, calibrate, conformal, override, review, approve, deny, redteam, serve. Refusals exit 2."""
+"""Commands over a store folder: run, calibrate, conformal, override, review, approve, deny, redteam, demo, serve. Refusals exit 2."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import facade
+from . import demo, facade
 from .functions import gate
 from .operators import contamination, evaluation, ledger, lifecycle
 from .sources import cases as generator
@@ -46,7 +46,8 @@ def run(spark: SparkSession, path: str | None, artifacts: str | None) -> int:
     cases = _cases(spark, path)
     if artifacts:
         protected = tables.case_strings(cases.where("split = 'test'")).select("text")
-        bad = [r for read in (tables.read_texts, tables.read_json) for r in contamination.scan(*read(spark, artifacts), protected).collect()]
+        files = tables.artifact_paths(spark, artifacts) or artifacts
+        bad = [r for read in (tables.read_texts, tables.read_json) for r in contamination.scan(*read(spark, files), protected).collect()]
         for r in bad:
             print(f"{r.path} check={r.check} score={'n/a' if r.score is None else format(r.score, '.3f')} excerpt={r.excerpt!r}")
         if bad:
@@ -118,6 +119,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             p.add_argument("--qid", type=int, required=True)
             p.add_argument("--reason", required=True)
     sub.add_parser("redteam")
+    sub.add_parser("demo")
     p = sub.add_parser("serve")
     p.add_argument("--host", default="127.0.0.1")
     p.add_argument("--port", type=int, default=8765)
@@ -142,6 +144,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for name, good in found:
             print(f"{name:<14} {'PASS' if good else 'FAIL'}")
         return int(not all(good for _, good in found))
+    if args.verb == "demo":
+        print("\n".join(demo.transcript(spark)))
+        return 0
     if args.verb == "serve":
         server = facade.serve(facade.App(rules(spark), kill_file=args.kill_file), args.host, args.port)
         server.serve_forever()

@@ -45,6 +45,11 @@ def report(scored: DataFrame, *by: str) -> DataFrame:
     return scored.groupBy(*keys).agg(F.count("*").alias("n"), metrics.count_if(F.col("ok")).alias("ok"), metrics.count_if(~F.col("ok")).alias("fail"))
 
 
+def totals(scored: DataFrame) -> DataFrame:
+    """One row: n, ok and fail of all suites together."""
+    return scored.agg(F.count("*").alias("n"), F.coalesce(metrics.count_if(F.col("ok")), F.lit(0)).alias("ok"), F.coalesce(metrics.count_if(~F.col("ok")), F.lit(0)).alias("fail"))
+
+
 def floors(scored: DataFrame, least: dict[str, int]) -> DataFrame:
     """Suites with fewer cases than they should have."""
     want = scored.sparkSession.createDataFrame(list(least.items()), "suite string, least long")
@@ -121,6 +126,11 @@ def feature_conjunctions(df: DataFrame, features: list[str], label: str, train:
     return tested.groupBy("c").agg(F.count("*").alias("n"), metrics.count_if(F.col("label").eqNullSafe(F.col("majority"))).alias("right")).withColumn("rate", metrics.ratio(F.col("right"), F.col("n")))
 
 
+def write_costs(writes: DataFrame, *by: str) -> DataFrame:
+    """writes and their estimated cost, by group."""
+    return writes.groupBy(*by).agg(F.count("*").alias("writes")).withColumn("cost", F.col("writes") * F.lit(th.COST_PER_1000_WRITES / 1000))
+
+
 def cost_line() -> str:
     return f"cost per 1000 writes: {th.COST_PER_1000_WRITES:.2f} (ESTIMATE)"
 
@@ -130,8 +140,8 @@ def wait_message(seconds: float) -> str:
     return f"rate limited; again in about {max(1, int(seconds / 60))} minute(s)" if seconds > 0 else "rate limited"
 
 
-def blocked_calls(calls: DataFrame, scope: str = "scope", at: str = "at", status: str = "status", seconds: int = th.BLOCKED_SECONDS) -> DataFrame:
-    """Adds blocked: a refusal (429) stands less than so many seconds before the call. Calls are ordered by their time in seconds."""
-    before = Window.partitionBy(scope).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+def blocked_calls(calls: DataFrame, scope: str = "scope", at: str = "at", status: str = "status", seconds: int = th.BLOCKED_SECONDS, order: str | None = None) -> DataFrame:
+    """Adds blocked: a refusal (429) stands less than so many seconds before the call. Calls are ordered by their time in seconds, those of one time by `order`."""
+    before = Window.partitionBy(scope).orderBy(at, *([order] if order else [])).rowsBetween(Window.unboundedPreceding, -1)
     last = F.max(F.when(F.col(status) == 429, F.col(at))).over(before)
     return calls.withColumn("blocked", F.coalesce(F.col(at) < last + seconds, F.lit(False)))

@@ -19,6 +19,17 @@ def tombstoned(facts: DataFrame, user: str | None = None) -> DataFrame:
     return out.where(F.col("user") == user) if user is not None else out
 
 
+def get(facts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The facts with these ids (id), a row for each distinct id: asked, and the fact's columns, null if there is none."""
+    asked = ids.where("id is not null").select(F.col("id").alias("asked")).distinct()
+    return asked.join(facts, F.col("asked") == facts["id"], "left")
+
+
+def errors(audit: DataFrame) -> DataFrame:
+    """user, n, errors: commands of each user, and those refused as errors."""
+    return audit.groupBy("user").agg(F.count("*").alias("n"), count_if(F.col("outcome") == "error").alias("errors"))
+
+
 def conflicts_of_users(conflicts: DataFrame, facts: DataFrame) -> DataFrame:
     """A row for each conflict and each user on either side of it; a pair within one user's facts comes once."""
     owner = lambda c: facts.select(F.col("id").alias(c), F.col("user").alias(f"{c}_user"))

@@ -10,28 +10,9 @@ from ..functions import gate, judge, relation, text, words
 from ..functions import thresholds as th
 from ..operators import contamination, ledger, lifecycle, limits, metrics, recall, similarity
 from . import oracle as o
+from .base import ORACLE_SQL, QUERIES, query, table, texts  # noqa: F401
 from .memory_stream import memory_stream
 
-QUERIES = {}
-ORACLE_SQL = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of (spark, sf_dir) by its name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _decided(df: DataFrame, cutoffs: th.Gate | None = None) -> DataFrame:
     """df with the class of its text and the gate's decision."""
     d = df.withColumn("class", gate.classify(F.col("text"))).withColumn("__d", gate.decide_class(F.col("class"), cutoffs))
@@ -43,14 +24,14 @@ def _decided(df: DataFrame, cutoffs: th.Gate | None = None) -> DataFrame:
 
 @query(f"WITH {o.gated('SELECT doc_id, text FROM documents')} SELECT doc_id, class, importance, action, reason FROM gated")
 def gate_classify_docs(spark, sf_dir):
-    return _decided(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return _decided(texts(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 _LINES = "SELECT doc_id, i - 1 AS line, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"
 
 
 def _lines(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
 @query(f"WITH {o.gated(_LINES)} SELECT doc_id, line::INT AS line, class, action FROM gated")
@@ -60,12 +41,12 @@ def gate_classify_lines(spark, sf_dir):
 
 @query(f"WITH {o.gated('SELECT conv_id, turn, text FROM conversations')} SELECT conv_id, turn, class, importance, action, reason FROM gated")
 def gate_classify_conversations(spark, sf_dir):
-    return _decided(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).drop("text")
+    return _decided(texts(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).drop("text")
 
 
 @query(f"WITH {o.gated('SELECT lang, text FROM documents')} SELECT lang, action, count(*) AS n FROM gated GROUP BY ALL")
 def gate_actions_by_lang(spark, sf_dir):
-    return _decided(table(spark, sf_dir, "documents").select("lang", "text")).groupBy("lang", "action").agg(F.count("*").alias("n"))
+    return _decided(texts(spark, sf_dir, "documents").select("lang", "text")).groupBy("lang", "action").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {o.gated(o.MEMORY)} SELECT source, reason, count(*) AS n FROM gated GROUP BY ALL")
@@ -115,7 +96,7 @@ _REPLY = """'{"answers":{"dur":{"noul":' || (event_id % 11) || '.0e-1},"imp":{"c
 )
 def judge_reply_parse(spark, sf_dir):
     """Replies of an external judge, one for each event, read and decided."""
-    replies = table(spark, sf_dir, "events").select("event_id", F.expr(_REPLY).alias("reply"))
+    replies = texts(spark, sf_dir, "events").select("event_id", F.expr(_REPLY).alias("reply"))
     read = replies.withColumns({"vote": judge.read_reply(F.col("reply")), "d": judge.decide_reply(F.col("reply"))})
     return read.select("event_id", "vote.importance", "vote.conf", "d.action", F.array_join("d.reasons", ";").alias("reason"))
 
@@ -126,12 +107,12 @@ def judge_reply_parse(spark, sf_dir):
 @query(f"SELECT doc_id, length({o.norm('text')})::INT AS n_chars, sha256({o.norm('text')}) AS text_hash, len({o.tokens('text')})::INT AS n_tokens FROM documents")
 def normalize_hash_docs(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(text.normalize(t)).alias("n_chars"), text.content_hash(t).alias("text_hash"), F.size(text.token_set(t)).alias("n_tokens"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.length(text.normalize(t)).alias("n_chars"), text.content_hash(t).alias("text_hash"), F.size(text.token_set(t)).alias("n_tokens"))
 
 
 @query(f"SELECT conv_id, turn, {o.compare_form('text')} AS norm, {o.excerpt('text')} AS excerpt FROM conversations")
 def compare_form_conversations(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.compare_form(F.col("text")).alias("norm"), text.excerpt(F.col("text")).alias("excerpt"))
+    return texts(spark, sf_dir, "conversations").select("conv_id", "turn", text.compare_form(F.col("text")).alias("norm"), text.excerpt(F.col("text")).alias("excerpt"))
 
 
 @query(f"SELECT user, seq, array_to_string(list_sort({o.content('text')}), ' ') AS content, array_to_string(list_sort({o.numbers('text')}), ' ') AS numbers, {o.phrase('lower(text)', words.NEGATION)} AS negation, {o.phrase('lower(text)', words.STRONG)} AS strong, {o.phrase('lower(text)', words.WEAK)} AS weak FROM ({o.MEMORY})")
@@ -148,25 +129,26 @@ def content_tokens_memory(spark, sf_dir):
 
 @query(f"SELECT sha256({o.norm('text')}) AS text_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
 def exact_dup_groups(spark, sf_dir):
-    return similarity.exact_groups(table(spark, sf_dir, "documents"))
+    return similarity.exact_groups(texts(spark, sf_dir, "documents"))
 
 
-@query(f"""WITH k AS (SELECT doc_id, sha256({o.norm('text')}) AS h FROM documents) SELECT doc_id, (SELECT min(b.doc_id) FROM k b WHERE b.h = a.h AND b.doc_id % 2 = 0) AS known_id FROM k a WHERE doc_id % 2 = 1""")
-def exact_dedupe_lookup(spark, sf_dir):
-    """Odd documents looked up among the first of each even one's normal form."""
-    docs = table(spark, sf_dir, "documents").withColumn("user", F.lit("all"))
-    known = docs.where("doc_id % 2 = 0").groupBy("user", text.normalize(F.col("text")).alias("text")).agg(F.min("doc_id").alias("id"))
-    return similarity.exact_matches(docs.where("doc_id % 2 = 1"), known).select("doc_id", "known_id")
+_LOOKUP = f"WITH k AS (SELECT doc_id, sha256({o.norm('text')}) AS h FROM documents), g AS (SELECT h, min(doc_id) AS first FROM k GROUP BY 1) SELECT doc_id, CASE WHEN first < doc_id THEN first END AS known_id FROM k LEFT JOIN g USING (h)"
 
 
-@query(f"WITH k AS (SELECT doc_id, sha256({o.norm('text')}) AS h FROM documents), g AS (SELECT h, min(doc_id) AS first FROM k GROUP BY 1) SELECT doc_id, CASE WHEN first < doc_id THEN first END AS known_id FROM k LEFT JOIN g USING (h)")
-def exact_dedupe_lookup_all(spark, sf_dir):
+@query(_LOOKUP)
+def exact_dedupe_lookup(spark, sf_dir):
     """Every document looked up among those before it: known_id is the first earlier id of the same normal form."""
-    docs = table(spark, sf_dir, "documents").withColumn("user", F.lit("all"))
+    docs = texts(spark, sf_dir, "documents").withColumn("user", F.lit("all"))
     known = docs.groupBy("user", text.normalize(F.col("text")).alias("text")).agg(F.min("doc_id").alias("id"))
     return similarity.exact_matches(docs, known).select("doc_id", F.when(F.col("known_id") < F.col("doc_id"), F.col("known_id")).alias("known_id"))
 
 
+@query(_LOOKUP)
+def exact_dedupe_lookup_all(spark, sf_dir):
+    """The same under the name that it had beside a lookup of odd documents among even ones."""
+    return exact_dedupe_lookup(spark, sf_dir)
+
+
 _NEAR = f"""SELECT scope, old_id, new_id, score FROM (SELECT a.lang AS scope, a.doc_id AS old_id, b.doc_id AS new_id, {o.jaccard('a.t', 'b.t')} AS score
   FROM s a JOIN s b ON a.lang = b.lang AND a.doc_id < b.doc_id AND least(len(a.t), len(b.t)) >= 0.85 * greatest(len(a.t), len(b.t)) - 1e-9) WHERE score >= 0.85"""
 _SETS = f"WITH s AS (SELECT doc_id, lang, {o.tokens('text')} AS t FROM documents)"
@@ -174,17 +156,28 @@ _SETS = f"WITH s AS (SELECT doc_id, lang, {o.tokens('text')} AS t FROM documents
 
 @query(f"{_SETS} {_NEAR}")
 def near_dup_pairs(spark, sf_dir):
-    return similarity.near_pairs(table(spark, sf_dir, "documents"))
+    return similarity.near_pairs(texts(spark, sf_dir, "documents"))
 
 
 @query(f"{_SETS} {_NEAR}")
 def near_dup_pairs_prefix(spark, sf_dir):
-    return similarity.near_pairs_prefix(table(spark, sf_dir, "documents"))
+    return similarity.near_pairs_prefix(texts(spark, sf_dir, "documents"))
+
+
+_REPS = f"WITH a AS (SELECT doc_id, lang, list_sort({o.tokens('text')}) AS t FROM documents), s AS (SELECT min(doc_id) AS doc_id, lang, t, count(*) AS n FROM a GROUP BY lang, t)"
+
+
+@query(f"{_REPS}, p AS ({_NEAR}) SELECT scope, old_id AS x, new_id AS y, score, x.n AS x_n, y.n AS y_n FROM p JOIN s x ON x.lang = scope AND x.doc_id = old_id JOIN s y ON y.lang = scope AND y.doc_id = new_id")
+def near_dup_sets(spark, sf_dir):
+    """Near pairs between token sets, with how many documents have each: copies aren't expanded."""
+    members, pairs = similarity.near_sets(texts(spark, sf_dir, "documents"))
+    counts = lambda c: members.where("id = rep").select("scope", F.col("rep").alias(c), F.col("n").alias(f"{c}_n"))
+    return pairs.join(counts("x"), ["scope", "x"]).join(counts("y"), ["scope", "y"]).select("scope", "x", "y", "score", "x_n", "y_n")
 
 
 @query(f"{_SETS}, p AS ({_NEAR}) SELECT scope, new_id, old_id AS best_id, score FROM (SELECT *, row_number() OVER (PARTITION BY scope, new_id ORDER BY score DESC, old_id) AS r FROM p) WHERE r = 1")
 def best_near_dup(spark, sf_dir):
-    return similarity.best_near(table(spark, sf_dir, "documents"))
+    return similarity.best_near(texts(spark, sf_dir, "documents"))
 
 
 def _admitted(spark, sf_dir) -> DataFrame:
@@ -400,10 +393,10 @@ def provenance_merge(spark, sf_dir):
     return lifecycle.merge_provenance(f, again).select("id", "gate_action", "importance", "judge", "decided_at")
 
 
-@query(f"WITH q AS (SELECT seq AS qid, text FROM ({o.MEMORY}) WHERE seq % 5 = 0) SELECT qid, CASE WHEN qid % 3 = 0 THEN 'deny' ELSE 'approve' END AS decision, 'checked' AS reason, 'human' AS actor FROM q WHERE qid % 4 <> 0")
+@query(f"WITH {o.gated(o.MEMORY)}, q AS (SELECT seq AS qid, text FROM gated WHERE action = 'QUARANTINE') SELECT qid, CASE WHEN qid % 3 = 0 THEN 'deny' ELSE 'approve' END AS decision, 'checked' AS reason, 'human' AS actor FROM q WHERE qid % 4 <> 0")
 def review_decisions(spark, sf_dir):
     """Held lines approved or denied, those with a blank reason not at all."""
-    q = memory_stream(spark, sf_dir).where("seq % 5 = 0").select(F.col("seq").alias("qid"), "text")
+    q = _decided(memory_stream(spark, sf_dir)).where("action = 'QUARANTINE'").select(F.col("seq").alias("qid"), "text")
     decisions = q.select("qid", F.when(F.col("qid") % 3 == 0, "deny").otherwise("approve").alias("decision"), F.when(F.col("qid") % 4 == 0, " ").otherwise(" checked ").alias("reason"))
     return lifecycle.review(q, decisions)[2]
 
@@ -418,13 +411,17 @@ _SELECTED = f"""best AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS be
   selected AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM best WHERE score >= best * (1 - 0.45::DOUBLE)) WHERE rank <= 8)"""
 
 
-def _scored(spark, sf_dir) -> DataFrame:
+def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The first turn of each conversation as a query over the other turns of its twentieth."""
-    c = table(spark, sf_dir, "conversations").withColumn("user", F.col("conv_id") % 20)
+    c = texts(spark, sf_dir, "conversations").withColumn("user", F.col("conv_id") % 20)
     first = c.agg(F.min("turn").alias("first"))
     both = c.join(F.broadcast(first))  # a single row
     queries = both.where("turn = first").select("user", F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
-    return recall.score(queries, both.where("turn > first").select("user", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
+    return queries, both.where("turn > first").select("user", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    return recall.score(*_asked(spark, sf_dir))
 
 
 @query(f"WITH {_SCORED} SELECT query_id, id, score FROM scored")
@@ -437,6 +434,12 @@ def recall_select(spark, sf_dir):
     return recall.select(_scored(spark, sf_dir), gate=_RECALL_GATE).select("query_id", "id", "score", "rank")
 
 
+@query(f"WITH {_SCORED} SELECT query_id, id, score FROM scored WHERE score >= 0.05")
+def recall_matches(spark, sf_dir):
+    """The facts that pass a gate, through the index of tokens."""
+    return recall.matches(*_asked(spark, sf_dir), gate=0.05).select("query_id", "id", "score")
+
+
 _PACKED = "SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS packed, count(*) AS n FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM {rows}) WHERE used <= {budget} GROUP BY 1"
 
 
@@ -469,7 +472,7 @@ def inject_pack(spark, sf_dir):
 )
 def contamination_flags(spark, sf_dir):
     """Documents, whole and by line, that hold texts of the benchmark."""
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     strings = d.select(F.col("doc_id").cast("string").alias("path"), F.explode(F.concat(F.split("text", "\n"), F.array("text"))).alias("s")).select("path", F.trim("s").alias("s")).where("s != ''")
     return contamination.flags(strings, table(spark, sf_dir, "benchmark"))
 
@@ -519,7 +522,7 @@ _LABELLED = "SELECT doc_id, quality = 1 AS good, toxic = 1 AS toxic, length(rege
 
 def _labelled(spark, sf_dir) -> DataFrame:
     """Labelled documents with the share of letters in their text."""
-    both = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id").where(F.length("text") > 0)
+    both = texts(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id").where(F.length("text") > 0)
     share = F.length(F.regexp_replace("text", r"[^\p{L}]", "")) / F.length("text")
     return both.select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"), share.alias("score"))
 
@@ -635,3 +638,6 @@ def latest_of_each_text(spark, sf_dir):
     """The last row of each user's text."""
     w = Window.partitionBy("user", text.normalize(F.col("text")))
     return memory_stream(spark, sf_dir).withColumn("m", F.max("seq").over(w)).where("seq = m").select("user", "seq", "text")
+
+
+from . import cases, commands  # noqa: E402, F401  (they register their queries)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .base import texts
+
 
 def memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user, seq, text, source of every order."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority")
+    orders = texts(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").where("p_partkey < 200")
     both = orders.join(part, F.col("p_partkey") == F.col("o_orderkey") % 200)
     p, h = F.col("p_name"), (F.col("o_custkey") % 9 + 1).cast("string")

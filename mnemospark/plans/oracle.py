@@ -126,53 +126,72 @@ SUSPICIOUS = f"""{ADMITTED}, reading AS (SELECT user, seq, text, {norm('text')}
 _ACTION = "CASE WHEN strict <> lenient THEN 'KEEP' WHEN strict = 'supersede' THEN 'TOMBSTONE' WHEN strict = 'conflict_unresolved' THEN 'CONFLICT' ELSE 'KEEP' END"
 
 
-def folded(cap: int = th.MEMORY_CAP, bridge: bool = True) -> str:
-    """CTEs (the WITH must be RECURSIVE) ending in `audit`, a row for each line of the memory stream, and `last`, each user's
-    facts at the end: admission of one user's lines in the order of seq, all users a line further at each step.
+def folded(cap: int = th.MEMORY_CAP, bridge: bool = True, commands: str | None = None) -> str:
+    """CTEs (the WITH must be RECURSIVE) ending in `audit`, a row for each command, and `last`, each user's facts at the end:
+    one user's commands in the order of seq, all users a command further at each step.
 
-    A fact is known by k, the first line of its normal form, and has the seq of the line that made it as its id.
+    commands selects user, seq, op, text, source, target_id, other_id; without it, the memory stream is admitted. A fact is
+    known by k, the first command of its normal form, and has the seq of the command that made it as its id.
     """
     fact = "k BIGINT, id BIGINT, live BOOLEAN, text VARCHAR, source VARCHAR, created BIGINT, heir BIGINT, other BIGINT, importance INT, decided BIGINT"
     names = [x.split()[0] for x in fact.split(", ")]
+    none = "NULL::BIGINT"
 
     def changed(**new: str) -> str:
         return "struct_pack(" + ", ".join(f"{n} := {new.get(n, 'f.' + n)}" for n in names) + ")"
 
-    is_it, heard = "f.k = c_k", {"source": "c_source", "importance": "c_importance", "decided": "c_seq"}
-    again = changed(**heard)
-    revived = changed(**heard, live="true", text="c_text", created="c_seq", heir="NULL::BIGINT", other="NULL::BIGINT")
-    made = "struct_pack(k := c_k, id := c_seq, live := true, text := c_text, source := c_source, created := c_seq, heir := NULL::BIGINT, other := (CASE WHEN len(against) > 0 THEN against[-1] END), importance := c_importance, decided := c_seq)"
+    def each(*cases: str) -> str:
+        return f"list_transform(facts, lambda f: CASE {' '.join(cases)} ELSE f END)"
+
+    heard = {"source": "c_source", "importance": "c_importance", "decided": "c_decided"}
+    again, revived = changed(**heard), changed(**heard, live="true", text="c_text", created="c_seq", heir=none, other=none)
+    made = f"struct_pack(k := c_k, id := c_seq, live := true, text := c_text, source := c_source, created := c_seq, heir := {none}, other := (CASE WHEN len(against) > 0 THEN against[-1] END), importance := c_importance, decided := c_decided)"
+    buried = f"WHEN f.id = c_target THEN {changed(live='false', heir='c_other')}"
     bridged = "true" if bridge else "false"
-    return f"""{gated(MEMORY)},
-  stored AS (SELECT user, seq, text, norm, source, importance, row_number() OVER (PARTITION BY user ORDER BY seq) AS n, min(seq) OVER (PARTITION BY user, norm) AS k FROM gated WHERE action = 'STORE'),
+    admitting = f"""{gated(MEMORY)}, given AS (SELECT user, seq, 'put' AS op, text, source, importance, seq AS decided, {none} AS target_id, {none} AS other_id FROM gated WHERE action = 'STORE')"""
+    asked = f"""asked AS ({commands}), given AS (SELECT a.user, a.seq, a.op, CASE WHEN a.op IN ('release', 'approve') THEN h.text ELSE a.text END AS text, CASE WHEN a.op IN ('release', 'approve') THEN coalesce(a.source, h.source) ELSE a.source END AS source, NULL::INT AS importance, {none} AS decided, a.target_id, a.other_id
+      FROM asked a LEFT JOIN asked h ON a.op IN ('release', 'approve') AND h.op = 'quarantine' AND h.user = a.user AND h.seq = a.target_id)"""
+    audit = """SELECT g.user, g.seq, 'admit' AS op, CASE WHEN g.action = 'DROP' THEN 'drop' WHEN g.action = 'QUARANTINE' OR f.outcome = 'cap' THEN 'quarantine' ELSE f.outcome END AS outcome, f.fact_id, f.merged_into, f.score, f.flagged, f.cut, f.relations,
+    CASE WHEN f.outcome = 'cap' THEN 'per-user-memory-cap' WHEN g.action <> 'STORE' THEN g.reason END AS reason FROM gated g LEFT JOIN fold f ON f.user = g.user AND f.seq = g.seq"""
+    told = """SELECT user, seq, op, outcome, fact_id, merged_into, score, flagged, cut, relations, CASE outcome WHEN 'cap' THEN 'per-user-memory-cap' WHEN 'quarantine' THEN '' WHEN 'error' THEN CASE WHEN op IN ('retire', 'tombstone', 'mark_conflict') AND known THEN 'target required' ELSE 'unknown-id' END END AS reason FROM fold WHERE n > 0"""
+    return f"""{asked if commands else admitting},
+  numbered AS (SELECT *, {norm('text')} AS norm, row_number() OVER (PARTITION BY user ORDER BY seq) AS n, op IN ('put', 'supersede', 'release', 'approve') AS puts FROM given),
+  stored AS (SELECT *, CASE WHEN puts THEN min(CASE WHEN puts THEN seq END) OVER (PARTITION BY user, norm) END AS k FROM numbered),
   reading AS (SELECT user, k, text, norm, {tokens('text')} AS tokens, {content('text')} AS content, {numbers('text')} AS numbers, {phrase('lower(text)', w.NEGATION + w.STRONG + w.WEAK)} AS signal FROM stored WHERE seq = k),
   paired AS (SELECT a.user AS user, a.k AS old_k, b.k AS new_k, {jaccard('a.tokens', 'b.tokens')} AS score, b.signal OR {differ('a.content', 'b.content')} OR {differ('a.numbers', 'b.numbers')} AS doubt, a.text AS old_text, b.text AS new_text
     FROM reading a JOIN reading b ON a.user = b.user AND a.k <> b.k WHERE {jaccard('a.tokens', 'b.tokens')} >= {th.SCREEN_JACCARD}),
   voted AS (SELECT user, old_k, new_k, score, doubt, {votes_on('old_text', 'new_text')} FROM paired),
   beside AS (SELECT user, new_k AS k, list(struct_pack(k := old_k, score := score, doubt := doubt, action := {_ACTION}, said := strict || ':' || {_ACTION} || ':' || CASE WHEN strict = lenient THEN strict || '-auto-spot' ELSE 'veto-keep' END) ORDER BY old_k) AS near FROM voted GROUP BY ALL),
-  command AS MATERIALIZED (SELECT user AS c_user, n AS c_n, k AS c_k, seq AS c_seq, text AS c_text, source AS c_source, importance AS c_importance, coalesce(near, []) AS near FROM stored LEFT JOIN beside USING (user, k)),
+  command AS MATERIALIZED (SELECT user AS c_user, n AS c_n, op AS c_op, k AS c_k, seq AS c_seq, text AS c_text, source AS c_source, importance AS c_importance, decided AS c_decided, target_id AS c_target, other_id AS c_other, coalesce(near, []) AS near FROM stored LEFT JOIN beside USING (user, k)),
   fold AS (
-    SELECT DISTINCT user, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS outcome, NULL::BIGINT AS fact_id, NULL::BIGINT AS merged_into, NULL::DOUBLE AS score, NULL::BIGINT AS flagged, NULL::BIGINT AS cut, NULL::VARCHAR AS relations, []::STRUCT({fact})[] AS facts FROM stored
+    SELECT DISTINCT user, 0::BIGINT AS n, {none} AS seq, NULL::VARCHAR AS op, NULL::VARCHAR AS outcome, false AS known, {none} AS fact_id, {none} AS merged_into, NULL::DOUBLE AS score, {none} AS flagged, {none} AS cut, NULL::VARCHAR AS relations, []::STRUCT({fact})[] AS facts, []::BIGINT[] AS held FROM stored
     UNION ALL
-    SELECT user, c_n, c_seq, outcome, CASE outcome WHEN 'insert' THEN c_seq WHEN 'near' THEN best.id WHEN 'cap' THEN NULL ELSE own.id END, CASE outcome WHEN 'exact' THEN own.id WHEN 'near' THEN best.id END,
-      CASE outcome WHEN 'exact' THEN 1.0::DOUBLE WHEN 'near' THEN best.score END, CASE WHEN outcome = 'insert' AND {bridged} THEN len(flagged) END, CASE WHEN outcome = 'insert' AND {bridged} THEN greatest(len(flagged) - {th.SCREEN_PAIRS}, 0) END,
+    SELECT user, c_n, c_seq, c_op, outcome, target IS NOT NULL, fact_id, CASE outcome WHEN 'exact' THEN own.id WHEN 'near' THEN best.id END, CASE outcome WHEN 'exact' THEN 1.0::DOUBLE WHEN 'near' THEN best.score END,
+      CASE WHEN outcome = 'insert' AND {bridged} THEN len(flagged) END, CASE WHEN outcome = 'insert' AND {bridged} THEN greatest(len(flagged) - {th.SCREEN_PAIRS}, 0) END,
       CASE WHEN outcome = 'insert' AND {bridged} THEN array_to_string(list_transform(shown, lambda x: x.id || ':' || x.said), ',') END,
-      CASE outcome WHEN 'exact' THEN list_transform(facts, lambda f: CASE WHEN {is_it} THEN {again} ELSE f END)
-        WHEN 'near' THEN list_transform(facts, lambda f: CASE WHEN f.k = best.k THEN {again} ELSE f END)
-        WHEN 'resurrect' THEN list_transform(facts, lambda f: CASE WHEN {is_it} THEN {revived} WHEN f.id = own.other AND f.other = own.id THEN {changed(other='NULL::BIGINT')} ELSE f END)
-        WHEN 'cap' THEN facts
-        ELSE list_append(list_transform(facts, lambda f: CASE WHEN list_contains(gone, f.id) THEN {changed(live='false', heir='c_seq')} WHEN list_contains(against, f.id) THEN {changed(other='c_seq')} ELSE f END), {made}) END
-    FROM (SELECT *, list_transform(list_filter(shown, lambda x: x.action = 'TOMBSTONE'), lambda x: x.id) AS gone, list_transform(list_filter(shown, lambda x: x.action = 'CONFLICT'), lambda x: x.id) AS against
-      FROM (SELECT *, flagged[:{th.SCREEN_PAIRS}] AS shown,
-          CASE WHEN own.live THEN 'exact' WHEN own IS NOT NULL THEN 'resurrect' WHEN best.score >= {th.DEDUP_JACCARD} THEN 'near' WHEN len(list_filter(facts, lambda f: f.live)) >= {cap} THEN 'cap' ELSE 'insert' END AS outcome
-        FROM (SELECT *, list_sort(alike)[1] AS first, CASE WHEN len(alike) > 0 THEN struct_pack(score := -list_sort(alike)[1].less, id := list_sort(alike)[1].id, k := list_sort(alike)[1].k) END AS best, CASE WHEN {bridged} THEN list_sort(list_filter(alike, lambda x: x.doubt)) ELSE list_filter(alike, lambda x: false) END AS flagged
-          FROM (SELECT user, facts, command.*, list_filter(facts, lambda f: {is_it})[1] AS own,
-              list_transform(list_filter(facts, lambda f: f.live AND list_contains(list_transform(near, lambda x: x.k), f.k)),
-                lambda f: struct_pack(less := -near[list_position(list_transform(near, lambda x: x.k), f.k)].score, id := f.id, k := f.k, doubt := near[list_position(list_transform(near, lambda x: x.k), f.k)].doubt,
-                  action := near[list_position(list_transform(near, lambda x: x.k), f.k)].action, said := near[list_position(list_transform(near, lambda x: x.k), f.k)].said)) AS alike
-            FROM fold JOIN command ON c_user = user AND c_n = n + 1))))),
-  audit AS (SELECT g.user, g.seq, 'admit' AS op, CASE WHEN g.action = 'DROP' THEN 'drop' WHEN g.action = 'QUARANTINE' OR f.outcome = 'cap' THEN 'quarantine' ELSE f.outcome END AS outcome, f.fact_id, f.merged_into, f.score, f.flagged, f.cut, f.relations,
-    CASE WHEN f.outcome = 'cap' THEN 'per-user-memory-cap' WHEN g.action <> 'STORE' THEN g.reason END AS reason FROM gated g LEFT JOIN fold f ON f.user = g.user AND f.seq = g.seq),
+      CASE WHEN c_op = 'supersede' AND fact_id IS NOT NULL AND fact_id <> c_target AND target.k <> c_k THEN list_transform(after, lambda f: CASE WHEN f.id = c_target THEN {changed(live='false', heir='fact_id')} ELSE f END) ELSE after END,
+      CASE WHEN outcome = 'quarantine' THEN list_append(held, c_seq) WHEN c_op IN ('release', 'approve', 'deny') AND outcome <> 'cap' THEN list_filter(held, lambda h: h <> c_target) ELSE held END
+    FROM (SELECT *, CASE outcome WHEN 'insert' THEN c_seq WHEN 'near' THEN best.id WHEN 'exact' THEN own.id WHEN 'resurrect' THEN own.id WHEN 'cap' THEN NULL WHEN 'error' THEN NULL WHEN 'quarantine' THEN NULL WHEN 'deny' THEN NULL ELSE c_target END AS fact_id,
+        CASE outcome WHEN 'exact' THEN {each(f'WHEN f.k = c_k THEN {again}')} WHEN 'near' THEN {each(f'WHEN f.k = best.k THEN {again}')}
+          WHEN 'resurrect' THEN {each(f'WHEN f.k = c_k THEN {revived}', f'WHEN f.id = own.other AND f.other = own.id THEN {changed(other=none)}')}
+          WHEN 'insert' THEN list_append({each(f"WHEN list_contains(gone, f.id) THEN {changed(live='false', heir='c_seq')}", f"WHEN list_contains(against, f.id) THEN {changed(other='c_seq')}")}, {made})
+          WHEN 'restore' THEN {each(f"WHEN f.id = c_target THEN {changed(live='true', heir=none, other=none)}", f'WHEN f.id = target.other AND f.other = target.id THEN {changed(other=none)}')}
+          WHEN 'retire' THEN {each(buried)} WHEN 'tombstone' THEN {each(buried)}
+          WHEN 'mark_conflict' THEN {each(f"WHEN f.id = c_other THEN {changed(other='c_target')}", f"WHEN f.id = c_target THEN {changed(other='c_other')}")}
+          ELSE facts END AS after
+      FROM (SELECT *, list_transform(list_filter(shown, lambda x: x.action = 'TOMBSTONE'), lambda x: x.id) AS gone, list_transform(list_filter(shown, lambda x: x.action = 'CONFLICT'), lambda x: x.id) AS against
+        FROM (SELECT *, flagged[:{th.SCREEN_PAIRS}] AS shown,
+            CASE WHEN c_op IN ('supersede', 'restore', 'retire', 'tombstone', 'mark_conflict') AND target IS NULL THEN 'error' WHEN c_op IN ('retire', 'tombstone', 'mark_conflict') AND c_other IS NULL THEN 'error'
+                WHEN c_op IN ('release', 'approve', 'deny') AND NOT coalesce(list_contains(held, c_target), false) THEN 'error'
+              WHEN c_op IN ('restore', 'retire', 'tombstone', 'mark_conflict', 'quarantine', 'deny') THEN c_op
+              WHEN own.live THEN 'exact' WHEN own IS NOT NULL THEN 'resurrect' WHEN best.score >= {th.DEDUP_JACCARD} THEN 'near' WHEN len(list_filter(facts, lambda f: f.live)) >= {cap} THEN 'cap' ELSE 'insert' END AS outcome
+          FROM (SELECT *, CASE WHEN len(alike) > 0 THEN struct_pack(score := -list_sort(alike)[1].less, id := list_sort(alike)[1].id, k := list_sort(alike)[1].k) END AS best, CASE WHEN {bridged} THEN list_sort(list_filter(alike, lambda x: x.doubt)) ELSE list_filter(alike, lambda x: false) END AS flagged
+            FROM (SELECT user, facts, held, command.*, list_filter(facts, lambda f: f.k = c_k)[1] AS own, list_filter(facts, lambda f: f.id = c_target)[1] AS target,
+                list_transform(list_filter(facts, lambda f: f.live AND list_contains(list_transform(near, lambda x: x.k), f.k)),
+                  lambda f: struct_pack(less := -near[list_position(list_transform(near, lambda x: x.k), f.k)].score, id := f.id, k := f.k, doubt := near[list_position(list_transform(near, lambda x: x.k), f.k)].doubt,
+                    action := near[list_position(list_transform(near, lambda x: x.k), f.k)].action, said := near[list_position(list_transform(near, lambda x: x.k), f.k)].said)) AS alike
+              FROM fold JOIN command ON c_user = user AND c_n = n + 1)))))),
+  audit AS ({told if commands else audit}),
   last AS (SELECT user, unnest(facts) AS f FROM (SELECT user, arg_max(facts, n) AS facts FROM fold GROUP BY user))"""
 
 

@@ -102,3 +102,37 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     query.stop()
     key = ("user", "seq", "outcome", "fact_id", "relations")
     assert sorted(map(tuple, spark.table("audit").select(*key).collect())) == sorted(map(tuple, ledger.run(df).select(*key).collect()))
+
+
+def test_stream_of_all_commands(spark, sf, tmp_path):
+    """Tombstoned facts are revived and restored from keyed state, batches later."""
+    from mnemospark.plans import commands as plans
+
+    df = plans._commands(spark, sf).where("user in ('u1', 'u2', 'u3')").cache()
+    for i, part in enumerate(("seq < 300", "seq between 300 and 899", "seq >= 900")):
+        df.where(part).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    query = streaming.audit(stream).writeStream.format("memory").queryName("commands").outputMode("append").start()
+    query.processAllAvailable()
+    batches = len([p for p in query.recentProgress if p["numInputRows"]])
+    query.stop()
+    got, want = (sorted(map(repr, map(tuple, d.collect()))) for d in (spark.table("commands"), ledger.run(df)))
+    assert batches == 3 and got == want and any("restore" in r for r in want) and any("resurrect" in r for r in want)
+
+
+def test_commands_without_user_or_place(spark):
+    df = spark.createDataFrame([(None, 1, "put", "red lamp on desk"), ("local", 2, "put", "red lamp on desk"), ("u", None, "put", "lost")], "user string, seq long, op string, text string")
+    got = {(r.user, r.seq, r.outcome, r.fact_id, r.reason) for r in ledger.run(df).collect()}
+    assert got == {("local", 1, "insert", 1, None), ("local", 2, "exact", 1, None), ("u", None, "error", None, "no-seq")}
+
+
+def test_demo(spark, capsys):
+    from mnemospark import cli
+
+    assert cli.main(["demo"], spark) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == 3 * 7 + 5 and sum(x.startswith("GATE   action=STORE") for x in lines) == 3
+    assert lines[-5:] == [
+        "RECALL query='kiln every tuesday' texts=['kiln firing every tuesday']", "INJECT context='kiln firing every tuesday'", "REVIEW quarantined=1", "HELD   qid=5 reason=uncertain-low-conf text='the new clay looked rather pleasant'",
+        "STATUS live=2 quarantined=1 conflicts=0",
+    ]

@@ -292,3 +292,68 @@ def test_review_tables(spark):
     held, approved, reviews = lifecycle.review(q, d)
     assert [r.qid for r in held.collect()] == [3] and [r.qid for r in approved.collect()] == [1]
     assert sorted((r.qid, r.reason) for r in reviews.collect()) == [(1, "ok"), (2, "no")]
+
+
+def test_artifact_paths_and_whole_texts(spark, tmp_path):
+    from mnemospark.sources import tables
+
+    for name, body in {"thresholds/a.json": '{"x": ["deep", {"y": "er"}]}', "thresholds/b.txt": "\n one \r\n two\x0b\n", "eval/thresholds-1.yml": "k: v", "eval/other.txt": "no", "thresholds/c.png": "no", "thresholds/d.md": " \n\t", "thresholds/sub/e.txt": "no"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body.encode())
+    found = tables.artifact_paths(spark, str(tmp_path))
+    assert [f.rsplit("/", 1)[1] for f in found] == ["thresholds-1.yml", "a.json", "b.txt", "d.md"]
+    assert sorted(r.s for r in tables.read_texts(spark, found)[0].collect()) == ["k: v", "one", "one \r\n two", "two"]
+    assert sorted(r.s for r in tables.read_json(spark, found)[0].collect()) == ["deep", "er"]
+
+
+def test_near_sets_of_copies(spark):
+    from mnemospark.operators import similarity
+
+    rows = [(i, "a b c d e f g h i j", "en") for i in range(300)] + [(300, "a b c d e f g h i k", "en"), (301, "a b c d e f g h i j", "de"), (302, "", "en"), (303, " ", "en"), (304, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    members, pairs = similarity.near_sets(df, 0.8)
+    assert [tuple(r) for r in pairs.collect()] == [("en", 0, 300, 9 / 11)]
+    got = {(r.scope, r.rep): r.n for r in members.where("id = rep").collect()}
+    assert got == {("en", 0): 300, ("en", 300): 1, ("de", 301): 1, ("en", 302): 2, (None, 304): 1} and members.count() == 305
+
+
+def test_recall_matches_are_the_scores_above_the_gate(spark):
+    import random
+
+    from mnemospark.operators import recall
+
+    rng = random.Random(3)
+    say = lambda: " ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 8)))
+    queries = spark.createDataFrame([(f"u{i % 3}", i, say()) for i in range(40)], "user string, query_id long, query string")
+    live = spark.createDataFrame([(f"u{i % 3}", i, say()) for i in range(90)], "user string, id long, text string")
+    for gate in (0.2, 0.58, 1.0):
+        want = sorted(map(tuple, recall.score(queries, live).where(f"score >= {gate}").collect()))
+        assert want and sorted(map(tuple, recall.matches(queries, live, gate).collect())) == want
+
+
+def test_shared_folder_asks_for_a_shared_one(spark):
+    from mnemospark.sources import folders
+
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        folders.shared_folder(Elsewhere())
+    assert folders.own_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_numbered_over_slices(spark):
+    from mnemospark.operators import metrics
+
+    rows = [(i * 37 % 50_021, f"k{i % 3}" if i % 7 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    for order, text in ((F.col("id"), lambda i: i), (F.col("id").cast("string"), str), (F.struct((-F.col("id")).alias("a"), "id"), lambda i: -i)):
+        got = {r.id: (r["__r"], r["__n"]) for r in metrics.numbered(df, order, "g").collect()}
+        for g in {x[1] for x in rows}:
+            mine = sorted((x[0] for x in rows if x[1] == g), key=text)
+            assert [got[i] for i in mine] == [(k, len(mine)) for k in range(len(mine))]
