@@ -10,6 +10,7 @@ other. The state of a user is bounded by the memory cap and by what was tombston
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -154,13 +155,22 @@ class Ledger:
         for t in self.readings[i].tokens:
             self.by_token[t].discard(i)
 
-    def _alike(self, new: Reading) -> list[tuple[float, int]]:
-        """(similarity, id) of live facts that share a token."""
-        shared: dict[int, int] = {}
-        for t in new.tokens:
-            for i in self.by_token.get(t, ()):
-                shared[i] = shared.get(i, 0) + 1
-        return [(n / (len(new.tokens) + len(self.readings[i].tokens) - n), i) for i, n in shared.items()]
+    def _alike(self, new: Reading, least: float) -> list[tuple[float, int]]:
+        """(similarity, id) of live facts of at least this similarity.
+
+        Such a fact lacks at most n - ceil(least n) of the n tokens, so it has one of any n - ceil(least n) + 1: those that
+        the fewest facts have.
+        """
+        n = len(new.tokens)
+        holders = sorted((self.by_token.get(t, ()) for t in new.tokens), key=len)
+        met = set().union(*holders[: n - math.ceil(n * least - 1e-9) + 1])
+        found = []
+        for i in met:
+            other = self.readings[i].tokens
+            both = len(new.tokens & other)
+            if both >= least * (n + len(other) - both) - 1e-9 and (score := both / (n + len(other) - both)) >= least:
+                found.append((score, i))
+        return found
 
     def _judged(self, f: Fact, c: dict, overwrite: bool) -> None:
         """Provenance: a new life takes all of it, a repeated text what is given."""
@@ -210,7 +220,8 @@ class Ledger:
             f.source = source
             self._judged(f, c, False)
             return {"outcome": "exact", "fact_id": i, "merged_into": i, "score": 1.0}
-        alike = self._alike(new)
+        rules = self.settings
+        alike = self._alike(new, min(rules.dedup_jaccard, rules.screen_jaccard) if rules.bridge else rules.dedup_jaccard)
         best, at = max(((s, -i) for s, i in alike), default=(0.0, 0))
         if alike and best >= self.settings.dedup_jaccard:
             f = self.facts[-at]
