@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text, words
 from ..functions import thresholds as th
@@ -18,18 +17,23 @@ KINDS = ("exact-text", "content-hash", "normalized-text", "token-overlap", "spli
 
 
 def overlaps(strings: DataFrame, protected: DataFrame, least: float, least_tokens: int) -> DataFrame:
-    """path, s, score of strings that are similar to a protected text, by prefix filtering on tokens."""
-    s = strings.select("path", "s", text.compare_tokens(F.col("s")).alias("tokens")).where(F.size("tokens") >= least_tokens)
-    s = s.withColumn("sid", F.xxhash64(F.array_sort("tokens")))
+    """path, s, score of strings that are similar to a protected text, by prefix filtering on tokens.
+
+    Rarity among the protected texts orders tokens; those that none of them has come first and match nothing. So a string is
+    looked at only if it has the part `least` of its tokens in common with all of them together, and then by the rarest of
+    those. Sets of tokens are called by 128 bits of their hash.
+    """
+    called = lambda tokens: F.md5(F.concat_ws("\x01", F.array_sort(tokens)))
+    s = strings.select("path", "s", text.compare_tokens(F.col("s")).alias("tokens")).where(F.size("tokens") >= least_tokens).withColumn("sid", called("tokens"))
     one = s.groupBy("sid").agg(F.first("tokens").alias("tokens"))
-    p = protected.select(text.compare_tokens(F.col("text")).alias("other")).where(F.size("other") > 0).withColumn("pid", F.xxhash64(F.array_sort("other"))).dropDuplicates(["pid"])
-    # Rarity among the protected texts orders tokens: those that none of them has come first and match nothing.
+    p = protected.select(text.compare_tokens(F.col("text")).alias("other")).where(F.size("other") > 0).withColumn("pid", called("other")).dropDuplicates(["pid"])
     rarity = p.select(F.explode("other").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
 
     def prefix(df: DataFrame, key: str, tokens: str) -> DataFrame:
-        spread = df.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("t")).join(rarity, "t", "left")
-        ranked = spread.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("f", F.lit(0)), "t")))
-        return ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & F.col("f").isNotNull()).select(key, "t")
+        need = F.ceil(F.col("n") * F.lit(least) - 1e-9)
+        known = df.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("t")).join(rarity, "t").groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("known"))
+        first = F.slice("known", F.lit(1), (F.size("known") - need + 1).cast("int"))
+        return known.where(F.size("known") >= need).select(key, F.explode(F.transform(first, lambda x: x["t"])).alias("t"))
 
     candidates = prefix(one, "sid", "tokens").join(prefix(p, "pid", "other"), "t").select("sid", "pid").distinct()
     scored = candidates.join(one, "sid").join(p, "pid").withColumn("score", text.overlap(F.col("tokens"), F.col("other"))).where(F.col("score") >= least)
