@@ -357,3 +357,25 @@ def test_numbered_over_slices(spark):
         for g in {x[1] for x in rows}:
             mine = sorted((x[0] for x in rows if x[1] == g), key=text)
             assert [got[i] for i in mine] == [(k, len(mine)) for k in range(len(mine))]
+
+
+def test_admitted_load_between_pauses(spark):
+    """Pauses split the fold without changing what is admitted."""
+    import random
+
+    from mnemospark.operators import limits
+
+    rng = random.Random(9)
+    rows, t = [], 1_700_000_000.0
+    for i in range(600):
+        t += rng.choice([0.2, 1, 5, 59.9, 60, 60.1, 200])
+        rows.append((i, rng.choice([1, 2, None]), t, rng.randint(0, 50)))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, t double, chars long").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    got = {r.key: (r.admitted, r.retry_after) for r in limits.admitted_load(df, calls=3, seconds=60).collect()}
+    want = {}
+    for scope in (1, 2, None):
+        budget = limits.Budget(3, seconds=60)
+        for i, s, at, n in rows:
+            if s == scope:
+                want[i] = budget.check(int(at * 1e6) / 1e6, n)
+    assert got == want and len({v for v in want.values()}) > 3
