@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.folders import own_folder
+
 U64 = np.uint64
 #: An odd multiplier of a polynomial over bytes modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where that is unset: a folder of its own if all runs on this machine, else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="mnemospark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage.
 
@@ -38,14 +27,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A new name in the shared folder; what is written there goes when the session's JVM ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 #: Rows of one Arrow batch where whole texts go through Python.
 TEXTS_PER_BATCH = 1000
 
