@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import thresholds as th
 from ..operators import evaluation, metrics
-from ..sources import folders, tables
+from ..sources import folders, records, tables
 from . import oracle as o
 from .base import query
 from .memory_stream import memory_stream
@@ -199,3 +199,23 @@ def label_agreement(spark, sf_dir):
     """How often the rules agree with the labels."""
     scored = _scored(spark, sf_dir).where(F.col("suite").isin("admit", "importance")).withColumn("right", F.lit(True))
     return metrics.agreement(scored, "ok", "right", "suite")
+
+
+_JUDGED = f"{_SCORED}, j AS (SELECT suite AS gate, id, got AS stub, CASE WHEN substr(id, -1) = '4' THEN NULL WHEN substr(id, -1) = '8' THEN 'KEEP' ELSE got END AS live, expect AS label FROM told WHERE suite IN {records.JUDGED})"
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    """What the rules say beside a live judge that is silent on some cases and keeps on others."""
+    last = F.substring("id", -1, 1)
+    live = F.when(last == "4", None).when(last == "8", "KEEP").otherwise(F.col("got"))
+    return _scored(spark, sf_dir).where(F.col("suite").isin(*records.JUDGED)).select(F.col("suite").alias("gate"), "id", F.col("got").alias("stub"), live.alias("live"), F.col("expect").alias("label"))
+
+
+@query(f"WITH {_JUDGED} SELECT gate, id, '- ' || id || ' stub=' || coalesce(stub, 'none') || ' live=' || coalesce(live, 'none') || ' label=' || label || CASE WHEN stub IS NOT DISTINCT FROM live THEN ' agree' ELSE ' differ' END AS line FROM j")
+def calibration_lines(spark, sf_dir):
+    return records.case_lines(_judged(spark, sf_dir))
+
+
+@query(f"WITH {_JUDGED}, c AS (SELECT count(*) FILTER (stub IS NOT DISTINCT FROM live) AS agree_count, count(*) AS total FROM j) SELECT *, printf('%d/%d = %.1f%%', agree_count, total, 100.0::DOUBLE * agree_count / total) AS agreement FROM c")
+def vote_agreement(spark, sf_dir):
+    return records.vote_summary(_judged(spark, sf_dir))

@@ -76,3 +76,18 @@ def test_commands(spark, tmp_path, capsys):
     assert sorted(r.text for r in store.read("facts").where(F.col("tombstoned_by").isNull()).collect()) == ["blue bicycle", "green door", "red lamp"]
     assert [r.decision for r in store.read("reviews").orderBy("id").collect()] == ["approve", "deny"]
     assert cli.main(["review", "--db", db], spark) == 0
+
+
+def test_records_of_a_live_run(spark, tmp_path):
+    import json
+
+    from mnemospark.sources import records
+
+    rows = spark.createDataFrame([("admit", "a1", "STORE", "STORE", "STORE"), ("admit", "a2", "DROP", None, "DROP"), ("importance", "i1", "5", "4", "5")], "gate string, id string, stub string, live string, label string")
+    path = records.write_calibration(str(tmp_path / "sub" / "record.md"), rows, "plain", "some-model", "20260101-000000", total=9)
+    lines = open(path, encoding="utf-8").read().splitlines()
+    assert lines[0] == "# Calibration 20260101-000000 (plain, some-model)" and "Halted at the judge's limit after 3 of 9 cases; the numbers are partial." in lines
+    assert lines[-6:] == ["## admit", "- a1 stub=STORE live=STORE label=STORE agree", "- a2 stub=DROP live=none label=DROP differ", "", "## importance", "- i1 stub=5 live=4 label=5 differ"]
+    votes = records.write_votes(str(tmp_path / "votes.json"), rows, "some-model", "2026-01-01")
+    assert json.loads((tmp_path / "votes.json").read_text()) == votes and votes["agreement"] == "1/3 = 33.3%" and votes["votes"] == {"a1": "STORE", "a2": None, "i1": "4"}
+    assert records.vote_summary(rows.limit(0)).head().agreement == "0/0 = 0.0%"
