@@ -15,8 +15,8 @@ the anchor's context.
 4. Documents lose the bytes covered by both kinds of runs.
 
 A seed with more contexts than `most` (a passage that stands in many documents amid different texts) isn't sorted in
-one task: its strings are hashed one by one (64 bits and a bucket), dealt by their own hash and counted, which finds the same strings.
-Equal rows of one pack travel once. Hashes stand for seeds and contexts (64 bits each, and their bucket).
+one task, whose memory must stay bounded: its strings are hashed one by one (64 bits and a bucket), dealt by their own hash and
+counted, which finds the same strings. Equal rows of one pack travel once; the others go straight to their documents. Hashes stand for seeds and contexts (64 bits each, and their bucket).
 
 Null texts are empty. Rows that share an id are copies of one text, and repeat one another. A row
 without id is neither searched nor changed. Bytes left
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, shingles
-from .windows import join_runs, pack_texts
+from .windows import KNOWN, join_runs, pack_texts, packed_rows
 
 U64 = np.uint64
 LENGTH = 400
@@ -195,8 +195,8 @@ def anchors(data: bytes, length: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
-def _pack(ids: list[int], texts: list[bytes], length: int, seed: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """The anchors of some texts by bucket: of equal ones in a pack, one row that may stand alone and one that can't."""
+def _pack(ids: list[int], texts: list[bytes], length: int, seed: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Bucket, kind and content: anchors by their seed (0), of equal ones one, and what repeats one of this pack by document (1)."""
     found = [anchors(t, length, seed) for t in texts]
     rows = np.empty(sum(len(f[0]) for f in found), dtype=_ROW)
     if not len(rows):
@@ -210,18 +210,25 @@ def _pack(ids: list[int], texts: list[bytes], length: int, seed: int, buckets: i
     many = np.empty(len(rows), dtype=np.uint8)
     many[order] = np.repeat(tails - heads > 1, tails - heads)
     rows["twice"] = many
-    # 1: repeated here already, and sent so that others learn of it; 2: repeated here, for its document alone.
-    rest = np.ones(len(rows), dtype=bool)
+    # One of equal anchors is sent, so that others learn of it; the rest are repeated for certain and concern their documents alone.
+    ids, rest = np.array(ids, dtype=np.int64), np.ones(len(rows), dtype=bool)
     rest[order[heads]] = False
-    rows["twice"][rest] = 2
-    bucket = (rows["seed"] >> U64(32)) % U64(buckets)
+    sent = rows[~rest]
+    bucket = (sent["seed"] >> U64(32)) % U64(buckets)
     by = np.argsort(bucket, kind="stable")
-    ids = np.array(ids, dtype=np.int64)
     for s, e in zip(*shingles.runs(bucket[by]), strict=True):
-        r = rows[by[s:e]].copy()
+        r = sent[by[s:e]]
         used = np.unique(r["doc"])
         r["doc"] = np.searchsorted(used, r["doc"])
-        yield int(bucket[by[s]]), np.array([len(used)], dtype="<u4").tobytes() + ids[used].astype("<i8").tobytes() + r.tobytes()
+        yield int(bucket[by[s]]), 0, np.array([len(used)], dtype="<u4").tobytes() + ids[used].astype("<i8").tobytes() + r.tobytes()
+    if rest.any():
+        doc, start, n = join_runs(ids[rows["doc"][rest]], rows["start"][rest].astype(np.int64), rows["n"][rest].astype(np.int64))
+        runs = np.empty(len(doc), dtype=KNOWN)
+        runs["doc"], runs["start"], runs["n"] = doc, start, n
+        bucket = common.mix(doc.astype(np.uint64)) % U64(buckets)
+        by = np.argsort(bucket, kind="stable")
+        for s, e in zip(*shingles.runs(bucket[by]), strict=True):
+            yield int(bucket[by[s]]), 1, runs[by[s:e]].tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -235,6 +242,15 @@ _FOUND = "doc_id long, runs binary, asks binary"
 _ASK = np.dtype([("seed", "<u8"), ("start", "<u4"), ("n", "<u4"), ("split", "u1")])
 
 
+def _known(blobs: list[bytes]) -> pa.Table:
+    """What is repeated already, by document."""
+    rows = np.concatenate([np.frombuffer(b, dtype=KNOWN) for b in blobs])
+    doc, start, n = join_runs(rows["doc"].astype(np.int64), rows["start"].astype(np.int64), rows["n"].astype(np.int64))
+    heads, tails = shingles.runs(doc)
+    spans = np.stack((start, n), axis=1).astype("<u4")
+    return pa.table({"doc_id": pa.array(doc[heads], type=pa.int64()), "runs": pa.array([spans[s:e].tobytes() for s, e in zip(heads, tails, strict=True)], type=pa.binary()), "asks": pa.array([b""] * len(heads), type=pa.binary())})
+
+
 def _judge(blobs: list[bytes], most: int) -> pa.Table:
     """What is repeated from end to end, and which contexts must be fetched, by document."""
     doc, rows = map(np.concatenate, zip(*map(_unpack, blobs), strict=True))
@@ -361,11 +377,15 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
                 for c in range(a, b, 60_000):
                     d = min(b, c + 60_000)
                     found = list(_pack(batch.column(0)[c:d].to_pylist(), [v or b"" for v in batch.column(1)[c:d].to_pylist()], length, seed, n))
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], type=pa.int32()), pa.array([x[1] for x in found], type=pa.binary())], names=["bucket", "rows"])
+                    yield packed_rows(found)
+
+    def judge(group: pa.Table) -> pa.Table:
+        blobs = [x.as_py() for x in group["rows"]]
+        return _known(blobs) if group["kind"][0].as_py() else _judge(blobs, most)
 
-    packed = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary")).mapInArrow(emit, "bucket int, rows binary")
+    packed = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary")).mapInArrow(emit, "bucket int, kind int, rows binary")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-    judged = common.materialize(packed.groupBy("bucket").applyInArrow(lambda t: _judge([x.as_py() for x in t["rows"]], most), _FOUND).withColumn("bucket", bucket), "anchors")
+    judged = common.materialize(packed.groupBy("bucket", "kind").applyInArrow(judge, _FOUND).withColumn("bucket", bucket), "anchors")
 
     def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
         asks: dict[int, list[bytes]] = {}
@@ -375,7 +395,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
         rows = [(k, d.decompress(t)) for k, t in zip(left["doc_id"].to_pylist(), left["text"].to_pylist(), strict=True) if k in asks and t is not None]
         # As many buckets as partitions: contexts are few beside the texts, and rows should be worth their while.
         out = list(_fetch([k for k, _ in rows], [t for _, t in rows], asks, length, max(1, n // 4)))
-        return pa.table({"bucket": pa.array([x[0] for x in out], type=pa.int32()), "kind": pa.array([x[1] for x in out], type=pa.int32()), "rows": pa.array([x[2] for x in out], type=pa.binary())})
+        return pa.Table.from_batches([packed_rows(out)])
 
     def find(group: pa.Table) -> pa.Table:
         blobs = [x.as_py() for x in group["rows"]]

@@ -48,7 +48,8 @@ PACK = 4 << 20
 SLICE = 1 << 20
 #: Hashes of seed and context; the text's place in the pack; first window, windows, and where the seed is from the first word.
 _ROW = np.dtype([("seed", "<u8"), ("context", "<u8"), ("doc", "<u2"), ("start", "<u4"), ("n", "<u2"), ("off", "<u2")])
-_KNOWN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
+#: A run of a document that is known to be repeated.
+KNOWN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
 #: What a text is asked for: a context, and whether window by window.
 _ASK = np.dtype([("seed", "<u8"), ("context", "<u8"), ("start", "<u4"), ("n", "<u2"), ("off", "<u2"), ("split", "u1")])
 _PART = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "<u2"), ("off", "<u2"), ("size", "<u4")])
@@ -104,7 +105,7 @@ def _pack(docs: list[int], texts: list[list[bytes]], window: int, seed: int, buc
         yield int(bucket[by[s]]), 0, np.array([len(used)], dtype="<u4").tobytes() + ids[used].astype("<i8").tobytes() + r.tobytes()
     if known.any():
         doc, start, n = join_runs(ids[owner[known]], rows["start"][known].astype(np.int64), rows["n"][known].astype(np.int64))
-        runs = np.empty(len(doc), dtype=_KNOWN)
+        runs = np.empty(len(doc), dtype=KNOWN)
         runs["doc"], runs["start"], runs["n"] = doc, start, n
         bucket = common.mix(doc.astype(np.uint64)) % U64(buckets)
         by = np.argsort(bucket, kind="stable")
@@ -285,13 +286,13 @@ def repeats(docs: DataFrame, texts: DataFrame, buckets: int, window: int = WINDO
             for a, b in shingles.groups_of(sizes, PACK):
                 for c in range(a, b, 60_000):
                     d = min(b, c + 60_000)
-                    yield _rows(list(_pack(batch.column(0)[c:d].to_pylist(), [shingles.words(t.as_py()) for t in batch.column(1)[c:d]], window, seed, buckets)))
+                    yield packed_rows(list(_pack(batch.column(0)[c:d].to_pylist(), [shingles.words(t.as_py()) for t in batch.column(1)[c:d]], window, seed, buckets)))
 
     def judge(group: pa.Table) -> pa.Table:
         blobs = [x.as_py() for x in group["rows"]]
         if group["kind"][0].as_py() == 0:
             return _judge(blobs, most)
-        known = np.concatenate([np.frombuffer(b, dtype=_KNOWN) for b in blobs])
+        known = np.concatenate([np.frombuffer(b, dtype=KNOWN) for b in blobs])
         return _answers(known["doc"].astype(np.int64), known["start"].astype(np.int64), known["n"].astype(np.int64), known["doc"][:0].astype(np.int64), np.empty(0, dtype=_ASK))
 
     def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -300,7 +301,7 @@ def repeats(docs: DataFrame, texts: DataFrame, buckets: int, window: int = WINDO
             asks.setdefault(k, []).append(blob)
         d = zstandard.ZstdDecompressor()
         rows = [(k, d.decompress(t.as_py()).split()) for k, t in zip(left["doc_id"].to_pylist(), left["text"], strict=True) if k in asks and t.is_valid]
-        return pa.Table.from_batches([_rows(list(_fetch([k for k, _ in rows], [p for _, p in rows], asks, window, seed, buckets)))])
+        return pa.Table.from_batches([packed_rows(list(_fetch([k for k, _ in rows], [p for _, p in rows], asks, window, seed, buckets)))])
 
     def find(group: pa.Table) -> pa.Table:
         blobs = [x.as_py() for x in group["rows"]]
@@ -315,7 +316,7 @@ def repeats(docs: DataFrame, texts: DataFrame, buckets: int, window: int = WINDO
     return judged.where(F.octet_length("runs") > 0).select("bucket", "doc_id", "runs").unionByName(more.select("bucket", "doc_id", "runs"))
 
 
-def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def packed_rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "rows"])
 
 
