@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +33,41 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array([root(x) for x in nodes], type=pa.int64())], names=["u", "v"])
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Links that one task joins, in arrays of some 60 MB.
+CHUNK = 1 << 20
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node and component of all nodes of at most CHUNK links: trees are hung on smaller roots and flattened, all at once."""
+    ends = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+    if not ends:
+        return
+    nodes, place = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    a, b = place.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (further := root[root]).tobytes() != root.tobytes():
+            root = further
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+
+def components(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """node, component (its smallest node) of every node that has a link; links are two columns of longs.
 
-    Each partition's links become stars first. Then large stars (every larger neighbour goes to the smallest node
-    around) and small stars alternate, each an aggregation and a join, until every node hangs on the smallest of its
-    component. Nothing but a count comes to the driver; every round is written to the shared folder.
+    Each partition's links become stars first. What is left is joined by one task if it is `chunk` links at most. More are
+    joined in rounds: large stars (every larger neighbour goes to the smallest node around) and small stars alternate,
+    each an aggregation and a join, until every node hangs on the smallest of its component. Nothing but a count comes to
+    the driver; every round is written to the shared folder.
     """
     a, b = links.columns[:2]
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u != v").mapInArrow(_forest, "u long, v long").distinct()
     edges = common.materialize(edges, "links")
+    if edges.count() <= chunk:
+        return edges.coalesce(1).mapInArrow(_whole, "node long, component long")
     while True:
         # Done when no node that others hang on hangs on one itself, and no node hangs on two.
         hanging = edges.groupBy("u").agg(F.count("*").alias("n"))

@@ -117,8 +117,11 @@ def test_components(spark):
         if a != b:
             a, b = root(a), root(b)
             part[max(a, b)] = min(a, b)
-    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()))
-    assert got == {x: root(x) for x in part}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for chunk in (graph.CHUNK, 0):  # in one task, and in rounds
+        found = list(map(tuple, graph.components(df, chunk).collect()))
+        assert dict(found) == {x: root(x) for x in part if any(x in e and e[0] != e[1] for e in edges)} and len(found) == len(dict(found))
+        assert graph.components(df.limit(0), chunk).count() == 0
 
 
 # --- 2 --------------------------------------------------------------------------------------------------------------
