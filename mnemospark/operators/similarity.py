@@ -3,8 +3,8 @@
 Inputs have an id, a scope (equal scopes only are compared) and a text. near_pairs compares all pairs of a scope and is
 there to be held against; the others go through an index: of each token set, in one order of all tokens, the first
 n - ceil(t n) + 1 are joined, as two sets of Jaccard t must share one of them. The order puts the FREQUENT most frequent
-tokens last, the rarest of them first; the others come before them, as they sort. It is one small row that every task
-gets, so prefixes are cut where the texts are read, and nothing but prefixes is shuffled.
+tokens last, the rarest of them first; the others, which few sets have, come before them, as they sort. So the order is a
+table of bounded size that every task gets, and only prefixes are joined.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 from ..functions import relation, text
 from ..functions import thresholds as th
 
-#: Tokens that the order knows by how frequent they are.
-FREQUENT = 512
+#: Tokens that the order knows by how frequent they are: a broadcast of a few megabytes.
+FREQUENT = 100_000
 
 
 def exact_groups(df: DataFrame, key: str = "doc_id", content: str = "text", *scope: str) -> DataFrame:
@@ -53,21 +53,20 @@ def near_pairs(df: DataFrame, least: float = th.DEDUP_JACCARD, key: str = "doc_i
 
 
 def frequent_tokens(*sets: DataFrame) -> DataFrame:
-    """One row: the FREQUENT most frequent tokens of tables (tokens), the rarest first."""
-    tokens = sets[0].select(F.explode("tokens").alias("t"))
+    """token, f: the FREQUENT most frequent tokens of tables (tokens), and how many sets have them."""
+    tokens = sets[0].select(F.explode("tokens").alias("token"))
     for other in sets[1:]:
-        tokens = tokens.unionByName(other.select(F.explode("tokens").alias("t")))
-    top = tokens.groupBy("t").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "t").limit(FREQUENT)
-    return top.agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]).alias("__frequent"))
+        tokens = tokens.unionByName(other.select(F.explode("tokens").alias("token")))
+    return tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1").orderBy(F.desc("f"), "token").limit(FREQUENT)
 
 
 def prefixes(sets: DataFrame, frequent: DataFrame, least: float, *keys: str) -> DataFrame:
     """keys, n and token: the tokens of each set (tokens) by which others of this similarity are found; '' for an empty set."""
-    n = F.size("tokens")
-    keep = (n - F.ceil(n * F.lit(least) - 1e-9) + 1).cast("int")
-    order = F.concat(F.array_sort(F.array_except("tokens", "__frequent")), F.array_intersect("__frequent", "tokens"))
-    first = F.when(n == 0, F.array(F.lit(""))).otherwise(F.slice(order, F.lit(1), keep))
-    return sets.join(F.broadcast(frequent)).select(*keys, n.alias("n"), F.explode(first).alias("token"))  # a single row
+    spread = sets.select(*keys, F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token")).join(F.broadcast(frequent), "token", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("token", F.lit("")).alias("token"))))
+    keep = F.when(F.col("n") == 0, 1).otherwise(F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")
+    first = F.slice("order", F.lit(1), keep)
+    return spread.groupBy(*keys, "n").agg(order.alias("order")).select(*keys, "n", F.explode(F.transform(first, lambda x: x["token"])).alias("token"))
 
 
 def near_sets(df: DataFrame, least: float = th.DEDUP_JACCARD, key: str = "doc_id", scope: str = "lang", content: str = "text") -> tuple[DataFrame, DataFrame]:
