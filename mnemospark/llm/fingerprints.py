@@ -25,6 +25,8 @@ SHINGLE = 5
 BIN_BITS = 8
 BITS = 4
 PROBES = 12
+#: Ranges of the key at most; beyond them ranges grow, and are ordered by Spark's sort, which spills.
+RANGES = 1 << 14
 BINS = 1 << BIN_BITS
 _REST = 63 - BIN_BITS
 _GAP = "[\\x20\\x09-\\x0D]+"
@@ -77,12 +79,13 @@ def likeness(a: str, b: str) -> Column:
 def with_next(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """Adds next_<column>: that of the row that follows in ascending order of the key; the first row's, after the last.
 
-    Rows are dealt by ranges of the key, and each range gets a copy of the next range's first row, so no task orders
-    them all; what comes to the driver is one key for each range. Repeated keys are ordered by the columns.
+    Rows are dealt by ranges of the key, as many as the size of the tables below asks for, and each range gets a copy of
+    the next range's first row, so no task orders them all; what comes to the driver is one key for each range, of which
+    there are RANGES at most. Repeated keys are ordered by the columns.
     """
-    ranges = common.buckets(df.sparkSession, 2)
+    ranges = min(RANGES, common.buckets(df.sparkSession, 2, df))
     step = max(1, int(ranges**0.5))
-    cuts = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 20 * ranges)).head()[0] or []
+    cuts = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], min(20 * ranges, 10 * RANGES))).head()[0] or []
     cuts = sorted(set(cuts))
     if cuts:
         fine, coarse = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[step - 1 :: step]))
@@ -99,8 +102,12 @@ def with_next(df: DataFrame, key: str, *columns: str) -> DataFrame:
         table = df.sparkSession.createDataFrame(list(before.items()), "__key long, __into int")  # a row for each range
         copies = df.join(F.broadcast(table), df[key] == F.col("__key")).withColumn("__range", F.col("__into")).withColumn("__copy", F.lit(1)).drop("__key", "__into")
         marked = marked.unionByName(copies)
-    order = Window.partitionBy("__range").orderBy("__copy", F.col(key).asc_nulls_first(), *columns)
-    return marked.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(F.col("__copy") == 0).drop("__range", "__copy")
+    order = Window.partitionBy("__task", "__range").orderBy("__copy", F.col(key).asc_nulls_first(), *columns)
+    # Neighbouring ranges share a task, as many as its share of the input asks for: no hash heaps them up.
+    found = len(cuts) + 1
+    tasks = min(found, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(df) // (4 * common.BUCKET_BYTES)))
+    dealt = marked.withColumn("__task", F.floor(F.col("__range") * F.lit(tasks) / F.lit(found)).cast("int")).repartitionById(tasks, F.col("__task"))
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(F.col("__copy") == 0).drop("__task", "__range", "__copy")
 
 
 def compare_edits(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
