@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, minhash, packing, pieces, suffixes, urls, vectors, warc, windows
+from . import divergence, fingerprints, language, manifest, minhash, mixing, packing, pieces, suffixes, urls, vectors, warc, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_minhash_dedup, op4_url_filters, op5_warc, op6_language_id, op7_suffix_dedup, op8_substring_dedup, op9_packing, op10_fingerprints)}
-ORACLE_SQL = {"op4_url_filters": urls.ORACLE_SQL}
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sentencepiece, op3_minhash_dedup, op4_url_filters, op5_warc, op6_language_id, op7_suffix_dedup, op8_substring_dedup, op9_packing, op10_fingerprints, op11_mixing, op12_divergence, op13_manifest)}
+ORACLE_SQL = {"op4_url_filters": urls.ORACLE_SQL, "op12_divergence": divergence.ORACLE_SQL, "op13_manifest": manifest.ORACLE_SQL}
