@@ -8,11 +8,12 @@ each with the chance r - floor(r) once more.
 The draw is balanced: in each source, the words and the number of documents drawn are what the chances add up to. Chances move
 along vectors that change neither sum (the null space of the two constraints) until they reach 0 or 1: the largest
 undecided document moves, and all smaller ones make up for it. That is done in blocks of a source, `BLOCK` places each; the few that
-a block can't decide, its smallest, meet those of `MERGE` other blocks in the next round, until one block is left. There at most three
-remain undecided or are of one size with others; of all ways to decide the last three the one nearest to the words is taken.
+a block can't decide, its smallest, meet those of `MERGE` other blocks in the next round, until one block is left. What remains there is
+the landing problem: of all ways to decide the last two or three the one nearest to the words is taken, and two documents of that
+block, one drawn and one not, change places as long as that comes nearer to them (a single one changes if that does better).
 
-No document's chance to be drawn is changed by a move (up and down are drawn in proportion), and none is taken more
-than `most` times. Draws depend on the seed, the source's place and the block, blocks on places in the order of (doc_id, size): not on how
+No document's chance to be drawn is changed by a move (up and down are drawn in proportion), but by the landing it is a little. None
+is taken more than `most` times. Draws depend on the seed, the source's place and the block, blocks on places in the order of (doc_id, size): not on how
 rows were dealt to tasks, so another run, or one that loses executors, gives the same rows.
 
 * A null text has size 0, and so has one of spaces; a document of size 0 takes 0 words, whether it is drawn or not.
@@ -130,37 +131,68 @@ def flight(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np
     return pi
 
 
-def landing(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """All decided: words alone are kept by moving two at a time; the last three go to the nearest of all ways in words."""
+def landing(size: np.ndarray, chance: np.ndarray, wanted: float) -> np.ndarray:
+    """All decided: the last few go to the nearest of all ways in words, then documents change places while that comes nearer to wanted."""
     pi = chance.copy()
-    while len(left := np.flatnonzero((pi > 0.0) & (pi < 1.0))) > 3:
-        a, b = left[0], left[1]
-        u = np.array([float(size[b]), -float(size[a])]) if size[b] else np.array([1.0, -1.0]) if not size[a] else np.array([0.0, 1.0])
-        p = pi[[a, b]]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.where(u > 0, (1.0 - p) / np.abs(u), np.where(u < 0, p / np.abs(u), np.inf))
-            down = np.where(u > 0, p / np.abs(u), np.where(u < 0, (1.0 - p) / np.abs(u), np.inf))
-        rise, fall = up.min(), down.min()
-        ends, step = (up, rise) if rng.random() * (rise + fall) < fall else (down, -fall)
-        moved = p + step * u
-        moved[ends == ends.min()] = np.round(moved[ends == ends.min()])
-        pi[[a, b]] = np.clip(moved, 0.0, 1.0)
-    if len(left):
-        wanted = float(size[left] @ pi[left])
-        pi[left] = min(product((0.0, 1.0), repeat=len(left)), key=lambda x: (abs(float(size[left] @ x) - wanted), abs(sum(x) - float(pi[left].sum())), x))
+    few = np.flatnonzero((pi > 0.0) & (pi < 1.0))  # flight() leaves two or three
+    if len(few):
+        rest = wanted - float(size @ pi) + float(size[few] @ pi[few])
+        count = float(chance[few].sum())
+        pi[few] = min(product((0.0, 1.0), repeat=len(few)), key=lambda x: (abs(float(size[few] @ x) - rest), abs(sum(x) - count), x))
+    pi = _nearer(size, pi, wanted)
+    if len(size) and abs(float(size @ pi) - wanted) > size[-1]:
+        # Moves of two got stuck, as one document outweighs many: once without and once with it, filled up from the largest down.
+        starts = []
+        for first in (0.0, 1.0):
+            x, room = np.zeros(len(size)), wanted - first * size[0]
+            x[0] = first
+            for i in range(1, len(size)):
+                if room >= size[i] / 2:
+                    x[i], room = 1.0, room - size[i]
+            starts.append(_nearer(size, x, wanted))
+        pi = min([pi, *starts], key=lambda x: abs(float(size @ x) - wanted))
     return pi
 
 
-def decide(state: DataFrame, span: int, last: bool, seed: int) -> DataFrame:
+def _nearer(size: np.ndarray, pi: np.ndarray, wanted: float) -> np.ndarray:
+    """Documents change, two at a time or one, while the words come nearer to wanted."""
+    pi = pi.copy()
+    while True:
+        over = float(size @ pi) - wanted
+        inside, outside = np.flatnonzero(pi == 1.0), np.flatnonzero(pi == 0.0)
+        single = [(abs(over - size[i]), (int(i),)) for i in inside] + [(abs(over + size[i]), (int(i),)) for i in outside]
+        left, changed = min([_swap(size, inside, outside, over), *single], key=lambda x: (x[0], len(x[1]) != 2), default=(abs(over), ()))
+        if left >= abs(over) - 1e-6:
+            return pi
+        pi[list(changed)] = 1.0 - pi[list(changed)]
+
+
+def _swap(size: np.ndarray, inside: np.ndarray, outside: np.ndarray, over: float) -> tuple[float, tuple]:
+    """The two places, one drawn and one not, whose change brings `over` nearest to 0, and what is left of it."""
+    if not len(inside) or not len(outside):
+        return abs(over), ()
+    ranked = outside[np.argsort(size[outside], kind="stable")]
+    at = np.searchsorted(size[ranked], size[inside] - over)
+    found = []
+    for near in (np.clip(at, 0, len(ranked) - 1), np.clip(at - 1, 0, len(ranked) - 1)):
+        left = np.abs(over - size[inside] + size[ranked[near]])
+        k = int(left.argmin())
+        found.append((float(left[k]), (int(inside[k]), int(ranked[near[k]]))))
+    return min(found)
+
+
+def decide(state: DataFrame, span: int, seed: int) -> DataFrame:
     """The undecided rows of state after one round in blocks of `span` places of their source."""
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
         size, at = table.column("size").to_numpy(), table.column("at").to_numpy()
         order = np.lexsort((at, -size))
         rng = np.random.default_rng([seed, span, key[1].as_py(), key[2].as_py()])
-        pi = flight(size[order].astype(float), table.column("chance").to_numpy()[order], rng)
-        if last:
-            pi = landing(size[order].astype(float), pi, rng)
+        chance = table.column("chance").to_numpy()[order]
+        size = size[order].astype(float)
+        pi = flight(size, chance, rng)
+        if table.column("n")[0].as_py() <= span:  # this block is all of its source that is open
+            pi = landing(size, pi, float(size @ chance))
         back = np.empty(len(order))
         back[order] = pi
         return table.set_column(table.column_names.index("chance"), "chance", pa.array(back))
@@ -182,10 +214,9 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 11) -> D
     longest = state.agg(F.max("n")).first()[0] or 0
     out, span = state.where("chance <= 0"), BLOCK
     while True:
-        last = span >= longest
-        state = common.materialize(decide(state, span, last, seed), "decided")
+        state = common.materialize(decide(state, span, seed), "decided")
         out = out.unionByName(state.where("chance <= 0 or chance >= 1"))
-        if last:
+        if span >= longest:
             break
         span *= MERGE
     copies = (F.col("whole") + F.when(F.col("chance") >= 1, 1).otherwise(0)).cast("int")

@@ -18,8 +18,8 @@ A seed with more contexts than `most` (a passage that stands in many documents a
 one task, whose memory must stay bounded: its strings are hashed one by one (64 bits and a bucket), dealt by their own hash and
 counted, which finds the same strings. Equal rows of one pack travel once; the others go straight to their documents. Hashes stand for seeds and contexts (64 bits each, and their bucket).
 
-Null texts are empty. Rows that share an id are copies of one text, and repeat one another. A row
-without id is neither searched nor changed. Bytes left
+Null texts are empty. Rows that share an id are documents of their own, whether their texts are equal or not, and what two
+of them have in common is repeated. A row without id is neither searched nor changed. Bytes left
 by a cut need not be whole characters; `kept` is their decoding with the replacement character, kept_sha256 that of the bytes.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common, shingles
+from . import common, ranks, shingles
 from .windows import KNOWN, join_runs, pack_texts, packed_rows
 
 U64 = np.uint64
@@ -366,6 +366,8 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     """doc_id, n_bytes, n_removed, n_spans, and kept or with digest kept_sha256, of every document."""
     seed = seed or max(1, length * 8 // 25)
     common.text_batches(df.sparkSession)
+    shared = ranks.own_ids(df, key, text)
+    df, keys, _ = shared or (df, None, 0)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = common.buckets(df.sparkSession, df=df)
     texts = pack_texts(docs, n, [])
@@ -418,9 +420,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
             spans = []
             if k in found:
                 r = np.frombuffer(b"".join(found[k]), dtype="<u4").reshape(-1, 2).astype(np.int64)
-                # Rows that share an id may be shorter than the runs found for another of them.
-                s, e = np.minimum(r[:, 0], len(data)), np.minimum(r[:, 0] + r[:, 1] + length - 1, len(data))
-                _, s, m = join_runs(np.zeros(len(s), dtype=np.int64), s, e - s)
+                _, s, m = join_runs(np.zeros(len(r), dtype=np.int64), r[:, 0], r[:, 1] + length - 1)
                 spans = [(a, a + b) for a, b in zip(s.tolist(), m.tolist(), strict=True) if b]
             edges = [0, *(x for span in spans for x in span), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -429,4 +429,5 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
         return pa.table({c: pa.array(v, type=pa.string() if c == last else pa.int64()) for c, v in zip(names, list(zip(*out, strict=True)) or [[]] * 5, strict=True)})
 
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField(last, T.StringType())])
-    return texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(cut, schema)
+    done = texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(cut, schema)
+    return ranks.with_ids(done, keys, "doc_id") if keys else done

@@ -18,14 +18,14 @@ context that comes again in a pack of texts travels once, that of the smallest i
 and go straight to their documents. So a passage that stands in a third of all rows costs its anchors once for each pack.
 
 Words are what stands between spaces and the characters 9 to 13, unchanged. A null text has none. Rows that share an id
-are one document's texts: they don't repeat one another. A row without id is neither searched nor changed. Documents are
-judged on the input, whatever is removed from the others.
+but not the text are documents of their own; neither has the smaller id, so they lose nothing to one another, and each loses
+what a document with a smaller id has. Equal rows lose the same. A row without id is neither searched nor changed. Documents
+are judged on the input, whatever is removed from the others.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common, shingles
+from . import common, ranks, shingles
 
 U64 = np.uint64
 WINDOW = 13
@@ -80,7 +80,7 @@ def anchors(words: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
-def _pack(docs: list[int], texts: list[list[bytes]], window: int, seed: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def _pack(docs: list[int], texts: list[list[bytes]], window: int, seed: int, buckets: int, shift: int = 0) -> Iterator[tuple[int, int, bytes]]:
     """Bucket, kind and content: anchors by their seed (0), and windows that repeat others of this pack by document (1)."""
     found = [anchors(shingles.window_hashes(parts, 1), window, seed) for parts in texts]
     rows = np.empty(sum(len(f[0]) for f in found), dtype=_ROW)
@@ -94,7 +94,7 @@ def _pack(docs: list[int], texts: list[list[bytes]], window: int, seed: int, buc
     heads = np.flatnonzero(_fresh(rows["seed"][order], rows["context"][order]))
     least = np.repeat(ids[owner][order][heads], np.diff(np.concatenate((heads, [len(rows)]))))
     known = np.empty(len(rows), dtype=bool)
-    known[order] = ids[owner][order] > least
+    known[order] = ids[owner][order] >> shift > least >> shift
     sent = rows[~known]
     bucket = (sent["seed"] >> U64(32)) % U64(buckets)
     by = np.argsort(bucket, kind="stable")
@@ -135,17 +135,17 @@ def _answers(run_doc: np.ndarray, run_start: np.ndarray, run_n: np.ndarray, ask_
     })
 
 
-def _judge(blobs: list[bytes], most: int) -> pa.Table:
+def _judge(blobs: list[bytes], most: int, shift: int) -> pa.Table:
     """What repeats a smaller document's context from end to end, and which contexts must be extended."""
     doc, rows = map(np.concatenate, zip(*map(_unpack, blobs), strict=True))
-    order = np.lexsort((doc, rows["context"], rows["seed"]))
+    order = np.lexsort((rows["start"], doc, rows["context"], rows["seed"]))
     doc, rows = doc[order], rows[order]
     fresh = _fresh(rows["seed"], rows["context"])
     heads = np.flatnonzero(fresh)
-    leads = doc == doc[heads][np.cumsum(fresh) - 1]
+    leads = doc >> shift == doc[heads][np.cumsum(fresh) - 1] >> shift
     seed = np.cumsum(_fresh(rows["seed"])) - 1
     contexts = np.bincount(seed[heads])[seed]
-    asked = leads & (contexts > 1)
+    asked = leads & (contexts > 1) & _fresh(rows["seed"], rows["context"], doc, rows["start"])  # equal rows are asked once
     asks = np.empty(int(asked.sum()), dtype=_ASK)
     for name in ("seed", "context", "start", "n", "off"):
         asks[name] = rows[name][asked]
@@ -158,12 +158,8 @@ def _fetch(ids: list[int], texts: list[list[bytes]], asks: dict[int, list[bytes]
     heads: dict[int, list[tuple]] = {}
     bodies: dict[int, list[bytes]] = {}
     split: list[np.ndarray] = []
-    twice = {k for k, n in Counter(ids).items() if n > 1}
-    for k, parts in zip(ids, texts, strict=True):
+    for k, parts in dict(zip(ids, texts, strict=True)).items():  # rows that share a key are equal
         wanted = np.frombuffer(b"".join(asks[k]), dtype=_ASK)
-        if k in twice:  # of texts that share an id, the one that has the context
-            own = anchors(shingles.window_hashes(parts, 1), window, seed)
-            wanted = wanted[np.isin(wanted["context"], own[1]) & np.isin(wanted["start"], own[2])]
         whole = wanted[wanted["split"] == 0]
         for s, start, n, off in zip(*(whole[c].tolist() for c in ("seed", "start", "n", "off")), strict=True):
             body = b" ".join(parts[start : start + n + window - 1])
@@ -194,7 +190,7 @@ def _refine(numbers: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.unique(numbers * (int(words.max(initial=0)) + 2) + words + 1, return_inverse=True)[1]
 
 
-def extended(head: np.ndarray, words: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def extended(head: np.ndarray, words: np.ndarray, window: int, seed: int, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Document and start of the windows that a smaller document has, of contexts with their words (as numbers) one after another."""
     rest = window - seed
     off, n = head["off"].astype(np.int64), head["n"].astype(np.int64)
@@ -217,28 +213,28 @@ def extended(head: np.ndarray, words: np.ndarray, window: int, seed: int) -> tup
         order = np.lexsort((head["doc"][here], key))
         doc = head["doc"][here][order]
         fresh = _fresh(key[order])
-        larger = doc > doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        larger = doc >> shift > doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] >> shift
         docs.append(doc[larger])
         starts.append((head["start"][here].astype(np.int64) + off[here] - before)[order][larger])
     return (np.concatenate(docs), np.concatenate(starts)) if docs else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
 
 
-def _extend(blobs: list[bytes], window: int, seed: int) -> pa.Table:
+def _extend(blobs: list[bytes], window: int, seed: int, shift: int) -> pa.Table:
     heads, words, number = [], [], {}
     for blob in blobs:
         n = int(np.frombuffer(blob, dtype="<u4", count=1)[0])
         heads.append(np.frombuffer(blob, dtype=_PART, count=n, offset=4))
         words += [number.setdefault(w, len(number)) for w in blob[4 + _PART.itemsize * n :].split(b" ")]
-    doc, start = extended(np.concatenate(heads), np.array(words, dtype=np.int64), window, seed)
+    doc, start = extended(np.concatenate(heads), np.array(words, dtype=np.int64), window, seed, shift)
     return _answers(doc, start, np.ones(len(doc), dtype=np.int64), doc[:0], np.empty(0, dtype=_ASK))
 
 
-def _counted(blobs: list[bytes]) -> pa.Table:
+def _counted(blobs: list[bytes], shift: int) -> pa.Table:
     """The windows that a smaller document has, among hashed ones."""
     rows = np.concatenate([np.frombuffer(b, dtype=_WINDOW) for b in blobs])
     rows = rows[np.lexsort((rows["doc"], rows["seed"], rows["hash"]))]
     fresh = _fresh(rows["hash"], rows["seed"])
-    rows = rows[rows["doc"] > rows["doc"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]]
+    rows = rows[rows["doc"] >> shift > rows["doc"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1] >> shift]
     return _answers(rows["doc"].astype(np.int64), rows["start"].astype(np.int64), np.ones(len(rows), dtype=np.int64), rows["doc"][:0].astype(np.int64), np.empty(0, dtype=_ASK))
 
 
@@ -276,9 +272,9 @@ def pack_texts(df: DataFrame, buckets: int, columns: list[str]) -> DataFrame:
 _FOUND = "doc_id long, runs binary, asks binary"
 
 
-def repeats(docs: DataFrame, texts: DataFrame, buckets: int, window: int = WINDOW, seed: int = SEED, most: int = MOST) -> DataFrame:
+def repeats(docs: DataFrame, texts: DataFrame, buckets: int, window: int = WINDOW, seed: int = SEED, most: int = MOST, shift: int = 0) -> DataFrame:
     """bucket (of doc_id) and packed runs (doc_id, start, windows) of the repeated windows of documents (doc_id, text), whose
-    packed texts are dealt to as many buckets."""
+    packed texts are dealt to as many buckets. Ids are compared without their last `shift` bits (ranks.own_ids)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.settle(batches):
@@ -286,12 +282,12 @@ def repeats(docs: DataFrame, texts: DataFrame, buckets: int, window: int = WINDO
             for a, b in shingles.groups_of(sizes, PACK):
                 for c in range(a, b, 60_000):
                     d = min(b, c + 60_000)
-                    yield packed_rows(list(_pack(batch.column(0)[c:d].to_pylist(), [shingles.words(t.as_py()) for t in batch.column(1)[c:d]], window, seed, buckets)))
+                    yield packed_rows(list(_pack(batch.column(0)[c:d].to_pylist(), [shingles.words(t.as_py()) for t in batch.column(1)[c:d]], window, seed, buckets, shift)))
 
     def judge(group: pa.Table) -> pa.Table:
         blobs = [x.as_py() for x in group["rows"]]
         if group["kind"][0].as_py() == 0:
-            return _judge(blobs, most)
+            return _judge(blobs, most, shift)
         known = np.concatenate([np.frombuffer(b, dtype=KNOWN) for b in blobs])
         return _answers(known["doc"].astype(np.int64), known["start"].astype(np.int64), known["n"].astype(np.int64), known["doc"][:0].astype(np.int64), np.empty(0, dtype=_ASK))
 
@@ -305,7 +301,7 @@ def repeats(docs: DataFrame, texts: DataFrame, buckets: int, window: int = WINDO
 
     def find(group: pa.Table) -> pa.Table:
         blobs = [x.as_py() for x in group["rows"]]
-        return _counted(blobs) if group["kind"][0].as_py() else _extend(blobs, window, seed)
+        return _counted(blobs, shift) if group["kind"][0].as_py() else _extend(blobs, window, seed, shift)
 
     dealt, bucket = "bucket int, kind int, rows binary", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
     packed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, dealt)
@@ -335,11 +331,13 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
     """
     carry = carry or []
     common.text_batches(df.sparkSession)
+    shared = ranks.own_ids(df, key, text)
+    df, keys, shift = shared or (df, None, 0)
     inner = [f"__carry_{i}" for i in range(len(carry))]
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(x) for c, x in zip(carry, inner, strict=True)])
     n = common.buckets(df.sparkSession, df=df)
     texts = pack_texts(docs, n, inner)
-    found = repeats(docs, texts, n, window, seed, most)
+    found = repeats(docs, texts, n, window, seed, most, shift)
     last = "kept_sha256" if digest else "kept"
     names = ["doc_id", *inner, "__n_words", "__n_removed", "__kept"]
     out = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in inner), T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept", T.StringType())])
@@ -357,9 +355,8 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
             if k in runs:
                 cover = np.zeros(len(parts) + 1, dtype=np.int64)
                 for start, many in _spans(runs[k]):
-                    # Rows that share an id may be shorter than the runs found for another of them.
-                    cover[min(start, len(parts))] += 1
-                    cover[min(start + many + window - 1, len(parts))] -= 1
+                    cover[start] += 1
+                    cover[start + many + window - 1] -= 1
                 stay = [w for w, gone in zip(parts, (np.cumsum(cover[:-1]) > 0).tolist(), strict=True) if not gone]
             counts.append(len(parts))
             removed.append(len(parts) - len(stay))
@@ -372,4 +369,6 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
         return pa.table([left["doc_id"], *(left[c] for c in inner), pa.array(counts, type=pa.int64()), pa.array(removed, type=pa.int64()), pa.array(kept, type=pa.string())], names=names)
 
     done = texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut, out)
+    if keys:
+        done = ranks.with_ids(done, keys, "doc_id")
     return done.select("doc_id", *[F.col(x).alias(c) for c, x in zip(carry, inner, strict=True)], F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept").alias(last))

@@ -118,6 +118,17 @@ def test_mixing_in_rounds(spark, monkeypatch):
         assert abs(sum(r.copies for r in mine) - share[s] * len(mine)) <= 3
 
 
+def test_landing_comes_near_with_one_large_document():
+    rng = np.random.default_rng(2)
+    for k in range(300):
+        size = np.sort(np.concatenate(([5000.0], rng.integers(10, 90, 30).astype(float))))[::-1]
+        chance = np.full(31, rng.random() * 0.98 + 0.01)
+        pi = mixing.landing(size, mixing.flight(size, chance, rng), wanted := float(size @ chance))
+        assert set(pi) <= {0.0, 1.0}
+        others = size[1:].sum()  # the large one stays out, or all others do, if they can't make up for it
+        assert abs(size @ pi - wanted) <= max(0, min(abs(wanted - 5000), wanted - others)) + 200, (k, chance[0])
+
+
 def test_chances_are_kept():
     size = np.sort(np.random.default_rng(0).integers(1, 60, 40)).astype(float)[::-1]
     chance = np.full(40, 0.3)
