@@ -4,17 +4,20 @@ A command is a dict with seq, op and what the op needs (text, source, gate colum
 fold keeps the user's facts by id, the ids by hash, the live facts of each token, the open quarantine, reviews and
 conflicts, and answers each command with one audit row. The same fold serves batches (run) and streams. A fact's id is
 the seq of the command that made it, and a quarantined item's is the seq of the command that held it, so users never wait for each
-other. The state of a user is bounded by the memory cap and by what was tombstoned.
+other. The state of a user is bounded by the memory cap and by what was tombstoned. A fold begins empty or with what a store has of its
+users (sources/log.py), and `advance` gives what it changed there.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, astuple, dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,16 +39,43 @@ _NEGATION, _STRONG, _WEAK = (re.compile(rf"\b(?:{'|'.join(p)})\b") for p in (wor
 
 
 class Reading:
-    """What the rules read in a text."""
+    """What the rules read in a text; each only where it is asked for, as a text that was said before needs its hash alone."""
 
     def __init__(self, text: str):
+        self.text = text
         self.norm = " ".join(text.split())
-        self.tokens = frozenset(self.norm.split())
-        low = text.lower()
-        found = set(_TOKEN.findall(low))
-        self.content = frozenset(t for t in found if t not in _FUNCTION and t not in _NUMBERS and not _ORDINAL.match(t))
-        self.numbers = frozenset(t for t in found if t in _NUMBERS or any(c.isdigit() for c in t))
-        self.negation, self.strong, self.weak = (bool(p.search(low)) for p in (_NEGATION, _STRONG, _WEAK))
+
+    @cached_property
+    def tokens(self) -> frozenset[str]:
+        return frozenset(self.norm.split(" ")) if self.norm else frozenset()
+
+    @cached_property
+    def _low(self) -> str:
+        return self.text.lower()
+
+    @cached_property
+    def _found(self) -> frozenset[str]:
+        return frozenset(_TOKEN.findall(self._low))
+
+    @cached_property
+    def content(self) -> frozenset[str]:
+        return frozenset(t for t in self._found if t not in _FUNCTION and t not in _NUMBERS and not _ORDINAL.match(t))
+
+    @cached_property
+    def numbers(self) -> frozenset[str]:
+        return frozenset(t for t in self._found if t in _NUMBERS or any(c.isdigit() for c in t))
+
+    @cached_property
+    def negation(self) -> bool:
+        return bool(_NEGATION.search(self._low))
+
+    @cached_property
+    def strong(self) -> bool:
+        return bool(_STRONG.search(self._low))
+
+    @cached_property
+    def weak(self) -> bool:
+        return bool(_WEAK.search(self._low))
 
     def hash(self) -> str:
         return hashlib.sha256(self.norm.encode()).hexdigest()
@@ -136,6 +166,7 @@ class Ledger:
         self.readings: dict[int, Reading] = {}
         self.by_token: dict[str, set[int]] = {}
         self.live = 0
+        self._loaded: dict = {"facts": {}, "held": set(), "conflicts": [], "reviews": 0}
         for f in self.facts.values():
             self.readings[f.id] = Reading(f.text)
             if f.tombstoned_by is None:
@@ -348,6 +379,24 @@ class Ledger:
     def dump(self) -> dict:
         return {"facts": [asdict(f) for f in self.facts.values()], "held": list(self.held.values()), "conflicts": self.conflicts, "reviews": self.reviews}
 
+    def begin(self) -> Ledger:
+        """From here on changes() counts."""
+        self._loaded = {"facts": {f.id: astuple(f) for f in self.facts.values()}, "held": set(self.held), "conflicts": [dict(x) for x in self.conflicts], "reviews": len(self.reviews)}
+        return self
+
+    def changes(self) -> dict[str, list[dict]]:
+        """What differs from the state at begin(), as rows of the stored tables; gone marks rows to be removed.
+
+        Conflicts are numbered in their order, as a pair may come twice.
+        """
+        was, now = self._loaded, self.dump()
+        facts = [{**f, "gone": False} for f, x in zip(now["facts"], self.facts.values(), strict=True) if was["facts"].get(x.id) != astuple(x)]
+        held = [{**x, "gone": False} for k, x in self.held.items() if k not in was["held"]] + [{"qid": k, "gone": True} for k in sorted(was["held"] - set(self.held))]
+        old = was["conflicts"]
+        conflicts = [{"n": i, **x, "gone": False} for i, x in enumerate(self.conflicts) if i >= len(old) or old[i] != x]
+        conflicts += [{"n": i, "gone": True} for i in range(len(self.conflicts), len(old))]
+        return {"facts": facts, "held": held, "conflicts": conflicts, "reviews": [{**x, "gone": False} for x in self.reviews[was["reviews"] :]]}
+
     @classmethod
     def load(cls, user: str, state: dict, settings: Settings) -> Ledger:
         return cls(user, settings, {f["id"]: Fact(**f) for f in state["facts"]}, {h["qid"]: h for h in state["held"]}, state["conflicts"], state["reviews"])
@@ -371,49 +420,138 @@ def gated(df: DataFrame, cutoffs: th.Gate | None = None) -> DataFrame:
     return df.withColumn("__d", d).withColumns({"gate_action": F.col("__d.action"), "importance": F.col("__d.importance"), "judge": F.col("__d.judge"), "reason": F.array_join("__d.reasons", ";")}).drop("__d")
 
 
-def run(df: DataFrame, output: str = "audit", settings: Settings | None = None) -> DataFrame:
+#: What a user's state is stored as; (user, the second column) is the key of a row.
+STATE = {
+    "facts": FACTS,
+    "held": "qid long, user string, text string, reason string, source string",
+    "conflicts": "n long, user string, old_id long, new_id long, relation string, reason string, actor string",
+    "reviews": "qid long, user string, decision string, reason string, actor string",
+}
+_SHAPES = {
+    "audit": AUDIT, "facts": FACTS, "held": "user string, qid long, text string, reason string, source string",
+    "conflicts": "user string, old_id long, new_id long, relation string, reason string, actor string", "reviews": "user string, qid long, decision string, reason string, actor string",
+}
+_KINDS = ("facts", "held", "conflicts")
+
+
+def _columns(schema: str) -> list[str]:
+    return [x.strip().split(" ")[0] for x in schema.split(",")]
+
+
+def state_rows(stored: dict[str, DataFrame]) -> DataFrame:
+    """user, kind (its number), seq and item (JSON) of stored facts, held items and conflicts: what a fold needs of the past."""
+    parts = [stored[k].select("user", F.lit(i).alias("kind"), F.col(_columns(STATE[k])[0]).alias("seq"), F.to_json(F.struct(*_columns(STATE[k]))).alias("item")) for i, k in enumerate(_KINDS)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def loaded(user: str, items: list[tuple[int, str]], rules: Settings) -> Ledger:
+    """The ledger of a user from its state rows (kind, item), in the order of seq."""
+    found: dict[str, list[dict]] = {k: [] for k in _KINDS}
+    for kind, item in items:
+        found[_KINDS[kind]].append(json.loads(item))
+    facts = {f["id"]: Fact(**f) for f in found["facts"]}
+    held = {h["qid"]: {"qid": h["qid"], "text": h.get("text"), "reason": h.get("reason"), "source": h.get("source")} for h in found["held"]}
+    return Ledger(user, rules, facts, held, [{c: x.get(c) for c in ("old_id", "new_id", "relation", "reason", "actor")} for x in found["conflicts"]]).begin()
+
+
+def _ordered(df: DataFrame, stored: dict[str, DataFrame] | None) -> DataFrame:
+    """Each user's stored state and then its commands in the order of seq, in one partition.
+
+    Scanned in order, neither need be held in memory at once.
+    """
+    known = df.where("seq is not null").withColumns({"kind": F.lit(len(_KINDS)), "item": F.lit(None).cast("string")})
+    if stored:
+        past = state_rows(stored).join(df.select("user").distinct(), "user", "left_semi")
+        known = known.unionByName(past, allowMissingColumns=True)
+    return known.repartition("user").sortWithinPartitions("user", "kind", "seq")
+
+
+def _folded(batches: Iterator[pa.RecordBatch], rules: Settings) -> Iterator[tuple[Ledger, list[dict], bool]]:
+    """(ledger, audit rows of this batch, whether the user is done)."""
+    ledger: Ledger | None = None
+    user, past = None, []
+    rows: list[dict] = []
+    for batch in batches:
+        for c in batch.to_pylist():
+            if user != c["user"] and (ledger is not None or past):
+                yield ledger or loaded(user, past, rules), rows, True
+                ledger, past, rows = None, [], []
+            user = c["user"]
+            if c["kind"] < len(_KINDS):
+                past.append((c["kind"], c["item"]))
+                continue
+            if ledger is None:
+                ledger, past = loaded(user, past, rules), []
+            rows.append(ledger.apply(c))
+        if ledger is not None and rows:
+            yield ledger, rows, False
+            rows = []
+    if ledger is not None:
+        yield ledger, rows, True
+
+
+def run(df: DataFrame, output: str = "audit", settings: Settings | None = None, stored: dict[str, DataFrame] | None = None) -> DataFrame:
     """Folds commands (user, seq, op, ...) user by user in the order of seq.
 
-    output: audit (a row for each command), facts, held, conflicts or reviews as they stand at the end. A user's
-    commands are one group: that is the order that results depend on; users are spread over tasks. A command without seq
-    has no place in that order: it changes nothing, and its audit row is an error.
+    output: audit (a row for each command), facts, held, conflicts or reviews of users with commands as they stand at the
+    end. stored: facts, held and conflicts to go on from, with the columns of STATE. A user's commands are one group: that
+    is the order that results depend on; users are spread over tasks. A command without seq has no place in that order: it
+    changes nothing, and its audit row is an error.
     """
-    shapes = {
-        "audit": AUDIT, "facts": FACTS, "held": "user string, qid long, text string, reason string, source string",
-        "conflicts": "user string, old_id long, new_id long, relation string, reason string, actor string", "reviews": "user string, qid long, decision string, reason string, actor string",
-    }
-    rules, schema = settings or Settings(), shapes[output]
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    rules, schema = settings or Settings(), _SHAPES[output]
+    names = _columns(schema)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ledger: Ledger | None = None
-        for batch in batches:  # sorted by user and seq: a user's rows follow one another
-            rows: list[dict] = []
-            for c in batch.to_pylist():
-                if ledger is None or ledger.user != c["user"]:
-                    if ledger is not None and output != "audit":
-                        rows += [{"user": ledger.user, **x} for x in ledger.dump()[output]]
-                    ledger = Ledger(c["user"], rules)
-                row = ledger.apply(c)
-                if output == "audit":
-                    rows.append(row)
-            yield _batch(rows, names, schema)
-        if ledger is not None and output != "audit":
-            yield _batch([{"user": ledger.user, **x} for x in ledger.dump()[output]], names, schema)
-
-    # Scanned in order, a user's commands needn't be held in memory at once.
+        for ledger, rows, done in _folded(batches, rules):
+            if output == "audit":
+                yield _batch(rows, names, schema)
+            elif done:
+                yield _batch([{"user": ledger.user, **x} for x in ledger.dump()[output]], names, schema)
+
     known = commands(df)
-    done = known.where("seq is not null").repartition("user").sortWithinPartitions("user", "seq").mapInArrow(fold, schema)
+    done = _ordered(known, stored).mapInArrow(fold, schema)
     return done.unionByName(refused(known)) if output == "audit" else done
 
 
+#: One row of a fold that gives all at once: which table, and a column for a row of each.
+_ALL = "part string, " + ", ".join(f"{k} struct<{', '.join(x.strip().replace(' ', ': ') for x in v.split(','))}>" for k, v in {"audit": AUDIT, **{k: v + ", gone boolean" for k, v in STATE.items()}}.items())
+
+
+def advance(df: DataFrame, settings: Settings | None = None, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One fold for all tables: part, and in the column of that name an audit row or a changed row of the stored tables.
+
+    Rows of the tables have the columns of STATE and gone, true for keys to be removed. Write it before it is read more than once.
+    """
+    rules = settings or Settings()
+    shapes = {"audit": AUDIT, **{k: v + ", gone boolean" for k, v in STATE.items()}}
+    kinds = {k: pa.struct([(n, _ARROW[t]) for n, t in (x.strip().split(" ") for x in v.split(","))]) for k, v in shapes.items()}
+
+    def shown(part: str, rows: list[dict]) -> pa.RecordBatch:
+        n, names = len(rows), _columns(shapes[part])
+        filled = pa.array([{c: r.get(c) for c in names} for r in rows], type=kinds[part])
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part), n), *(filled if k == part else pa.nulls(n, kinds[k]) for k in shapes)], names=["part", *shapes])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ledger, rows, done in _folded(batches, rules):
+            if rows:
+                yield shown("audit", rows)
+            if done:
+                for part, changed in ledger.changes().items():
+                    if changed:
+                        yield shown(part, [{**x, "user": ledger.user} for x in changed])
+
+    known = commands(df)
+    late = refused(known).select(F.lit("audit").alias("part"), F.struct(*_columns(AUDIT)).alias("audit"))
+    return _ordered(known, stored).mapInArrow(fold, _ALL).unionByName(late, allowMissingColumns=True)
+
+
 def refused(known: DataFrame) -> DataFrame:
     """Audit rows of commands without a place in the order."""
     fixed = {"user": F.col("user"), "op": F.col("op"), "outcome": F.lit("error"), "reason": F.lit("no-seq")}
     return known.where("seq is null").select(*[fixed.get(n, F.lit(None)).cast(t).alias(n) for n, t in (x.strip().split(" ") for x in AUDIT.split(","))])
 
 
-_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
 def _batch(rows: list[dict], names: list[str], schema: str) -> pa.RecordBatch:

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import gate, judge, relation, text, words
 from ..functions import thresholds as th
-from ..operators import contamination, ledger, lifecycle, limits, metrics, recall, similarity
+from ..operators import contamination, ledger, lifecycle, limits, metrics, recall, resume, similarity
+from ..sources.folders import own_folder
 from . import oracle as o
 from .base import ORACLE_SQL, QUERIES, query, table, texts  # noqa: F401
 from .memory_stream import memory_stream
@@ -288,8 +289,21 @@ def ledger_facts(spark, sf_dir):
     SELECT user, coalesce(live, 0) AS live, coalesce(quarantined, 0) AS quarantined, coalesce(conflicts, 0) AS conflicts FROM l FULL JOIN q USING (user) FULL JOIN open USING (user)"""
 )
 def ledger_status(spark, sf_dir):
+    """One fold, committed to a store, and counts of what the store has."""
+    store = resume.open_store(spark, own_folder(spark, "store"))
+    resume.advance(store, _commands(spark, sf_dir))
+    return lifecycle.status(store.read("facts"), store.read("held"), store.read("conflicts"))
+
+
+@query(f"WITH RECURSIVE {o.folded()} {_LAST}")
+def ledger_resumed(spark, sf_dir):
+    """The stream in two parts by seq: the first is folded into a store, the second goes on from there."""
     c = _commands(spark, sf_dir)
-    return lifecycle.status(ledger.run(c, "facts"), ledger.run(c, "held"), ledger.run(c, "conflicts"))
+    half = c.agg(F.floor((F.min("seq") + F.max("seq")) / 2)).first()[0] or 0
+    store = resume.open_store(spark, own_folder(spark, "store"))
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        resume.advance(store, c.where(part))
+    return store.read("facts")
 
 
 @query(f"WITH {o.gated(o.MEMORY)} SELECT user, action, count(*) AS n FROM gated GROUP BY ALL")
