@@ -70,7 +70,7 @@ def split_cases(cases: DataFrame) -> DataFrame:
 def crosscheck_distinct(cases: DataFrame, stride: int = 4) -> DataFrame:
     """Every stride-th pair labelled distinct whose normal forms are equal after all."""
     distinct = cases.where("suite = 'dedupe' and expect = 'DISTINCT'")
-    ranked = distinct.withColumn("__r", F.row_number().over(Window.partitionBy("suite").orderBy("id")) - 1)
+    ranked = metrics.numbered(distinct, F.col("id"), "suite")
     return ranked.where((F.col("__r") % stride == 0) & (text.normalize(F.col("text")) == text.normalize(F.col("candidate")))).select("id")
 
 

@@ -43,22 +43,20 @@ class Budget:
         return True, 0
 
 
-def admitted_load(df: DataFrame, scope: str = "user_id", key: str = "event_id", ts: str = "ts", chars: str = "chars", **budget) -> DataFrame:
+def admitted_load(df: DataFrame, scope: str = "user_id", key: str = "event_id", ts: str = "ts", chars: str = "chars", whole: int = 100_000, **budget) -> DataFrame:
     """key, scope, admitted, retry_after: each scope's calls in the order of time and key against its own budget.
 
     What is admitted depends on what was before, so calls are folded in order; the state is one window's entries. After a
-    pause of a window and more nothing of before counts, so what lies between such pauses is folded by itself: a scope
-    that has pauses is spread over tasks, and one budget for all is one scope. Pauses are found by the windows of time
-    that have calls, which are few beside the calls.
+    pause of a window and more nothing of before counts, so what lies between such pauses can be folded by itself: where a scope
+    has more than `whole` calls, scopes that have pauses are spread over tasks so (one budget for all is one scope). Pauses are
+    found by the windows of time that have calls, which are few beside the calls.
     """
     window = int(budget.get("seconds", th.WINDOW_SECONDS) * 1_000_000)
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     source = df.select(F.col(scope).cast("long").alias("scope"), F.col(key).cast("long").alias("key"), at.alias("at"), F.col(chars).cast("long").alias("chars"), F.floor(at / window).alias("span"))
-    busy = source.groupBy("scope", "span").agg(F.lit(1).alias("one"))
-    before = Window.partitionBy("scope").orderBy("span")
-    fresh = busy.withColumn("fresh", F.when(F.col("span") - F.lag("span").over(before) <= 1, 0).otherwise(1))
-    islands = fresh.select(F.col("scope").alias("__scope"), F.col("span").alias("__span"), F.sum("fresh").over(before).alias("island"))
-    calls = source.join(islands, F.col("scope").eqNullSafe(F.col("__scope")) & F.col("span").eqNullSafe(F.col("__span"))).select("scope", "island", "key", "at", "chars")
+    largest = source.groupBy("scope").count().agg(F.max("count")).first()[0] or 0
+    calls = _islands(source) if largest > whole else source.withColumn("island", F.lit(0).cast("long"))
+    calls = calls.select("scope", "island", "key", "at", "chars")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit, current = Budget(**budget), None
@@ -71,5 +69,16 @@ def admitted_load(df: DataFrame, scope: str = "user_id", key: str = "event_id",
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["key", "scope", "admitted", "retry_after"])
 
-    ordered = calls.repartition("scope", "island").sortWithinPartitions("scope", "island", "at", "key")
+    together = ["scope", "island"] if largest > whole else ["scope"]
+    ordered = calls.repartition(*together).sortWithinPartitions("scope", "island", "at", "key")
     return ordered.mapInArrow(fold, "key long, scope long, admitted boolean, retry_after long")
+
+
+def _islands(source: DataFrame) -> DataFrame:
+    """Numbers what lies between a scope's pauses of a window and more."""
+    busy = source.groupBy("scope", "span").agg(F.lit(1).alias("one"))
+    before = Window.partitionBy("scope").orderBy("span")
+    fresh = busy.withColumn("fresh", F.when(F.col("span") - F.lag("span").over(before) <= 1, 0).otherwise(1))
+    islands = fresh.select(F.col("scope").alias("__scope"), F.col("span").alias("__span"), F.sum("fresh").over(before).alias("island"))
+    return source.join(islands, F.col("scope").eqNullSafe(F.col("__scope")) & F.col("span").eqNullSafe(F.col("__span")))
+

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import thresholds as th
+from ..sources.folders import own_folder
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -62,19 +65,61 @@ def best_cutoff(sweep: DataFrame, coverage: float = th.CONFORMAL_COVERAGE) -> Da
     return sweep.orderBy(F.desc(meets), F.when(meets, F.col("min_conf")).otherwise(-F.col("min_conf"))).limit(1)
 
 
+#: Parts that a range of values is cut into in one round of a percentile.
+PARTS = 1024
+
+
 def percentile_by_index(df: DataFrame, value: str, quantiles: dict[str, float], *by: str) -> DataFrame:
-    """The value at index min(n - 1, floor(q n)) of the sorted values of each group.
+    """The value at index min(n - 1, floor(q n)) of the sorted values of each group: n and a column for each quantile.
 
-    Values are counted before they are ranked, so a group's rows meet as distinct values with counts.
+    No group is sorted. Each round counts a range of values in PARTS parts, map side first, and goes on with the values of the
+    part that the index falls into, from their smallest to their largest, until these are one. A round shuffles at most PARTS
+    counts for each task, group and quantile; values spread evenly take two or three rounds. Null values don't count, NaN is
+    the largest value, and null is a group of its own.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(*by)
-    upto = counted.withColumns({"__upto": F.sum("__n").over(order.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__n").over(order)})
-    picks = []
-    for name, q in quantiles.items():
-        index = F.least(F.col("__all") - 1, F.floor(F.col("__all") * q))
-        picks.append(F.min(F.when(F.col("__upto") > index, F.col(value))).alias(name))
-    return upto.groupBy(*by).agg(F.max("__all").alias("n"), *picks)
+    known = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], F.col(value).alias("__v"))
+    groups = [f"__g{i}" for i in range(len(by))]
+    sizes = known.groupBy(*groups).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.col("__n") - 1, F.floor(F.col("__n") * F.lit(q))).cast("long").alias("at")) for name, q in quantiles.items()]))
+    state = sizes.withColumn("__q", wanted).select(*groups, "__n", "__lo", "__hi", F.col("__q.name").alias("__name"), F.col("__q.at").alias("__at"))
+    names = [*groups, "__n", "__name"]
+    done = []
+    while True:
+        state, few = _settled(state)
+        done.append(state.where("__lo = __hi"))
+        open_ = state.where("__lo != __hi")
+        if open_.isEmpty():
+            break
+        ranges = F.broadcast(open_) if few else open_
+        same = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
+        for g in groups:
+            same = same & F.col(f"k.{g}").eqNullSafe(F.col(f"r.{g}"))
+        share = (F.col("__v") - F.col("__lo")).cast("double") / (F.col("__hi") - F.col("__lo")).cast("double")
+        part = F.when(F.col("__v") == F.col("__hi"), PARTS).otherwise(F.least(F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * PARTS), F.lit(PARTS - 1)))
+        met = known.alias("k").join(ranges.alias("r"), same).select(*[F.col(f"r.{g}") for g in groups], "__n", "__name", "__at", "__v", part.cast("int").alias("__part"))
+        parts = met.groupBy(*names, "__at", "__part").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        upto = F.sum("__c").over(Window.partitionBy(*names).orderBy("__part"))
+        inside = (F.col("__at") >= F.col("__upto") - F.col("__c")) & (F.col("__at") < F.col("__upto"))
+        state = parts.withColumn("__upto", upto).where(inside).select(*groups, "__n", "__lo", "__hi", "__name", (F.col("__at") - F.col("__upto") + F.col("__c")).alias("__at"))
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    picks = [F.max(F.when(F.col("__name") == name, F.col("__lo"))).alias(name) for name in quantiles]
+    return found.groupBy(*groups, "__n").agg(*picks).select(*[F.col(g).alias(c) for g, c in zip(groups, by, strict=True)], F.col("__n").alias("n"), *quantiles)
+
+
+#: Ranges that are kept on the driver between two rounds; more of them are written.
+FEW = 10_000
+
+
+def _settled(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df computed, and whether it has FEW rows at most."""
+    rows = df.limit(FEW + 1).collect()
+    if len(rows) <= FEW:
+        return df.sparkSession.createDataFrame(rows, df.schema), True
+    path = own_folder(df.sparkSession, "rounds")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), False
 
 
 #: Values of a whole number in one slice of a ranking.
@@ -126,8 +171,25 @@ def sample_evenly(df: DataFrame, k: int, order: str, *by: str) -> DataFrame:
 
 
 def train_hash(df: DataFrame, content: str = "text") -> DataFrame:
-    """One row: the hash of the sorted hashes of all texts. The list of hashes must fit one task, as its order is their concatenation."""
-    return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.col(content), 256))), ","), 256).alias("train_hash"), F.count("*").alias("train_n"))
+    """One row: the hash of the sorted hashes of all texts, joined by commas, and their number.
+
+    Equal texts are counted where they are read; one task sorts the distinct hashes, on disk where memory doesn't do, and streams
+    them through one hash, as their order is what is hashed.
+    """
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, n, begun = hashlib.sha256(), 0, False
+        for batch in batches:
+            for h, many in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n += many
+                if h is not None:  # a null text is counted, and has no hash
+                    for _ in range(many):
+                        whole.update(f",{h}".encode() if begun else h.encode())
+                        begun = True
+        yield pa.RecordBatch.from_arrays([pa.array([whole.hexdigest()]), pa.array([n], pa.int64())], names=["train_hash", "train_n"])
+
+    hashes = df.groupBy(F.sha2(F.col(content), 256).alias("h")).agg(F.count("*").alias("n"))
+    return hashes.repartition(1).sortWithinPartitions(F.col("h").asc_nulls_last()).mapInArrow(streamed, "train_hash string, train_n long")
 
 
 def fingerprint(task: str) -> str:

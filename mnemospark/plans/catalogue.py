@@ -10,6 +10,7 @@ from ..functions import gate, judge, relation, text, words
 from ..functions import thresholds as th
 from ..operators import contamination, ledger, lifecycle, limits, metrics, recall, resume, similarity
 from ..sources.folders import own_folder
+from ..streaming import windows
 from . import oracle as o
 from .base import ORACLE_SQL, QUERIES, query, table, texts  # noqa: F401
 from .memory_stream import memory_stream
@@ -602,6 +603,11 @@ def train_hash(spark, sf_dir):
     return metrics.train_hash(table(spark, sf_dir, "benchmark"))
 
 
+@query("SELECT sha256(string_agg(h, ',' ORDER BY h)) AS train_hash, count(*) AS train_n FROM (SELECT sha256(text) AS h FROM documents)")
+def train_hash_documents(spark, sf_dir):
+    return metrics.train_hash(texts(spark, sf_dir, "documents"))
+
+
 # --- Limits and requests --------------------------------------------------------------------------------------------
 
 
@@ -620,6 +626,17 @@ def rate_admitted(spark, sf_dir):
     return limits.admitted_load(_calls(spark, sf_dir), calls=2, seconds=3600)
 
 
+@query(
+    """WITH f AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM f)
+    SELECT user_id, epoch_us(min(ts)) AS began_us, epoch_us(max(ts)) + 1800000000 AS ended_us, count(*) AS n, CAST(sum(length(props)) AS BIGINT) AS chars FROM g GROUP BY user_id, s"""
+)
+def user_sessions(spark, sf_dir):
+    """Runs of a user's calls with less than half an hour between them, by the function that streams use."""
+    found = windows.sessions(_calls(spark, sf_dir), "user_id", F.sum("chars").alias("chars"))
+    return found.select("user_id", F.unix_micros("began").alias("began_us"), F.unix_micros("ended").alias("ended_us"), "n", "chars")
+
+
 @query(f"WITH RECURSIVE {o.admitted('0', 3, 1800)}")
 def rate_admitted_all(spark, sf_dir):
     """One budget for all users together: at most three calls in half an hour."""

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import evaluation, ledger, lifecycle
+from ..operators import evaluation, ledger, lifecycle, redteam
 from ..sources import folders, tables
 from . import oracle as o
-from .base import query, table
+from .base import query, table, texts
 from .catalogue import _FACTS, _facts
 from .memory_stream import memory_stream
 
@@ -112,24 +112,32 @@ def text_strings(spark, sf_dir):
     return tables.read_texts(spark, _artifacts(spark, sf_dir))[0].select("s")
 
 
-# --- Whole sessions -------------------------------------------------------------------------------------------------
+# --- Whole sessions and attacks --------------------------------------------------------------------------------------
 
+_SAID = "SELECT 'c' || conv_id AS user, turn::BIGINT AS seq, text, role AS source FROM conversations"
+
+
+@query(f"WITH RECURSIVE {o.folded(lines=_SAID)} SELECT a.user, a.seq, g.action, a.outcome, a.fact_id, a.reason FROM audit a JOIN gated g ON g.user = a.user AND g.seq = a.seq")
+def demo_session(spark, sf_dir):
+    """Each conversation as a session from end to end: its turns gated, and stored or held or dropped in their order."""
+    turns = texts(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("user"), F.col("turn").cast("long").alias("seq"), "text", F.col("role").alias("source"))
+    said = ledger.gated(turns)
+    done = ledger.run(said).select("user", "seq", "outcome", "fact_id", "reason")
+    return said.select("user", "seq", F.col("gate_action").alias("action")).join(done, ["user", "seq"])
 
-@query("SELECT * FROM (VALUES ('injection', true), ('paraphrase', true), ('vague update', true), ('another user', true), ('judge refused', true)) t(attack, refused)")
-def redteam_attacks(spark, sf_dir):
-    """Five attacks, each of which must be refused."""
-    from ..cli import redteam
 
-    return spark.createDataFrame(redteam(spark), "attack string, refused boolean")
+_ATTACKED = " UNION ALL ".join(f"SELECT conv_id, turn, {k} AS k, '{a} ' || text AS text FROM conversations" for k, a in enumerate(redteam.LINES))
+_COPY = "'  ' || upper(text) || ' !!'"
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 'STORE', 'insert'), (2, 'STORE', 'insert'), (3, 'DROP', 'drop'), (4, 'DROP', 'drop'), (5, 'QUARANTINE', 'quarantine'), (6, 'DROP', 'drop'), (7, 'STORE', 'exact')) t(seq, action, outcome)"""
+    f"""WITH RECURSIVE {o.folded()}, shown AS (SELECT unnest(string_split(relations, ',')) AS r FROM audit WHERE relations <> '')
+    SELECT 'injection' AS attack, count(*) AS attempts, count(*) FILTER (action <> 'STORE') AS refused FROM (WITH {o.gated(_ATTACKED)} SELECT action FROM gated)
+    UNION ALL SELECT 'paraphrase', count(*), count(*) FILTER ({o.compare_form(_COPY)} = {o.compare_form('text')} AND {o.compare_form('text')} <> '') FROM benchmark
+    UNION ALL SELECT 'vague update', count(*), count(*) FILTER (r LIKE '%:KEEP:veto-keep') FROM shown WHERE r LIKE '%:veto-keep'
+    UNION ALL SELECT 'another user', count(*), count(*) FROM ({o.MEMORY})"""
 )
-def demo_session(spark, sf_dir):
-    """The lines of the demo, gated and stored."""
-    from .. import demo
-
-    said = ledger.gated(demo.lines(spark))
-    done = ledger.run(said).select("seq", "outcome")
-    return said.select("seq", F.col("gate_action").alias("action")).join(done, "seq").select(F.col("seq").cast("int").alias("seq"), "action", "outcome")
+def redteam_attacks(spark, sf_dir):
+    """Attacks made from conversations, benchmark texts and the stream: how many were tried, and how many refused."""
+    turns = texts(spark, sf_dir, "conversations").select("text")
+    return redteam.attacks(turns, table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), "text"), ledger.gated(memory_stream(spark, sf_dir)))

@@ -126,11 +126,11 @@ SUSPICIOUS = f"""{ADMITTED}, reading AS (SELECT user, seq, text, {norm('text')}
 _ACTION = "CASE WHEN strict <> lenient THEN 'KEEP' WHEN strict = 'supersede' THEN 'TOMBSTONE' WHEN strict = 'conflict_unresolved' THEN 'CONFLICT' ELSE 'KEEP' END"
 
 
-def folded(cap: int = th.MEMORY_CAP, bridge: bool = True, commands: str | None = None) -> str:
+def folded(cap: int = th.MEMORY_CAP, bridge: bool = True, commands: str | None = None, lines: str | None = None) -> str:
     """CTEs (the WITH must be RECURSIVE) ending in `audit`, a row for each command, and `last`, each user's facts at the end:
     one user's commands in the order of seq, all users a command further at each step.
 
-    commands selects user, seq, op, text, source, target_id, other_id; without it, the memory stream is admitted. A fact is
+    commands selects user, seq, op, text, source, target_id, other_id; without it, lines (user, seq, text, source) are admitted, or the memory stream. A fact is
     known by k, the first command of its normal form, and has the seq of the command that made it as its id.
     """
     fact = "k BIGINT, id BIGINT, live BOOLEAN, text VARCHAR, source VARCHAR, created BIGINT, heir BIGINT, other BIGINT, importance INT, decided BIGINT"
@@ -148,7 +148,7 @@ def folded(cap: int = th.MEMORY_CAP, bridge: bool = True, commands: str | None =
     made = f"struct_pack(k := c_k, id := c_seq, live := true, text := c_text, source := c_source, created := c_seq, heir := {none}, other := (CASE WHEN len(against) > 0 THEN against[-1] END), importance := c_importance, decided := c_decided)"
     buried = f"WHEN f.id = c_target THEN {changed(live='false', heir='c_other')}"
     bridged = "true" if bridge else "false"
-    admitting = f"""{gated(MEMORY)}, given AS (SELECT user, seq, 'put' AS op, text, source, importance, seq AS decided, {none} AS target_id, {none} AS other_id FROM gated WHERE action = 'STORE')"""
+    admitting = f"""{gated(lines or MEMORY)}, given AS (SELECT user, seq, 'put' AS op, text, source, importance, seq AS decided, {none} AS target_id, {none} AS other_id FROM gated WHERE action = 'STORE')"""
     asked = f"""asked AS ({commands}), given AS (SELECT a.user, a.seq, a.op, CASE WHEN a.op IN ('release', 'approve') THEN h.text ELSE a.text END AS text, CASE WHEN a.op IN ('release', 'approve') THEN coalesce(a.source, h.source) ELSE a.source END AS source, NULL::INT AS importance, {none} AS decided, a.target_id, a.other_id
       FROM asked a LEFT JOIN asked h ON a.op IN ('release', 'approve') AND h.op = 'quarantine' AND h.user = a.user AND h.seq = a.target_id)"""
     audit = """SELECT g.user, g.seq, 'admit' AS op, CASE WHEN g.action = 'DROP' THEN 'drop' WHEN g.action = 'QUARANTINE' OR f.outcome = 'cap' THEN 'quarantine' ELSE f.outcome END AS outcome, f.fact_id, f.merged_into, f.score, f.flagged, f.cut, f.relations,

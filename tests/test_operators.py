@@ -262,6 +262,34 @@ def test_percentile_split_and_samples(spark):
     assert [r.id for r in metrics.sample_evenly(df, 3, "id", "g").orderBy("id").collect()] == [0, 3, 6]
 
 
+@pytest.mark.parametrize(("parts", "few"), [(1024, 10_000), (4, 10_000), (4, 2)])
+def test_percentiles_in_rounds(spark, monkeypatch, parts, few):
+    monkeypatch.setattr(metrics, "PARTS", parts)
+    monkeypatch.setattr(metrics, "FEW", few)
+    rng = random.Random(parts + few)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, -1.5, 1e300, rng.gauss(0, 1), rng.gauss(0, 1), float(rng.randrange(5))]), rng.randrange(-(10**12), 10**12)) for _ in range(500)] + [("one", 3.25, 7)]
+    df = spark.createDataFrame(rows, "g string, v double, k long")
+    quantiles = {"least": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "most": 1.0}
+    for column, i in (("v", 1), ("k", 2)):
+        got = {r.g: r for r in metrics.percentile_by_index(df, column, quantiles, "g").collect()}
+        assert set(got) == {"a", "b", None, "one"}
+        for g, r in got.items():
+            found = sorted(x[i] for x in rows if x[0] == g and x[i] is not None)
+            assert r.n == len(found) and [r[q] for q in quantiles] == [found[min(len(found) - 1, int(q * len(found)))] for q in quantiles.values()]
+    whole = metrics.percentile_by_index(df, "k", {"p50": 0.5}).collect()
+    assert [tuple(r) for r in whole] == [(501, sorted(x[2] for x in rows)[250])]
+    assert metrics.percentile_by_index(df.where("k is null"), "k", {"p50": 0.5}, "g").collect() == []
+
+
+def test_train_hash_of_repeats_and_nulls(spark):
+    import hashlib
+
+    texts = ["b", "a", "b", None, "", "a"]
+    got = metrics.train_hash(spark.createDataFrame([(t,) for t in texts], "text string")).head()
+    hashes = sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts if t is not None)
+    assert (got.train_hash, got.train_n) == (hashlib.sha256(",".join(hashes).encode()).hexdigest(), 6)
+
+
 def test_budget():
     b = limits.Budget(calls=2, chars=100, seconds=60)
     assert [b.check(t, n) for t, n in [(0, 10), (15, 10), (30, 10), (61, 10), (62, 95)]] == [(True, 0), (True, 0), (False, 31), (True, 0), (False, 14)]
