@@ -37,7 +37,7 @@ from . import common
 #: What each byte of a text becomes: ASCII letters in lower case, bytes beyond ASCII as they are, all others a space.
 FOLD = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 #: Terms that one task holds before it writes its counts.
-HELD = 200_000
+HELD = 600_000
 #: Bytes of a text that are split at once.
 PIECE = 1 << 20
 #: Positions in one bitmap of Spark's bitmap functions.
@@ -114,7 +114,7 @@ def sketch(counted: DataFrame, least: int, depth: int, width: int) -> np.ndarray
     return out
 
 
-def possible(counted: DataFrame, least: int, depth: int = 4, width: int = 1 << 24) -> DataFrame:
+def possible(counted: DataFrame, least: int, depth: int = 2, width: int = 1 << 25) -> DataFrame:
     """The rows whose term may be in `least` documents of its language: none that is in as many is missing."""
     spark = counted.sparkSession
     width = max(BITS, min(width, 1 << max(1, common.input_bytes(counted) // 4).bit_length()))
@@ -142,7 +142,7 @@ def apart(p: Column, q: Column) -> Column:
     return F.when(p + q == 0, F.lit(0).cast("long")).otherwise(F.call_function("div", (p - q) * (p - q), p + q))
 
 
-def audit(docs: DataFrame, least: int = 10, top: int = 10, depth: int = 4, width: int = 1 << 24) -> DataFrame:
+def audit(docs: DataFrame, least: int = 10, top: int = 10, depth: int = 2, width: int = 1 << 25) -> DataFrame:
     """lang, source, part, item, value, rank: for each group its distance to each other source of the language (`pair`)
     and the `top` terms that it has more of than its language (`term`)."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
