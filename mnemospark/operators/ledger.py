@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 import re
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, astuple, dataclass, field
 from functools import cached_property
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -165,6 +166,7 @@ class Ledger:
         self.by_hash: dict[str, int] = {f.text_hash: f.id for f in self.facts.values()}
         self.readings: dict[int, Reading] = {}
         self.by_token: dict[str, set[int]] = {}
+        self.sizes: dict[int, int] = {}
         self.live = 0
         self._loaded: dict = {"facts": {}, "held": set(), "conflicts": [], "reviews": 0}
         for f in self.facts.values():
@@ -178,6 +180,7 @@ class Ledger:
 
     def _index(self, i: int) -> None:
         self.live += 1
+        self.sizes[i] = len(self.readings[i].tokens)
         for t in self.readings[i].tokens:
             self.by_token.setdefault(t, set()).add(i)
 
@@ -187,19 +190,12 @@ class Ledger:
             self.by_token[t].discard(i)
 
     def _alike(self, new: Reading, least: float) -> list[tuple[float, int]]:
-        """(similarity, id) of live facts of at least this similarity.
-
-        Such a fact lacks at most n - ceil(least n) of the n tokens, so it has one of any n - ceil(least n) + 1: those that
-        the fewest facts have.
-        """
+        """(similarity, id) of live facts of at least this similarity, by counting how many of the new tokens each has."""
         n = len(new.tokens)
-        holders = sorted((self.by_token.get(t, ()) for t in new.tokens), key=len)
-        met = set().union(*holders[: n - math.ceil(n * least - 1e-9) + 1])
-        found = []
-        for i in met:
-            other = self.readings[i].tokens
-            both = len(new.tokens & other)
-            if both >= least * (n + len(other) - both) - 1e-9 and (score := both / (n + len(other) - both)) >= least:
+        shared = Counter(chain.from_iterable(self.by_token.get(t, ()) for t in new.tokens))
+        found, sizes, some = [], self.sizes, least * n / (1 + least) - 1e-9
+        for i, both in shared.items():
+            if both >= some and (score := both / (n + sizes[i] - both)) >= least:
                 found.append((score, i))
         return found
 
@@ -271,11 +267,8 @@ class Ledger:
     def screen(self, i: int, new: Reading, alike: list[tuple[float, int]]) -> dict:
         """Shows suspicious live facts to the committee, most alike first, and applies what it agrees on."""
         signal = new.negation or new.strong or new.weak
-        found = []
-        for score, j in alike:
-            old = self.readings[j]
-            if score >= self.settings.screen_jaccard and old.norm != new.norm and (signal or old.content != new.content or old.numbers != new.numbers):
-                found.append((-score, j))
+        readings, least = self.readings, self.settings.screen_jaccard
+        found = [(-score, j) for score, j in alike if score >= least and (old := readings[j]).norm != new.norm and (signal or old.content != new.content or old.numbers != new.numbers)]
         found.sort()
         outcomes, kept = [], [j for _, j in found[: self.settings.screen_pairs]]
         for at, j in enumerate(kept):

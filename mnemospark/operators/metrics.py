@@ -65,23 +65,23 @@ def best_cutoff(sweep: DataFrame, coverage: float = th.CONFORMAL_COVERAGE) -> Da
     return sweep.orderBy(F.desc(meets), F.when(meets, F.col("min_conf")).otherwise(-F.col("min_conf"))).limit(1)
 
 
-#: Parts that a range of values is cut into in one round of a percentile.
-PARTS = 1024
+#: Parts that a range of values is cut into in one round of a percentile, and rows of a part that are sorted at last.
+PARTS, LAST = 1024, 50_000
 
 
 def percentile_by_index(df: DataFrame, value: str, quantiles: dict[str, float], *by: str) -> DataFrame:
     """The value at index min(n - 1, floor(q n)) of the sorted values of each group: n and a column for each quantile.
 
     No group is sorted. Each round counts a range of values in PARTS parts, map side first, and goes on with the values of the
-    part that the index falls into, from their smallest to their largest, until these are one. A round shuffles at most PARTS
-    counts for each task, group and quantile; values spread evenly take two or three rounds. Null values don't count, NaN is
-    the largest value, and null is a group of its own.
+    part that the index falls into, from their smallest to their largest, until these are one, or LAST rows at most, which are
+    sorted. A round shuffles at most PARTS counts for each task, group and quantile; values spread evenly take one or two
+    rounds. Null values don't count, NaN is the largest value, and null is a group of its own.
     """
     known = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], F.col(value).alias("__v"))
     groups = [f"__g{i}" for i in range(len(by))]
     sizes = known.groupBy(*groups).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.col("__n") - 1, F.floor(F.col("__n") * F.lit(q))).cast("long").alias("at")) for name, q in quantiles.items()]))
-    state = sizes.withColumn("__q", wanted).select(*groups, "__n", "__lo", "__hi", F.col("__q.name").alias("__name"), F.col("__q.at").alias("__at"))
+    state = sizes.withColumn("__q", wanted).select(*groups, "__n", F.col("__n").alias("__c"), "__lo", "__hi", F.col("__q.name").alias("__name"), F.col("__q.at").alias("__at"))
     names = [*groups, "__n", "__name"]
     done = []
     while True:
@@ -94,13 +94,18 @@ def percentile_by_index(df: DataFrame, value: str, quantiles: dict[str, float],
         same = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
         for g in groups:
             same = same & F.col(f"k.{g}").eqNullSafe(F.col(f"r.{g}"))
+        inner = known.alias("k").join(ranges.alias("r"), same).select(*[F.col(f"r.{g}") for g in groups], "__n", "__c", "__lo", "__hi", "__name", "__at", "__v")
+        if open_.agg(F.max("__c")).first()[0] <= LAST:
+            place = F.element_at(F.array_sort(F.collect_list("__v")), (F.col("__at") + 1).cast("int"))
+            done.append(inner.groupBy(*names, "__at").agg(place.alias("__lo")).select(*groups, "__n", F.lit(None).cast("long").alias("__c"), "__lo", F.col("__lo").alias("__hi"), "__name", "__at"))
+            break
         share = (F.col("__v") - F.col("__lo")).cast("double") / (F.col("__hi") - F.col("__lo")).cast("double")
         part = F.when(F.col("__v") == F.col("__hi"), PARTS).otherwise(F.least(F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * PARTS), F.lit(PARTS - 1)))
-        met = known.alias("k").join(ranges.alias("r"), same).select(*[F.col(f"r.{g}") for g in groups], "__n", "__name", "__at", "__v", part.cast("int").alias("__part"))
+        met = inner.select(*names, "__at", "__v", part.cast("int").alias("__part"))
         parts = met.groupBy(*names, "__at", "__part").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
         upto = F.sum("__c").over(Window.partitionBy(*names).orderBy("__part"))
         inside = (F.col("__at") >= F.col("__upto") - F.col("__c")) & (F.col("__at") < F.col("__upto"))
-        state = parts.withColumn("__upto", upto).where(inside).select(*groups, "__n", "__lo", "__hi", "__name", (F.col("__at") - F.col("__upto") + F.col("__c")).alias("__at"))
+        state = parts.withColumn("__upto", upto).where(inside).select(*groups, "__n", "__c", "__lo", "__hi", "__name", (F.col("__at") - F.col("__upto") + F.col("__c")).alias("__at"))
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)

@@ -101,9 +101,16 @@ def near_pairs_prefix(df: DataFrame, least: float = th.DEDUP_JACCARD, key: str =
 
 
 def best_near(df: DataFrame, least: float = th.DEDUP_JACCARD, **names) -> DataFrame:
-    """For each row that has an earlier near duplicate, the best one: highest score, then lowest id."""
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("old_id"))).alias("b")
-    return near_pairs_prefix(df, least, **names).groupBy("scope", "new_id").agg(best).select("scope", "new_id", F.col("b.old_id").alias("best_id"), (-F.col("b.s")).alias("score"))
+    """For each row that has an earlier near duplicate, the best one: highest score, then lowest id.
+
+    A copy's best is the first of its set. The first of a set has the best of the sets before it, whose lowest ids are their first
+    ones. So copies aren't expanded: a row for each of them, and one for each pair of sets.
+    """
+    members, alike = near_sets(df, least, **names)
+    copies = members.where("scope is not null and id != rep").select("scope", F.col("id").alias("new_id"), F.col("rep").alias("best_id"), F.lit(1.0).alias("score"))
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("x"))).alias("b")
+    firsts = alike.groupBy("scope", "y").agg(best).select("scope", F.col("y").alias("new_id"), F.col("b.x").alias("best_id"), (-F.col("b.s")).alias("score"))
+    return copies.unionByName(firsts)
 
 
 def candidate_pairs(df: DataFrame, key: str, scope: str, content: str) -> DataFrame:
