@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import evaluation, ledger, lifecycle, redteam
-from ..sources import folders, tables
+from ..sources import folders, sqlite, tables
 from . import oracle as o
 from .base import query, table, texts
 from .catalogue import _FACTS, _facts
@@ -69,6 +69,15 @@ def stored_facts(spark, sf_dir):
     return store.read("facts").select("id", "user", "text", "text_hash", "tombstoned_by", "gate_action")
 
 
+@query(f"WITH facts AS ({_FACTS}) SELECT id, CASE WHEN id % 9 = 0 THEN 'local' ELSE user END AS user, text, sha256({o.norm('text')}) AS text_hash, importance, decided_at FROM facts WHERE tombstoned_by IS NULL AND gate_action = 'STORE'")
+def facts_from_sqlite(spark, sf_dir):
+    """Live facts that the gate let in, read by condition from SQLite files of an older table that lacks columns and some users."""
+    folder = folders.own_folder(spark, "sqlite")
+    f = _facts(spark, sf_dir).repartition("user")
+    sqlite.write(f.select("id", F.when(F.col("id") % 9 != 0, F.col("user")).alias("user"), "text", "tombstoned_by", "gate_action", "importance", "decided_at"), folder, index=("gate_action",))
+    return sqlite.read_facts(spark, folder, where=[("tombstoned_by", "is null"), ("gate_action", "=", "STORE")]).select("id", "user", "text", "text_hash", "importance", "decided_at")
+
+
 @query(f"SELECT source, count(*) AS writes, count(*) * {evaluation.th.COST_PER_1000_WRITES / 1000!r}::DOUBLE AS cost FROM ({o.MEMORY}) GROUP BY source")
 def write_costs(spark, sf_dir):
     return evaluation.write_costs(memory_stream(spark, sf_dir), "source")
