@@ -48,8 +48,13 @@ def compare_form(text: Column) -> Column:
     return normalize(F.regexp_replace(folded, r"[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]", " "))
 
 
+def form_tokens(form: Column) -> Column:
+    """The token set of a text in compare_form."""
+    return F.array_distinct(F.filter(F.split(form, " "), lambda t: t != ""))
+
+
 def compare_tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(compare_form(text), " "), lambda t: t != ""))
+    return form_tokens(compare_form(text))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,6 +201,33 @@ def test_contamination_kinds(spark):
     assert got == {"a": ("exact-text", 1.0), "b": ("content-hash", 1.0), "c": ("normalized-text", 1.0), "d": ("token-overlap", 7 / 8), "g": ("content-hash", 1.0)}
 
 
+@pytest.mark.parametrize("bits", [6, contamination.MAP_BITS])
+def test_contamination_against_every_pair(spark, monkeypatch, bits):
+    """The map of protected tokens changes nothing, even if every token has a bit that is set."""
+    monkeypatch.setattr(contamination, "MAP_BITS", bits)
+    rng, words = random.Random(5), [f"w{i}" for i in range(60)]
+    said = lambda pool, n: " ".join(rng.choices(pool, k=n))
+    protected = [said(words[:30], rng.randint(1, 9)) for _ in range(25)] + ["", "...", None]
+    rows = [(rng.randint(0, 150), said(words, rng.randint(0, 9))) for _ in range(200)] + [(1, None), (2, ""), (2, "!")]
+    for _ in range(200):  # texts that are near to protected ones
+        kept = [w for w in rng.choice(protected[:25]).split() if rng.random() < 0.95] + rng.choices(words, k=rng.randint(0, 1))
+        rows += [(rng.randint(0, 150), rng.choice([" ".join(kept), "; ".join(kept).upper()]))] * rng.randint(1, 2)
+    known = [p for p in protected if p is not None]
+    form = lambda t: " ".join(re.sub("[^a-z0-9]", " ", t.lower()).split())
+    want = {}
+    for path, s in rows:
+        if s is None:
+            continue
+        mine, kinds = set(form(s).split()), []
+        best = max((len(mine & set(form(p).split())) / len(mine | set(form(p).split())) for p in known if form(p)), default=0) if len(mine) >= 3 else 0
+        kinds = [(0, -1.0, s)] * (s in known) + [(2, -1.0, s)] * (form(s) != "" and form(s) in map(form, known)) + [(3, -best, s)] * (best >= 0.8)
+        if kinds:
+            want[path] = min(kinds + ([want[path]] if path in want else []))
+    df = spark.createDataFrame(rows, "path long, s string").repartition(3)
+    got = {r.path: (contamination.KINDS.index(r.check), -r.score, r.excerpt) for r in contamination.flags(df, spark.createDataFrame([(p,) for p in protected], "text string"), 0.8, 3).collect()}
+    assert got == want and {k for k, _, _ in want.values()} == {0, 2, 3}
+
+
 def test_artifacts_from_files(spark, tmp_path):
     (tmp_path / "a.yaml").write_text("name: x\nsplit: 'test'\n")
     (tmp_path / "b.md").write_text("notes\n  the blue bike stands in bay four  \n")
