@@ -127,6 +127,33 @@ def _settled(df: DataFrame) -> tuple[DataFrame, bool]:
     return df.sparkSession.read.schema(df.schema).parquet(path), False
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind, strict=True)])
+    return F.lit(value).cast(kind)
+
+
+def _cut_slice(keyed: DataFrame) -> Column:
+    """The slice of __k, from 0: how many cut points aren't above it. Null is in the first slice, as it comes first.
+
+    Cut points are keys of a random sample, four slices for each shuffle partition and CUTS at most, so slices are even however
+    keys are spelled; places don't depend on which keys were drawn. Rows of one key share a slice.
+    """
+    kind = keyed.schema["__k"].dataType
+    slices = min(CUTS, 4 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = keyed.select("__k").where("__k is not null").orderBy(F.rand(7)).limit(8 * slices).distinct().orderBy("__k").collect()
+    cuts = [_literal(r[0], kind) for r in drawn[:: max(1, len(drawn) // slices)]]
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    upto = lambda c: c <= F.col("__k")
+    coarse = cuts[step - 1 :: step]
+    block = F.coalesce(F.size(F.filter(F.array(*coarse), upto)), F.lit(0))
+    return block * step + F.size(F.filter(F.slice(F.array(*cuts), block * step + 1, F.lit(step)), upto))
+
+
+#: Cut points of a ranking at most.
+CUTS = 4096
 #: Values of a whole number in one slice of a ranking.
 SLICE = 10_000
 
@@ -134,14 +161,14 @@ SLICE = 10_000
 def numbered(df: DataFrame, order: Column, *by: str) -> DataFrame:
     """Adds __r, a row's place from 0 in its group in order, and __n, the rows of the group.
 
-    No task ranks a whole group: rows are ranked within slices of the order (whole numbers by SLICE, strings by their
-    first two characters, structs by their first field), and slices are counted before they are added up.
+    No task ranks a whole group: rows are ranked within slices of the order (whole numbers, and structs that begin with one, by SLICE,
+    all others by cut points), and slices are counted before they are added up.
     """
     keyed = df.withColumn("__k", order)
     kind, first = keyed.schema["__k"].dataType, F.col("__k")
     while isinstance(kind, T.StructType):
         kind, first = kind[0].dataType, first.getField(kind[0].name)
-    part = F.floor(first / SLICE).cast("string") if isinstance(kind, T.IntegralType) else F.substring(first, 1, 2) if isinstance(kind, T.StringType) else F.lit("")
+    part = F.floor(first / SLICE).cast("string") if isinstance(kind, T.IntegralType) else _cut_slice(keyed)
     sliced = keyed.withColumn("__s", part)
     place = F.floor(first / SLICE) if isinstance(kind, T.IntegralType) else F.col("__s")
     counts = sliced.groupBy(*by, "__s").agg(F.count("*").alias("__c"), F.min(place).alias("__o"))

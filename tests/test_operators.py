@@ -416,6 +416,33 @@ def test_numbered_over_slices(spark):
             assert [got[i] for i in mine] == [(k, len(mine)) for k in range(len(mine))]
 
 
+def test_numbered_by_cut_points(spark):
+    """Keys with one beginning, doubles, times and structs are ranked over many slices; null comes first, NaN last."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), f"admit-{rng.randint(0, 10**6):09d}" if i % 50 else None, rng.choice([rng.random(), -0.5, float("inf"), float("nan"), None]), rng.randint(0, 10**9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string, name string, part double, t long").withColumn("at", F.timestamp_seconds("t"))
+    double = lambda v: (v is not None, v is not None and v != v, 0.0 if v is None or v != v else v)
+    orders = [
+        (F.struct("name", "id"), lambda r: (r.name is not None, r.name or "", r.id)),
+        (F.struct("part", "id"), lambda r: (double(r.part), r.id)),
+        (F.struct("at", F.struct((-F.col("id")).alias("x")).alias("y")), lambda r: (r.t, -r.id)),
+    ]
+    for order, key in orders:
+        ranked = metrics.numbered(df, order, "g").collect()
+        for g in ("a", "b", None):
+            mine = sorted((r for r in ranked if r.g == g), key=key)
+            assert [r["__r"] for r in mine] == list(range(len(mine))) and {r["__n"] for r in mine} == {len(mine)}
+    for order in ("name", "part", "at"):  # equal keys in any order
+        ranked = metrics.numbered(df, F.col(order)).collect()
+        assert sorted(r["__r"] for r in ranked) == list(range(3000))
+        sliced = df.withColumn("__k", F.col(order)).withColumn("s", metrics._cut_slice(df.withColumn("__k", F.col(order))))
+        sizes = [r["count"] for r in sliced.groupBy("s").count().collect()]
+        assert len(sizes) > 5 and (order == "part" or max(sizes) < 3000 / 4)
+    none = df.limit(0)
+    assert metrics.numbered(none, F.col("name"), "g").collect() == []
+    assert [r["__r"] for r in metrics.numbered(df.limit(1).withColumn("name", F.lit(None).cast("string")), F.col("name")).collect()] == [0]
+
+
 def test_admitted_load_between_pauses(spark):
     """Pauses split the fold without changing what is admitted."""
     import random
