@@ -117,8 +117,8 @@ def case_split(spark, sf_dir):
 @query(f"WITH {_SCORED}, s AS ({_SPLIT}) SELECT suite, split, count(*) AS n, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS fail FROM scored JOIN s USING (id, suite) WHERE suite IN ('admit', 'rerank') GROUP BY ALL")
 def suite_split_report(spark, sf_dir):
     """Two suites, by half."""
-    chosen = evaluation.split_cases(_cases(spark, sf_dir)).where(F.col("suite").isin("admit", "rerank"))
-    return evaluation.report(evaluation.predict(chosen), "split")
+    chosen = _cases(spark, sf_dir).where(F.col("suite").isin("admit", "rerank"))
+    return evaluation.report_by_half(evaluation.predict(chosen), evaluation.split_cases(chosen))
 
 
 @query(f"SELECT id, suite, kind, text, candidate, old, new, candidates[1][1] AS first_candidate, gate, expect FROM ({_CASES})")

@@ -91,3 +91,10 @@ def test_records_of_a_live_run(spark, tmp_path):
     votes = records.write_votes(str(tmp_path / "votes.json"), rows, "some-model", "2026-01-01")
     assert json.loads((tmp_path / "votes.json").read_text()) == votes and votes["agreement"] == "1/3 = 33.3%" and votes["votes"] == {"a1": "STORE", "a2": None, "i1": "4"}
     assert records.vote_summary(rows.limit(0)).head().agreement == "0/0 = 0.0%"
+
+
+def test_halves_of_cases_that_share_an_id_meet_every_result(spark):
+    scored = spark.createDataFrame([("a", "admit", True), ("a", "admit", False), ("b", "admit", True), ("a", "rerank", True)], "id string, suite string, ok boolean")
+    halves = spark.createDataFrame([("a", "admit", "train"), ("a", "admit", "train"), ("b", "admit", "test"), ("a", "rerank", "test")], "id string, suite string, split string")
+    got = {(r.suite, r.split): (r.n, r.ok, r.fail) for r in evaluation.report_by_half(scored, halves).collect()}
+    assert got == {("admit", "train"): (4, 2, 2), ("admit", "test"): (1, 1, 0), ("rerank", "test"): (1, 1, 0)}
