@@ -8,29 +8,35 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions import thresholds as th
-from . import similarity
+from . import blocks
 
 
-def score(queries: DataFrame, live: DataFrame, scope: str = "user") -> DataFrame:
+def _tokens(queries: DataFrame, live: DataFrame, scope: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    return queries.select(scope, "query_id", text.token_set(F.col("query")).alias("tokens")), live.select(scope, "id", "text", text.token_set(F.col("text")).alias("tokens"), *more)
+
+
+def score(queries: DataFrame, live: DataFrame, scope: str = "user", with_text: bool = True) -> DataFrame:
     """(query_id, id, text, score) of every live fact (scope, id, text) of a query's (scope, query_id, query) scope.
 
-    Token sets are made once for each query and each fact, before the join.
+    Token sets are made once for each query and each fact, and compared block by block.
     """
-    q = queries.select(scope, "query_id", text.token_set(F.col("query")).alias("__q"))
-    f = live.select(scope, "id", "text", text.token_set(F.col("text")).alias("__t"))
-    return q.join(f, scope).select("query_id", "id", "text", text.set_jaccard(F.col("__q"), F.col("__t")).alias("score"))
-
-
-def matches(queries: DataFrame, live: DataFrame, gate: float = th.RECALL_GATE, scope: str = "user") -> DataFrame:
-    """The rows of score at or above the gate, through the index of tokens: facts that can't reach it are never met."""
-    q = queries.select(scope, "query_id", text.token_set(F.col("query")).alias("tokens"))
-    f = live.select(scope, "id", "text", text.token_set(F.col("text")).alias("tokens"))
-    order = similarity.frequent_tokens(q, f)
-    size = F.least("q_n", "f_n") >= F.greatest("q_n", "f_n") * F.lit(gate) - 1e-9
-    asked, found = similarity.prefixes(q, order, gate, scope, "query_id").withColumnRenamed("n", "q_n"), similarity.prefixes(f, order, gate, scope, "id").withColumnRenamed("n", "f_n")
-    pairs = asked.join(found, [scope, "token"]).where(size).select(scope, "query_id", "id").distinct()
-    both = pairs.join(q.withColumnRenamed("tokens", "__q"), [scope, "query_id"]).join(f.withColumnRenamed("tokens", "__t"), [scope, "id"])
-    return both.select("query_id", "id", "text", text.set_jaccard(F.col("__q"), F.col("__t")).alias("score")).where(F.col("score") >= gate)
+    return blocks.compare(*_tokens(queries, live, scope), scope, with_text=with_text)
+
+
+def matches(queries: DataFrame, live: DataFrame, gate: float = th.RECALL_GATE, scope: str = "user", with_text: bool = True) -> DataFrame:
+    """The rows of score at or above the gate, through blocks' indexes of tokens: no other pair is written."""
+    return blocks.compare(*_tokens(queries, live, scope), scope, blocks.at_least(gate), with_text)
+
+
+def selected(queries: DataFrame, live: DataFrame, gate: float = th.RECALL_GATE, band: float = th.RECALL_BAND, cap: int = th.RECALL_CAP, scope: str = "user") -> DataFrame:
+    """The rows of select(score): of each block only those are written that can be among them."""
+    return select(blocks.compare(*_tokens(queries, live, scope), scope, blocks.top(gate, band, cap)), gate, band, cap)
+
+
+def injected(queries: DataFrame, live: DataFrame, budget: int = th.BUDGET_CHARS, scope: str = "user") -> DataFrame:
+    """The rows of inject(score): of each block only those are written that can fit. A text that a scope repeats is its first id's."""
+    once = live.groupBy(scope, "text").agg(F.min("id").alias("id")).withColumn("size", F.length("text") + 1)
+    return inject(blocks.compare(*_tokens(queries, once, scope, "size"), scope, blocks.within(budget)).repartition("query_id"), budget)
 
 
 def select(scored: DataFrame, gate: float = th.RECALL_GATE, band: float = th.RECALL_BAND, cap: int = th.RECALL_CAP, query: str = "query_id", order: str = "id") -> DataFrame:

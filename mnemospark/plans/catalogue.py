@@ -435,24 +435,20 @@ def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return queries, both.where("turn > first").select("user", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
 
 
-def _scored(spark, sf_dir) -> DataFrame:
-    return recall.score(*_asked(spark, sf_dir))
-
-
 @query(f"WITH {_SCORED} SELECT query_id, id, score FROM scored")
 def recall_scores(spark, sf_dir):
-    return _scored(spark, sf_dir).select("query_id", "id", "score")
+    return recall.score(*_asked(spark, sf_dir), with_text=False)
 
 
 @query(f"WITH {_SCORED}, {_SELECTED} SELECT query_id, id, score, rank FROM selected")
 def recall_select(spark, sf_dir):
-    return recall.select(_scored(spark, sf_dir), gate=_RECALL_GATE).select("query_id", "id", "score", "rank")
+    return recall.selected(*_asked(spark, sf_dir), gate=_RECALL_GATE).select("query_id", "id", "score", "rank")
 
 
 @query(f"WITH {_SCORED} SELECT query_id, id, score FROM scored WHERE score >= 0.05")
 def recall_matches(spark, sf_dir):
-    """The facts that pass a gate, through the index of tokens."""
-    return recall.matches(*_asked(spark, sf_dir), gate=0.05).select("query_id", "id", "score")
+    """The facts that pass a gate, through blocks' indexes of tokens."""
+    return recall.matches(*_asked(spark, sf_dir), gate=0.05, with_text=False)
 
 
 _PACKED = "SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS packed, count(*) AS n FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM {rows}) WHERE used <= {budget} GROUP BY 1"
@@ -460,7 +456,7 @@ _PACKED = "SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS packed, c
 
 @query(f"WITH {_SCORED}, {_SELECTED} {_PACKED.format(rows='selected', budget=_BUDGET)}")
 def recall_pack(spark, sf_dir):
-    return recall.pack(recall.select(_scored(spark, sf_dir), gate=_RECALL_GATE), _BUDGET)
+    return recall.pack(recall.selected(*_asked(spark, sf_dir), gate=_RECALL_GATE), _BUDGET)
 
 
 @query(
@@ -468,7 +464,7 @@ def recall_pack(spark, sf_dir):
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM once) {_PACKED.format(rows='ranked', budget=4000)}"""
 )
 def inject_pack(spark, sf_dir):
-    return recall.inject(_scored(spark, sf_dir))
+    return recall.injected(*_asked(spark, sf_dir))
 
 
 # --- Contamination --------------------------------------------------------------------------------------------------

@@ -463,3 +463,24 @@ def test_admitted_load_between_pauses(spark):
             if s == scope:
                 want[i] = budget.check(int(at * 1e6) / 1e6, n)
     assert got == want and len({v for v in want.values()}) > 3
+
+
+def test_blocks_give_what_all_pairs_give(spark, monkeypatch):
+    """Blocks of a few rows each, so that what is chosen of one block must be chosen among all; rows come once for each pair."""
+    from mnemospark.functions import text
+    from mnemospark.operators import blocks
+
+    monkeypatch.setattr(blocks, "TOKENS", 40)
+    monkeypatch.setattr(blocks, "ROWS", 7)
+    monkeypatch.setattr(blocks, "GIVEN", 5)
+    rng = random.Random(3)
+    said = lambda: rng.choice([None, "", " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))])
+    queries = spark.createDataFrame([(rng.choice(["u", "v", None]), i, said()) for i in range(40)], "user string, query_id long, query string")
+    live = spark.createDataFrame([(rng.choice(["u", "v", "w"]), i, said()) for i in range(90)], "user string, id long, text string")
+    q = queries.select("user", "query_id", text.token_set(F.col("query")).alias("q"))
+    plain = q.join(live, "user").select("query_id", "id", "text", text.set_jaccard(F.col("q"), text.token_set(F.col("text"))).alias("score"))
+    rows = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert rows(recall.score(queries, live)) == rows(plain)
+    assert rows(recall.matches(queries, live, 0.3)) == rows(plain.where("score >= 0.3"))
+    assert rows(recall.selected(queries, live, 0.1, 0.4, 3)) == rows(recall.select(plain, 0.1, 0.4, 3).select("query_id", "id", "text", "score", "rank"))
+    assert rows(recall.injected(queries, live, 30)) == rows(recall.inject(plain, 30))
