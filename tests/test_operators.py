@@ -484,3 +484,18 @@ def test_blocks_give_what_all_pairs_give(spark, monkeypatch):
     assert rows(recall.matches(queries, live, 0.3)) == rows(plain.where("score >= 0.3"))
     assert rows(recall.selected(queries, live, 0.1, 0.4, 3)) == rows(recall.select(plain, 0.1, 0.4, 3).select("query_id", "id", "text", "score", "rank"))
     assert rows(recall.injected(queries, live, 30)) == rows(recall.inject(plain, 30))
+
+
+def test_near_sets_hold_compact_rows_between_steps(spark):
+    """The prefixes are written as numbers, one row a document, and of short sets and long ones none is missed."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.choice([1, 2, 3, 6, 7, 20, 40]))] for _ in range(25)]
+    said = [" ".join(w if rng.random() > 0.06 else f"w{rng.randint(0, 60)}" for w in rng.choice(base)) for _ in range(150)]
+    df = spark.createDataFrame([(i, rng.choice(["a", "b", None]), t) for i, t in enumerate([*said, "", "", None, None])], "doc_id long, lang string, text string")
+    sets = {r.doc_id: (r.lang, set(r.text.split())) for r in df.where("text is not null and lang is not null").collect()}
+    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = sorted((x, y) for x, (s, a) in sets.items() for y, (t, b) in sets.items() if x < y and s == t and near(a, b) >= 0.85)
+    for got in (similarity.near_pairs(df), similarity.near_pairs_prefix(df)):
+        assert sorted((r.old_id, r.new_id) for r in got.collect()) == want
+    plan = similarity.near_sets(df)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "prefix" in plan
