@@ -10,7 +10,8 @@ default, that is the Jaccard similarity of their sets of shingles; weights may b
 Bands of ROWS coordinates are joined. The member of a bucket that meets most others (in all its buckets; then the smallest) is its leader and is compared with each of the
 others, exactly, on their shingles. Where that leaves a leader's documents in more than one component, they are compared
 with each other where they can be alike at all (see _open_links), which for copies with edits of their own means hardly
-ever, and with at most CROWD others for one reason; larger groups are dealt by further bands first. So links that join
+ever. Groups of more than CROWD for one reason are dealt by further bands first, and what these leave apart is compared by
+the shingles that it must share (see _rest_links), so every link of a group is found, whatever its size. So links that join
 components aren't lost, a large group of copies costs a comparison for each member, and a leader of many unlike documents
 doesn't set them all against each other. Equal texts are one document from the start.
 
@@ -43,6 +44,8 @@ DARTS = K * (np.log(K) + 2)
 #: Members of one group that are compared with each other, and the further bands by which a part of a larger group is dealt.
 CROWD = 1024
 STEPS = 4
+#: Shingles of a block of documents that one task compares with another block.
+BLOCK = 1 << 20
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -165,7 +168,7 @@ def _sets(docs: DataFrame, weighted: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def _packed(blob: bytes, weighted: bool) -> np.ndarray:
+def _packed(blob: bytes | np.ndarray, weighted: bool) -> np.ndarray:
     return np.frombuffer(blob, dtype="<u8")[:: 2 if weighted else 1]
 
 
@@ -229,14 +232,99 @@ def _dealt(groups: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     return found
 
 
+def _alike(x: pa.Table, y: pa.Table, same: bool, weighted: bool, similarity: float) -> tuple[list[int], list[int]]:
+    """Links between two blocks of documents (a, component, shingles) in different components, or within one if they are the same."""
+    step = 2 if weighted else 1
+    blobs = [np.frombuffer(v.as_py(), dtype="<u8") for v in x["shingles"]]
+    parts, heavy = [b[::step] for b in blobs], [b[1::2].astype(np.float64) if weighted else np.ones(len(b)) for b in blobs]
+    owner = np.repeat(np.arange(len(parts)), [len(v) for v in parts])
+    tokens, weight = np.concatenate(parts), np.concatenate(heavy)
+    order = np.argsort(tokens, kind="stable")
+    owner, weight = owner[order], weight[order]
+    names, starts, counts = np.unique(tokens[order], return_index=True, return_counts=True)
+    total, ids, within = np.array([w.sum() for w in heavy]), x["a"].to_numpy(), x["component"].to_numpy()
+    left, right = [], []
+    for a, component, blob in zip(y["a"].to_pylist(), y["component"].to_pylist(), y["shingles"], strict=True):
+        row = np.frombuffer(blob.as_py(), dtype="<u8")
+        mine, w = row[::step], row[1::2].astype(np.float64) if weighted else np.ones(len(row))
+        at = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+        hit = names[at] == mine
+        at, size = at[hit], counts[at[hit]]
+        places = np.repeat(starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        both = np.bincount(owner[places], weights=np.minimum(weight[places], np.repeat(w[hit], size)), minlength=len(ids))
+        found = (both / (total + w.sum() - both) >= similarity) & (within != component) & ((ids < a) if same else True)
+        left += ids[found].tolist()
+        right += [a] * int(found.sum())
+    return left, right
+
+
+def _rest_links(groups: DataFrame, joined: DataFrame, sets: DataFrame, weighted: bool, similarity: float, crowd: int) -> DataFrame:
+    """All links (a, b) between documents of groups (key, a) that lie in different components.
+
+    Shingles are ordered by the number of documents that have them, the rarest first. The first one that two documents share is
+    followed by all others that they share, so if they are alike, at least the part `similarity` of either one's weight begins there:
+    documents meet by their shingles up to that place. Those that meet are compared in pairs where they are `crowd` at most,
+    else block by block, so that a task holds two blocks, and nothing is made for a pair that isn't a link.
+    """
+    inside = groups.join(joined.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    apart = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    members = common.materialize(inside.join(apart, "key", "left_semi").select("a", "component").distinct(), "crowds")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.settle(batches):
+            for a, b in shingles.groups_of([v.as_buffer().size if v.is_valid else 0 for v in batch.column(2)], 8 << 16):
+                rows = [np.frombuffer(v.as_py(), dtype="<u8") for v in batch.column(2)[a:b]]
+                sizes = [len(_packed(r, weighted)) for r in rows]
+                t = np.concatenate([_packed(r, weighted) for r in rows])
+                w = np.concatenate([r[1::2] for r in rows]).astype(np.float64) if weighted else np.ones(len(t))
+                ids, parts = (np.repeat(batch.column(i)[a:b].to_numpy(), sizes) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(parts), pa.array(t.view(np.int64)), pa.array(w)], names=["a", "component", "t", "w"])
+
+    own = members.join(sets.select(F.col("doc_id").alias("a"), "shingles").hint("merge"), "a")
+    tokens = common.materialize(own.select("a", "component", "shingles").mapInArrow(spread, "a long, component long, t long, w double"), "tokens")
+    known = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    later = Window.partitionBy("a").orderBy(F.desc("df"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = tokens.join(known, "t").withColumns({"rest": F.sum("w").over(later), "n": F.sum("w").over(Window.partitionBy("a"))})
+    placed = common.materialize(placed.where((F.col("df") > 1) & (F.col("rest") >= similarity * F.col("n") - 1e-9)).select("t", "df", "a", "component", "n", "rest"), "tokens")
+    # Shingles of the same documents make one group: the first of them, after which the most is left.
+    met = placed.groupBy("t", "df").agg(
+        F.count("*").alias("size"), F.sum("n").alias("held"), F.bit_xor(F.xxhash64("a")).alias("x"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("y"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    )
+    met = met.where("lo != hi").groupBy("size", "x", "y").agg(F.min(F.struct("df", "t")).alias("f"), F.max("held").alias("held")).select(F.col("f.t").alias("t"), "size", "held")
+    met = common.materialize(placed.join(met, "t").select("t", "size", "held", "a", "component", "n", "rest"), "groups")
+    few = met.where(F.col("size") <= crowd)
+    other = few.select("t", *[F.col(c).alias(f"y_{c}") for c in ("a", "component", "n", "rest")])
+    can = (F.col("a") < F.col("y_a")) & (F.col("component") != F.col("y_component")) & (F.least("rest", "y_rest") >= similarity / (1 + similarity) * (F.col("n") + F.col("y_n")) - 1e-9)
+    pairs = few.join(other, "t").where(can).select("a", F.col("y_a").alias("b")).distinct()
+    found = _verify(pairs, sets, weighted, similarity).where(F.col("near") >= similarity).select("a", "b")
+    many = met.where(F.col("size") > crowd)
+    if many.isEmpty():
+        return found
+
+    def compare(group: pa.Table) -> pa.Table:
+        mine = group["block"].to_numpy()
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        x, y = group.filter(pa.array(mine == i)), group.filter(pa.array(mine == j))
+        a, b = _alike(x, y, i == j, weighted, similarity) if len(x) and len(y) else ([], [])
+        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
+
+    blocks = F.greatest(F.ceil(F.col("size") / crowd), F.ceil(F.col("held") / BLOCK)).cast("int")
+    dealt = many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("t", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "a", "component")
+    dealt = dealt.join(sets.select(F.col("doc_id").alias("a"), "shingles").hint("merge"), "a").select("t", "i", "j", "block", "a", "component", "shingles")
+    return found.unionByName(dealt.groupBy("t", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def _open_links(first: DataFrame, joined: DataFrame, sets: DataFrame, texts: DataFrame, weighted: bool, similarity: float, crowd: int) -> DataFrame:
     """Components with the links between documents that were compared with the same leader, but not with each other.
 
     Two of them that are alike share a shingle that the leader lacks, or both have the part `similarity` of their shingles
     in common with the leader. Documents with such a shingle in common are compared with one of them, chosen as leaders
     are. Only where that leaves several components they are compared with each other, and so are those of the second kind
-    with the ones among them that aren't in the leader's component: where there are `crowd` of either at most, else by bands.
+    with the ones among them that aren't in the leader's component: where there are `crowd` of either at most, else by bands and
+    then, in groups that still lie in several components, by the shingles that they must share.
     """
+    large = []
     where = lambda df, j: df.join(j.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     mixed = where(first.select("a", "b"), joined).groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("b")
     star = common.materialize(where(first.join(mixed, "b", "left_semi"), joined), "stars")
@@ -267,7 +355,8 @@ def _open_links(first: DataFrame, joined: DataFrame, sets: DataFrame, texts: Dat
     many = seekers.where(F.col("size") > crowd)
     if not many.isEmpty():
         met = many.drop("size").unionByName(inside.join(many.select("b", "range").distinct(), ["b", "range"], "left_semi"))
-        asked = asked.unionByName(_dealt(met.select(F.xxhash64("b", "range").alias("key"), "a", "component").distinct(), texts, crowd))
+        large.append(common.materialize(met.select(F.xxhash64("b", "range").alias("key"), "a", "component").distinct(), "crowds"))
+        asked = asked.unionByName(_dealt(large[-1], texts, crowd))
     more = common.materialize(_verify(asked.distinct(), sets, weighted, similarity).where(F.col("near") >= similarity).select("a", "b"), "pairs")
     if not more.isEmpty():
         joined = _joined(joined, more)
@@ -281,9 +370,14 @@ def _open_links(first: DataFrame, joined: DataFrame, sets: DataFrame, texts: Dat
     last = few.join(other, ["b", "t"]).where(can).select("a", F.col("y").alias("b"))
     many = left.where(F.col("size") > crowd)
     if not many.isEmpty():
-        last = last.unionByName(_dealt(many.select(F.xxhash64("b", "t").alias("key"), "a", "component"), texts, crowd))
+        large.append(common.materialize(many.select(F.xxhash64("b", "t").alias("key"), "a", "component"), "crowds"))
+        last = last.unionByName(_dealt(large[-1], texts, crowd))
     late = common.materialize(_verify(last.distinct(), sets, weighted, similarity).where(F.col("near") >= similarity).select("a", "b"), "pairs")
-    return joined if late.isEmpty() else _joined(joined, late)
+    joined = joined if late.isEmpty() else _joined(joined, late)
+    for groups in large:
+        more = common.materialize(_rest_links(groups.select("key", "a"), joined, sets, weighted, similarity, crowd), "pairs")
+        joined = joined if more.isEmpty() else _joined(joined, more)
+    return joined
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, weighted: bool = False, crowd: int = CROWD) -> DataFrame:

@@ -218,6 +218,27 @@ def test_large_groups_are_dealt_by_bands(spark):
     assert len(set(alike) & {(r.a, r.b) for r in met}) >= 58
 
 
+@pytest.mark.parametrize(("crowd", "weighted"), [(2, False), (2, True), (60, False)])
+def test_large_groups_lose_no_link(spark, crowd, weighted):
+    """Pairs just at the similarity sought, all with one leader: bands alone, however many, leave some of them apart."""
+    rng = random.Random(77)
+    n, whole = 60, rng.sample(range(10**6), 600)
+    own = [rng.sample(whole, 100) for _ in range(n)]
+    # The second document of a pair has 90 of its 100 shingles and 12 others of the leader: 90 / 112 = 0.8036.
+    rows = own + [[*x[:90], *rng.sample(sorted({*whole} - {*x}), 12)] for x in own] + [whole]
+    packed = [np.sort(np.array(r, dtype="<u8")) for r in rows]
+    weights = [np.ones(len(r)) for r in packed]
+    sketch = minhash.bands(minhash.signatures(list(zip(packed, weights, strict=True)))).view(np.int64).tolist()
+    blob = lambda r: (np.stack((r, np.ones(len(r), dtype="<u8")), axis=1) if weighted else r).tobytes()
+    sets = spark.createDataFrame([(i, bytearray(blob(r))) for i, r in enumerate(packed)], "doc_id long, shingles binary")
+    texts = spark.createDataFrame(list(enumerate(sketch)), "rep long, bands array<long>")
+    asked = spark.createDataFrame([(i, 2 * n, 1) for i in range(2 * n)], "a long, b long, degree long")
+    first = common.materialize(minhash._verify(asked, sets, weighted, 0.8), "pairs")
+    joined = spark.createDataFrame([], "node long, component long")
+    got = {r.node: r.component for r in minhash._open_links(first, joined, sets, texts, weighted, 0.8, crowd).collect()}
+    assert all(got.get(n + i) == i and got.get(i) == i for i in range(n)) and len(got) == 2 * n
+
+
 def test_minhash_with_clashing_columns(spark):
     texts = prose(41, 6, 30)
     df = docs(spark, texts + texts[:2], text_key=texts + texts[:2], bands=texts + texts[:2], kept=texts + texts[:2])
