@@ -14,12 +14,12 @@ import hashlib
 import json
 import re
 import time
-from collections import Counter
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, astuple, dataclass, field
 from functools import cached_property
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ FACTS = (
     "id long, user string, text string, text_hash string, source string, created long, tombstoned_by long, tombstone_reason string, tombstone_actor string, conflict_with long, "
     "gate_action string, importance int, judge string, decided_at long"
 )
+_EMPTY = dict.fromkeys(x.strip().split(" ")[0] for x in AUDIT.split(","))
 _TOKEN = re.compile("[a-z0-9]+")
 _ORDINAL = re.compile("^[0-9]+(st|nd|rd|th)?$")
 _FUNCTION, _NUMBERS = frozenset(words.FUNCTION_WORDS), frozenset(words.NUMBER_WORDS)
@@ -151,6 +152,143 @@ class Settings:
     clock: Callable[[], float] = time.time
 
 
+class Conflicts:
+    """Conflicts in their order, and by the facts that are in them."""
+
+    def __init__(self, found: Iterable[dict] = ()):
+        self._items: dict[int, dict] = {}
+        self._of: dict[int, set[int]] = {}
+        self._next = 0
+        for x in found:
+            self.append(x)
+
+    def append(self, x: dict) -> None:
+        self._items[self._next] = x
+        for i in (x["old_id"], x["new_id"]):
+            self._of.setdefault(i, set()).add(self._next)
+        self._next += 1
+
+    def drop(self, i: int) -> None:
+        """Without those that this fact is in."""
+        for n in self._of.pop(i, ()):
+            x = self._items.pop(n)
+            for other in {x["old_id"], x["new_id"]} - {i}:
+                self._of[other].discard(n)
+
+    def __iter__(self) -> Iterator[dict]:
+        return iter(self._items.values())
+
+    def __len__(self) -> int:
+        return len(self._items)
+
+
+class Live:
+    """Live facts by token, in arrays, so that similarities to all of them are counted at once.
+
+    A fact keeps its place when it is retired; places of retired ones are given up once they are more than the live ones.
+    """
+
+    def __init__(self) -> None:
+        self.readings: dict[int, Reading] = {}
+        self._clear()
+
+    def __len__(self) -> int:
+        return len(self.readings)
+
+    def _clear(self) -> None:
+        self._place: dict[int, int] = {}
+        self._by_token: dict[str, array] = {}
+        self._names: dict = {}
+        self._columns = {c: np.zeros(64, dtype=np.int64) for c in ("id", "size", "norm", "content", "numbers", "live")}
+
+    def add(self, i: int, reading: Reading) -> None:
+        self.readings[i] = reading
+        if (at := self._place.get(i)) is not None:  # a text's normal form stays, whatever becomes of its fact
+            self._columns["live"][at] = 1
+            return
+        at = self._place[i] = len(self._place)
+        if at == len(self._columns["id"]):
+            self._columns = {c: np.concatenate((v, np.zeros_like(v))) for c, v in self._columns.items()}
+        name = lambda x: self._names.setdefault(x, len(self._names))
+        row = (i, len(reading.tokens), name(reading.norm), name(("content", reading.content)), name(("numbers", reading.numbers)), 1)
+        for column, x in zip(self._columns.values(), row, strict=True):
+            column[at] = x
+        for t in reading.tokens:
+            self._by_token.setdefault(t, array("q")).append(at)
+
+    def remove(self, i: int) -> None:
+        del self.readings[i]
+        self._columns["live"][self._place[i]] = 0
+        if len(self._place) > 2 * len(self.readings) + 64:
+            kept = self.readings
+            self.readings = {}
+            self._clear()
+            for j, reading in kept.items():
+                self.add(j, reading)
+
+    def _found(self, new: Reading, least: float, lists: list[array]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and similarities of live facts of at least this similarity to a text, of those that are in these lists of its tokens."""
+        n = len(new.tokens)
+        if not (some := [x for x in lists if len(x)]):
+            return np.empty(0, dtype=np.int64), np.empty(0)
+        both = np.bincount(np.concatenate([np.frombuffer(x, dtype=np.int64) for x in some]), minlength=len(self._place))
+        at = np.flatnonzero((both >= least * n / (1 + least) - 1e-9) & (self._columns["live"][: len(both)] == 1))
+        score = both[at] / (n + self._columns["size"][at] - both[at])
+        near = score >= least
+        return at[near], score[near]
+
+    def best(self, new: Reading, least: float) -> tuple[float, int] | None:
+        """(similarity, id) of the most alike, the smallest id of equals, or None below `least`.
+
+        One that is so much alike has all tokens but so many as it may lack, and of any tokens as many; the rarest are looked at first.
+        """
+        lists = sorted((self._by_token.get(t, _NONE) for t in new.tokens), key=len)
+        n = len(lists)
+        lacks = n - max(1, int(np.ceil(least * n - 1e-9)))
+        held = sum(map(len, lists[: lacks + 1]))
+        if not held:
+            return None
+        k = lacks + 1
+        while k < n and held + len(lists[k]) <= 4096:
+            held += len(lists[k])
+            k += 1
+        some = np.flatnonzero(np.bincount(np.concatenate([np.frombuffer(x, dtype=np.int64) for x in lists[:k] if len(x)])) >= k - lacks)
+        some = some[self._columns["live"][some] == 1]
+        size = self._columns["size"][some]
+        some = some[(size >= least * n - 1e-9) & (size * least <= n + 1e-9)]
+        if not len(some):
+            return None
+        if len(some) > 32:
+            at, score = self._found(new, least, lists)
+            found = list(zip(score.tolist(), (-self._columns["id"][at]).tolist(), strict=True))
+        else:
+            found = []
+            for i in self._columns["id"][some].tolist():
+                tokens = self.readings[i].tokens
+                both = len(new.tokens & tokens)
+                if (score := both / (n + len(tokens) - both)) >= least:
+                    found.append((score, -i))
+        top = max(found, default=None)
+        return top and (top[0], -top[1])
+
+    def suspicious(self, new: Reading, least: float, most: int) -> tuple[int, list[int]]:
+        """How many are alike and not equal, with a marker in the new text or another detail, and the ids of the most alike."""
+        at, score = self._found(new, least, [self._by_token.get(t, _NONE) for t in new.tokens])
+        c = self._columns
+        doubt = c["norm"][at] != self._names.get(new.norm, -1)
+        if not (new.negation or new.strong or new.weak):
+            doubt &= (c["content"][at] != self._names.get(("content", new.content), -1)) | (c["numbers"][at] != self._names.get(("numbers", new.numbers), -1))
+        score, ids = score[doubt], c["id"][at[doubt]]
+        total = len(ids)
+        if total > most > 0:
+            near = score >= np.partition(score, total - most)[total - most]
+            score, ids = score[near], ids[near]
+        return total, ids[np.lexsort((ids, -score))][:most].tolist()
+
+
+_NONE = array("q")
+
+
 @dataclass
 class Ledger:
     """One user's facts and what happened to them."""
@@ -165,9 +303,8 @@ class Ledger:
     def __post_init__(self) -> None:
         self.by_hash: dict[str, int] = {f.text_hash: f.id for f in self.facts.values()}
         self.readings: dict[int, Reading] = {}
-        self.by_token: dict[str, set[int]] = {}
-        self.sizes: dict[int, int] = {}
-        self.live = 0
+        self.alike = Live()
+        self.conflicts = Conflicts(self.conflicts)
         self._loaded: dict = {"facts": {}, "held": set(), "conflicts": [], "reviews": 0}
         for f in self.facts.values():
             self.readings[f.id] = Reading(f.text)
@@ -178,26 +315,15 @@ class Ledger:
         """Makes a tombstoned fact known that wasn't loaded with the others."""
         self.facts[f.id], self.readings[f.id], self.by_hash[f.text_hash] = f, Reading(f.text), f.id
 
+    @property
+    def live(self) -> int:
+        return len(self.alike)
+
     def _index(self, i: int) -> None:
-        self.live += 1
-        self.sizes[i] = len(self.readings[i].tokens)
-        for t in self.readings[i].tokens:
-            self.by_token.setdefault(t, set()).add(i)
+        self.alike.add(i, self.readings[i])
 
     def _unindex(self, i: int) -> None:
-        self.live -= 1
-        for t in self.readings[i].tokens:
-            self.by_token[t].discard(i)
-
-    def _alike(self, new: Reading, least: float) -> list[tuple[float, int]]:
-        """(similarity, id) of live facts of at least this similarity, by counting how many of the new tokens each has."""
-        n = len(new.tokens)
-        shared = Counter(chain.from_iterable(self.by_token.get(t, ()) for t in new.tokens))
-        found, sizes, some = [], self.sizes, least * n / (1 + least) - 1e-9
-        for i, both in shared.items():
-            if both >= some and (score := both / (n + sizes[i] - both)) >= least:
-                found.append((score, i))
-        return found
+        self.alike.remove(i)
 
     def _judged(self, f: Fact, c: dict, overwrite: bool) -> None:
         """Provenance: a new life takes all of it, a repeated text what is given."""
@@ -214,7 +340,7 @@ class Ledger:
         f.tombstoned_by = f.tombstone_reason = f.tombstone_actor = f.conflict_with = None
         if other is not None and other.conflict_with == i:
             other.conflict_with = None
-        self.conflicts = [x for x in self.conflicts if i not in (x["old_id"], x["new_id"])]
+        self.conflicts.drop(i)
 
     def tombstone(self, old: int, new: int | None, reason: str, actor: str) -> bool:
         f = self.facts.get(old)
@@ -247,30 +373,24 @@ class Ledger:
             f.source = source
             self._judged(f, c, False)
             return {"outcome": "exact", "fact_id": i, "merged_into": i, "score": 1.0}
-        rules = self.settings
-        alike = self._alike(new, min(rules.dedup_jaccard, rules.screen_jaccard) if rules.bridge else rules.dedup_jaccard)
-        best, at = max(((s, -i) for s, i in alike), default=(0.0, 0))
-        if alike and best >= self.settings.dedup_jaccard:
-            f = self.facts[-at]
+        if best := self.alike.best(new, self.settings.dedup_jaccard):
+            f = self.facts[best[1]]
             f.source = source
             self._judged(f, c, False)
-            return {"outcome": "near", "fact_id": f.id, "merged_into": f.id, "score": best}
+            return {"outcome": "near", "fact_id": f.id, "merged_into": f.id, "score": best[0]}
         if self.settings.memory_cap is not None and self.live >= self.settings.memory_cap:
             return {"outcome": "cap", "reason": "per-user-memory-cap"}
         i = c["seq"]
         f = self.facts[i] = Fact(i, self.user, text, h, source, c["seq"])
         self._judged(f, c, True)
         self.by_hash[h], self.readings[i] = i, new
+        flagged, kept = self.alike.suspicious(new, self.settings.screen_jaccard, self.settings.screen_pairs) if self.settings.bridge else (0, [])
         self._index(i)
-        return {"outcome": "insert", "fact_id": i} | (self.screen(i, new, alike) if self.settings.bridge else {})
+        return {"outcome": "insert", "fact_id": i} | (self.screen(i, new, flagged, kept) if self.settings.bridge else {})
 
-    def screen(self, i: int, new: Reading, alike: list[tuple[float, int]]) -> dict:
+    def screen(self, i: int, new: Reading, flagged: int, kept: list[int]) -> dict:
         """Shows suspicious live facts to the committee, most alike first, and applies what it agrees on."""
-        signal = new.negation or new.strong or new.weak
-        readings, least = self.readings, self.settings.screen_jaccard
-        found = [(-score, j) for score, j in alike if score >= least and (old := readings[j]).norm != new.norm and (signal or old.content != new.content or old.numbers != new.numbers)]
-        found.sort()
-        outcomes, kept = [], [j for _, j in found[: self.settings.screen_pairs]]
+        outcomes = []
         for at, j in enumerate(kept):
             if self.facts[j].tombstoned_by is not None:
                 outcomes.append(f"{j}:unrelated:KEEP:stale-target-skipped")
@@ -288,7 +408,7 @@ class Ledger:
             elif agreed and action == "CONFLICT":
                 self.mark_conflict(j, i, reason, "auto-spot")
             outcomes.append(f"{j}:{relation}:{action}:{reason}")
-        return {"flagged": len(found), "cut": max(0, len(found) - self.settings.screen_pairs), "relations": ",".join(outcomes)}
+        return {"flagged": flagged, "cut": max(0, flagged - self.settings.screen_pairs), "relations": ",".join(outcomes)}
 
     def _ask(self, old: int, i: int, new: Reading) -> tuple[str, bool, str]:
         s = self.settings
@@ -366,11 +486,10 @@ class Ledger:
             done = self.hold(c, c.get("reason") or "")
         else:
             done = {"outcome": "error", "reason": "unknown-op"}
-        row = dict.fromkeys(n.strip().split(" ")[0] for n in AUDIT.split(","))
-        return row | {"user": self.user, "seq": c["seq"], "op": op} | done
+        return _EMPTY | {"user": self.user, "seq": c["seq"], "op": op} | done
 
     def dump(self) -> dict:
-        return {"facts": [asdict(f) for f in self.facts.values()], "held": list(self.held.values()), "conflicts": self.conflicts, "reviews": self.reviews}
+        return {"facts": [asdict(f) for f in self.facts.values()], "held": list(self.held.values()), "conflicts": list(self.conflicts), "reviews": self.reviews}
 
     def begin(self) -> Ledger:
         """From here on changes() counts."""

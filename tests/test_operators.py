@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -499,3 +500,38 @@ def test_near_sets_hold_compact_rows_between_steps(spark):
         assert sorted((r.old_id, r.new_id) for r in got.collect()) == want
     plan = similarity.near_sets(df)[1]._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "prefix" in plan
+
+
+def test_a_fold_over_many_live_facts_counts_them_at_once():
+    """Suspects, their order and what they are merged into, against sets compared one by one; and in a time that the number of live facts hardly shows in."""
+    rng, book, slow = random.Random(8), ledger.Ledger("u"), {}
+    for seq in range(700):
+        text = f"my {rng.choice(('blue', 'red'))} ring account number is {seq}" if rng.random() < 0.6 else " ".join(rng.choices(("slot", "no", "longer", "moved", "now", "bay", "7", "tray"), k=rng.randrange(1, 9)))
+        new = ledger.Reading(text)
+        live = {i: ledger.Reading(f.text) for i, f in book.facts.items() if f.tombstoned_by is None}
+        alike = {i: len(new.tokens & r.tokens) / len(new.tokens | r.tokens) for i, r in live.items()}
+        near = max(((s, -i) for i, s in alike.items() if s >= 0.85), default=None)
+        signal = new.negation or new.strong or new.weak
+        found = sorted((-s, i) for i, s in alike.items() if s >= 0.3 and live[i].norm != new.norm and (signal or live[i].content != new.content or live[i].numbers != new.numbers))
+        done = book.apply({"seq": seq, "op": "put", "text": text, "source": "s"})
+        if done["outcome"] == "near":
+            assert (done["score"], -done["fact_id"]) == near
+        if done["outcome"] == "insert":
+            assert near is None and done["flagged"] == len(found) and [int(r.split(":")[0]) for r in done["relations"].split(",") if r] == [i for _, i in found[:5]]
+        slow[done["outcome"]] = slow.get(done["outcome"], 0) + 1
+        if seq % 9 == 4:
+            book.apply({"seq": seq, "op": rng.choice(("retire", "restore")), "target_id": rng.choice(list(book.facts)), "other_id": 0})
+    assert {"insert", "near", "exact"} <= set(slow)
+    crowd, began = ledger.Live(), time.process_time()
+    for i in range(4000):
+        new = ledger.Reading(f"my blue ring account number is {i}")
+        assert crowd.best(new, 0.85) is None and crowd.suspicious(new, 0.3, 5)[0] == i
+        crowd.add(i, new)
+    assert time.process_time() - began < 8  # 20 s and more where each is counted by itself
+
+
+def test_conflicts_go_with_their_facts():
+    found = ledger.Conflicts([{"old_id": i, "new_id": i + 1} for i in range(40_000)])
+    for i in range(0, 39_990, 2):
+        found.drop(i)
+    assert [x["old_id"] for x in found] == list(range(39_989, 40_000)) and len(found) == 11
