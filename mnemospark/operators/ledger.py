@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, astuple, dataclass, field
 from functools import cached_property
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -305,6 +306,8 @@ class Ledger:
         self.readings: dict[int, Reading] = {}
         self.alike = Live()
         self.conflicts = Conflicts(self.conflicts)
+        #: Held items that no later command asks for, until flush() gives them away.
+        self.passed: dict[int, dict] = {}
         self._loaded: dict = {"facts": {}, "held": set(), "conflicts": [], "reviews": 0}
         for f in self.facts.values():
             self.readings[f.id] = Reading(f.text)
@@ -420,7 +423,8 @@ class Ledger:
         return committee_of_four(self.readings[old], new, s.shared_tokens, s.live(a, b))
 
     def hold(self, c: dict, reason: str) -> dict:
-        self.held[c["seq"]] = {"qid": c["seq"], "text": c["text"], "reason": reason, "source": c.get("source") or ""}
+        item = {"qid": c["seq"], "text": c["text"], "reason": reason, "source": c.get("source") or ""}
+        (self.held if c.get("asked", True) or c["seq"] in self.held else self.passed)[c["seq"]] = item
         return {"outcome": "quarantine", "reason": reason}
 
     def admit(self, c: dict) -> dict:
@@ -496,18 +500,32 @@ class Ledger:
         self._loaded = {"facts": {f.id: astuple(f) for f in self.facts.values()}, "held": set(self.held), "conflicts": [dict(x) for x in self.conflicts], "reviews": len(self.reviews)}
         return self
 
-    def changes(self) -> dict[str, list[dict]]:
-        """What differs from the state at begin(), as rows of the stored tables; gone marks rows to be removed.
+    def flush(self, whole: bool) -> list[dict]:
+        """Held items that won't be asked for; but for the last, unless this is the whole, as another command may have its seq."""
+        if not whole and len(self.passed) < 2:
+            return []
+        last = None if whole else next(reversed(self.passed))
+        given = [x for k, x in self.passed.items() if k != last]
+        self.passed = {} if whole else {last: self.passed[last]}
+        return given
+
+    def rows(self, part: str) -> Iterator[dict]:
+        """The stored rows of a part as they stand, one after another."""
+        if part == "facts":
+            return (dict(vars(f)) for f in self.facts.values())
+        return iter({"held": self.held.values(), "conflicts": self.conflicts, "reviews": self.reviews}[part])
+
+    def changes(self) -> dict[str, Iterator[dict]]:
+        """What differs from the state at begin(), as rows of the stored tables, made where they are read; gone marks rows to be removed.
 
         Conflicts are numbered in their order, as a pair may come twice.
         """
-        was, now = self._loaded, self.dump()
-        facts = [{**f, "gone": False} for f, x in zip(now["facts"], self.facts.values(), strict=True) if was["facts"].get(x.id) != astuple(x)]
-        held = [{**x, "gone": False} for k, x in self.held.items() if k not in was["held"]] + [{"qid": k, "gone": True} for k in sorted(was["held"] - set(self.held))]
-        old = was["conflicts"]
-        conflicts = [{"n": i, **x, "gone": False} for i, x in enumerate(self.conflicts) if i >= len(old) or old[i] != x]
-        conflicts += [{"n": i, "gone": True} for i in range(len(self.conflicts), len(old))]
-        return {"facts": facts, "held": held, "conflicts": conflicts, "reviews": [{**x, "gone": False} for x in self.reviews[was["reviews"] :]]}
+        was, old = self._loaded, self._loaded["conflicts"]
+        facts = ({**vars(f), "gone": False} for f in self.facts.values() if was["facts"].get(f.id) != astuple(f))
+        held = chain(({**x, "gone": False} for k, x in self.held.items() if k not in was["held"]), ({"qid": k, "gone": True} for k in sorted(was["held"] - set(self.held))))
+        conflicts = ({"n": i, **x, "gone": False} for i, x in enumerate(self.conflicts) if i >= len(old) or old[i] != x)
+        conflicts = chain(conflicts, ({"n": i, "gone": True} for i in range(len(self.conflicts), len(old))))
+        return {"facts": facts, "held": held, "conflicts": conflicts, "reviews": ({**x, "gone": False} for x in self.reviews[was["reviews"] :])}
 
     @classmethod
     def load(cls, user: str, state: dict, settings: Settings) -> Ledger:
@@ -544,6 +562,8 @@ _SHAPES = {
     "conflicts": "user string, old_id long, new_id long, relation string, reason string, actor string", "reviews": "user string, qid long, decision string, reason string, actor string",
 }
 _KINDS = ("facts", "held", "conflicts")
+#: Rows of a batch that a fold gives of its state.
+GIVEN = 4096
 
 
 def _columns(schema: str) -> list[str]:
@@ -571,7 +591,10 @@ def _ordered(df: DataFrame, stored: dict[str, DataFrame] | None) -> DataFrame:
 
     Scanned in order, neither need be held in memory at once.
     """
-    known = df.where("seq is not null").withColumns({"kind": F.lit(len(_KINDS)), "item": F.lit(None).cast("string")})
+    # Items that nobody will ask for needn't be held until the end; a fold gives them away as it goes on.
+    asks = df.where(F.col("op").isin("approve", "deny", "release")).select(F.col("user").alias("__user"), F.col("target_id").alias("__seq")).distinct().withColumn("__asked", F.lit(True))
+    known = df.where("seq is not null").join(asks, (F.col("user") == F.col("__user")) & (F.col("seq") == F.col("__seq")), "left").drop("__user", "__seq")
+    known = known.withColumns({"asked": F.coalesce("__asked", F.lit(False)), "kind": F.lit(len(_KINDS)), "item": F.lit(None).cast("string")}).drop("__asked")
     if stored:
         past = state_rows(stored).join(df.select("user").distinct(), "user", "left_semi")
         known = known.unionByName(past, allowMissingColumns=True)
@@ -584,7 +607,10 @@ def _folded(batches: Iterator[pa.RecordBatch], rules: Settings) -> Iterator[tupl
     user, past = None, []
     rows: list[dict] = []
     for batch in batches:
-        for c in batch.to_pylist():
+        names = batch.schema.names
+        columns = [[None] * batch.num_rows if x.null_count == batch.num_rows else x.to_pylist() for x in batch.columns]
+        for values in zip(*columns, strict=True):
+            c = dict(zip(names, values, strict=True))
             if user != c["user"] and (ledger is not None or past):
                 yield ledger or loaded(user, past, rules), rows, True
                 ledger, past, rows = None, [], []
@@ -602,27 +628,32 @@ def _folded(batches: Iterator[pa.RecordBatch], rules: Settings) -> Iterator[tupl
         yield ledger, rows, True
 
 
-def run(df: DataFrame, output: str = "audit", settings: Settings | None = None, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+def run(df: DataFrame, output: str = "audit", settings: Settings | None = None, stored: dict[str, DataFrame] | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Folds commands (user, seq, op, ...) user by user in the order of seq.
 
     output: audit (a row for each command), facts, held, conflicts or reviews of users with commands as they stand at the
-    end. stored: facts, held and conflicts to go on from, with the columns of STATE. A user's commands are one group: that
+    end; columns: those that are wanted, if not all. stored: facts, held and conflicts to go on from, with the columns of STATE. A user's commands are one group: that
     is the order that results depend on; users are spread over tasks. A command without seq has no place in that order: it
     changes nothing, and its audit row is an error.
     """
     rules, schema = settings or Settings(), _SHAPES[output]
+    if columns:
+        kinds = dict(x.strip().split(" ") for x in schema.split(","))
+        schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
     names = _columns(schema)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ledger, rows, done in _folded(batches, rules):
+            given = ledger.flush(done)
             if output == "audit":
                 yield _batch(rows, names, schema)
-            elif done:
-                yield _batch([{"user": ledger.user, **x} for x in ledger.dump()[output]], names, schema)
+                continue
+            for some in batched(chain(given if output == "held" else (), ledger.rows(output) if done else ()), GIVEN):
+                yield _batch([{"user": ledger.user, **x} for x in some], names, schema)
 
     known = commands(df)
     done = _ordered(known, stored).mapInArrow(fold, schema)
-    return done.unionByName(refused(known)) if output == "audit" else done
+    return done.unionByName(refused(known).select(*names)) if output == "audit" else done
 
 
 #: One row of a fold that gives all at once: which table, and a column for a row of each.
@@ -647,10 +678,10 @@ def advance(df: DataFrame, settings: Settings | None = None, stored: dict[str, D
         for ledger, rows, done in _folded(batches, rules):
             if rows:
                 yield shown("audit", rows)
-            if done:
-                for part, changed in ledger.changes().items():
-                    if changed:
-                        yield shown(part, [{**x, "user": ledger.user} for x in changed])
+            changed = {"held": ({**x, "gone": False} for x in ledger.flush(done))}
+            for part, found in chain(changed.items(), ledger.changes().items() if done else ()):
+                for some in batched(found, GIVEN):
+                    yield shown(part, [{**x, "user": ledger.user} for x in some])
 
     known = commands(df)
     late = refused(known).select(F.lit("audit").alias("part"), F.struct(*_columns(AUDIT)).alias("audit"))

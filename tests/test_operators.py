@@ -535,3 +535,19 @@ def test_conflicts_go_with_their_facts():
     for i in range(0, 39_990, 2):
         found.drop(i)
     assert [x["old_id"] for x in found] == list(range(39_989, 40_000)) and len(found) == 11
+
+
+def test_items_that_nobody_asks_for_are_given_away(spark):
+    """The fold keeps held items only for commands that ask for them, and gives all of them, one for each seq."""
+    book = ledger.Ledger("u")
+    for seq in range(100):
+        book.apply({"seq": seq, "op": "quarantine", "text": f"t{seq}", "reason": "r", "asked": seq == 7})
+    assert set(book.held) == {7} and len(book.flush(False)) == 98 and [x["qid"] for x in book.flush(True)] == [99] and not book.passed
+    rows = [("u", i, "quarantine", f"t{i}", None, "why") for i in range(9000)] + [("u", 8999, "quarantine", "t8999", None, "why"), ("u", 9001, "approve", None, 4, "fine"), ("u", 9002, "deny", None, 5, "no"), ("u", 9003, "release", None, 5, None)]
+    df = spark.createDataFrame(rows, "user string, seq long, op string, text string, target_id long, reason string")
+    want = sorted(set(range(9000)) - {4, 5})
+    assert sorted(r.qid for r in ledger.run(df, "held").collect()) == want
+    done = ledger.advance(df).where("part = 'held'").select("held.*").collect()
+    assert sorted(r.qid for r in done if not r.gone) == want and not [r for r in done if r.gone]
+    audit = {r.seq: (r.outcome, r.reason) for r in ledger.run(df, columns=("seq", "outcome", "reason")).collect()}
+    assert audit[9001][0] == "insert" and audit[9002][0] == "deny" and audit[9003] == ("error", "unknown-id")
