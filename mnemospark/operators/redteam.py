@@ -35,13 +35,13 @@ def attacks(turns: DataFrame, protected: DataFrame, lines: DataFrame) -> DataFra
     old fact stays; another user: each line's fact replaced by somebody else, refused as unknown.
     """
     flagged = contamination.flags(copies(protected), protected.select("text")).select("path").distinct().withColumn("found", F.lit(True))
-    pairs = ledger.run(lines).where("relations != ''").select(F.explode(F.split("relations", ",")).alias("r"))
+    pairs = ledger.run(lines, columns=("relations",)).where("relations != ''").select(F.explode(F.split("relations", ",")).alias("r"))
     thief = lines.select(F.concat(F.lit("not "), "user").alias("user"), "seq", F.lit("supersede").alias("op"), "text", F.col("seq").alias("target_id"))
     parts = [
         _counted("injection", injections(turns), F.col("action") != "STORE"),
         _counted("paraphrase", protected.select("path").join(flagged, "path", "left"), F.col("found")),
         _counted("vague update", pairs.where("r like '%:veto-keep'"), F.col("r").like("%:KEEP:veto-keep")),
-        _counted("another user", ledger.run(thief), (F.col("outcome") == "error") & (F.col("reason") == "unknown-id")),
+        _counted("another user", ledger.run(thief, columns=("outcome", "reason")), (F.col("outcome") == "error") & (F.col("reason") == "unknown-id")),
     ]
     out = parts[0]
     for p in parts[1:]:
