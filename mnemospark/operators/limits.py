@@ -69,9 +69,43 @@ def admitted_load(df: DataFrame, scope: str = "user_id", key: str = "event_id",
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["key", "scope", "admitted", "retry_after"])
 
-    together = ["scope", "island"] if largest > whole else ["scope"]
-    ordered = calls.repartition(*together).sortWithinPartitions("scope", "island", "at", "key")
-    return ordered.mapInArrow(fold, "key long, scope long, admitted boolean, retry_after long")
+    shape = "key long, scope long, admitted boolean, retry_after long"
+    if largest <= whole:
+        return calls.repartition("scope").sortWithinPartitions("scope", "island", "at", "key").mapInArrow(fold, shape)
+    # Many calls of one island are sorted by ranges, each in its task, and packed, so that the task which folds them orders packs.
+    order = ["scope", "island", "at", "key"]
+    packs = calls.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack, "scope long, island long, at long, key long, calls binary")
+    return packs.repartition("scope", "island").sortWithinPartitions(*order).mapInArrow(lambda batches: fold(_unpack(batches)), shape)
+
+
+#: Calls of one pack, and what the columns of a pack are.
+PACK = 10_000
+_CALLS = pa.schema([("scope", pa.int64()), ("island", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("chars", pa.int64())])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Calls in order, as packs of one island each that begin with its first call."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        batch = pa.RecordBatch.from_arrays([batch[c].cast(pa.int64()) for c in _CALLS.names], schema=_CALLS)
+        scope, island = batch["scope"].to_pylist(), batch["island"].to_pylist()
+        first = 0
+        for at in range(1, batch.num_rows + 1):
+            if at < batch.num_rows and at - first < PACK and scope[at] == scope[first] and island[at] == island[first]:
+                continue
+            part = pa.concat_batches([batch.slice(first, at - first)])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _CALLS, options=options) as out:
+                out.write_batch(part)
+            row = [[scope[first]], [island[first]], [part["at"][0].as_py()], [part["key"][0].as_py()], [sink.getvalue().to_pybytes()]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, type=pa.int64()) for x in row[:4]), pa.array(row[4], type=pa.binary())], names=["scope", "island", "at", "key", "calls"])
+            first = at
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch["calls"]:
+            yield from pa.ipc.open_stream(blob.as_py())
 
 
 def _islands(source: DataFrame) -> DataFrame:

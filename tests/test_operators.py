@@ -551,3 +551,12 @@ def test_items_that_nobody_asks_for_are_given_away(spark):
     assert sorted(r.qid for r in done if not r.gone) == want and not [r for r in done if r.gone]
     audit = {r.seq: (r.outcome, r.reason) for r in ledger.run(df, columns=("seq", "outcome", "reason")).collect()}
     assert audit[9001][0] == "insert" and audit[9002][0] == "deny" and audit[9003] == ("error", "unknown-id")
+
+
+def test_one_budget_is_folded_from_packs(spark):
+    """Calls of one scope without pauses reach the task that folds them as sorted packs, not as rows to be sorted; the result is the same."""
+    df = spark.range(30_000).selectExpr("0L AS user_id", "(id * 7919) % 30000 AS event_id", "timestamp_seconds(1700000000 + ((id * 7919) % 30000) DIV 3 * 40) AS ts", "id % 9 AS chars")
+    got = limits.admitted_load(df, whole=100, calls=3, seconds=1800)
+    assert "calls#" in got._jdf.queryExecution().executedPlan().toString()
+    want = limits.admitted_load(df, whole=10**9, calls=3, seconds=1800)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
