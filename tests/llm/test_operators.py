@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.llm import common, fingerprints, graph, language, minhash, packing, pieces, shingles, suffixes, urls, vectors, warc, windows
+from mnemospark.llm import common, fingerprints, graph, language, minhash, packing, pieces, registry, shingles, suffixes, urls, vectors, warc, windows
 
 MODEL, BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", " ", "a", "a b c", "▁ x ▁▁", "é日😀 \t\n x", "<s> <0x0A> </s>", "  two  spaces ", "word " * 3000, "<|endoftext|> x", "x" * 5000, "a b\x85c"]
@@ -425,6 +425,33 @@ def test_suffix_dedup(spark, length, most):
     assert [got[i] for i in range(len(texts))] == brute_bytes(texts, length)
 
 
+def test_suffix_dedup_gives_the_kept_text(spark, tmp_path):
+    """Passages of over 50 words that repeat across documents are gone from the text, what is clean is the text itself."""
+    rng = random.Random(20)
+    passage = lambda: " ".join("".join(rng.choice("abcdefgé") for _ in range(9)) for _ in range(60))
+    clean, planted = [passage() for _ in range(6)], passage()
+    texts = [*clean, *(f"{passage()} {i}\n{planted}\n{i} {passage()}" for i in range(4)), None, ""]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.op7_suffix_dedup(spark, str(tmp_path))
+    assert found.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = {r.doc_id: r for r in found.collect()}
+    for i, (t, (n, gone, spans, digest)) in enumerate(zip(texts, brute_bytes(texts, 400), strict=True)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (n, gone, spans, digest)
+        assert hashlib.sha256(got[i].text.encode()).hexdigest() == digest and planted not in got[i].text
+        assert (got[i].text == (t or "")) == (not 6 <= i < 10) == (gone == 0)
+
+
+def test_suffix_dedup_halves_of_characters(spark):
+    """Cuts between the bytes of a character: the digest is of the bytes, the text has the replacement character."""
+    texts = ["\u00e9" + "x" * 12, "\u00a9" + "x" * 12 + "z", "\u4e00\u4e01\u4e02\u4e03\u4e04", "\u5e00\u4e01\u4e02\u4e03\u4e04"]
+    got = {r.doc_id: r for r in suffixes.remove_repeats(docs(spark, texts), length=12, digest=True).collect()}
+    for i, want in enumerate(brute_bytes(texts, 12)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
+    data = [(t.encode(), got[i].n_removed) for i, t in enumerate(texts)]
+    assert [n for _, n in data] == [13, 13, 14, 14]
+    assert [got[i].kept for i in range(4)] == ["\ufffd", "\ufffdz", "\ufffd", "\ufffd"]
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
     for _ in range(150):
