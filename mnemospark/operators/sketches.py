@@ -3,7 +3,7 @@
 A sketch has a bit for each remainder of a token's hash: whether an odd number of the set's tokens have it. Two sketches differ
 in no more bits than their sets do in tokens, and sets of Jaccard t differ in (1 - t) / (1 + t) of the sum of their sizes at
 most. So a pair whose sketches differ in more isn't near, and none that is near is lost; those that are left are compared on
-their tokens. What is compared for a pair is a few numbers, its prefix (half of the sketch) first, and nothing is written for a
+their tokens. What is compared for a pair is a few numbers, first some of its prefix (half of the sketch), and nothing is written for a
 pair that differs too much; frequent tokens cost no more than rare ones.
 
 Sizes are in classes, each 1 / t times as wide as the one before. A class compares its sets with one another and with the
